@@ -95,3 +95,325 @@ MASTER_WITH = f"WITH {STANDIN_CTES},{ONEHOT_CTES},{MASTER_CTE}"
 def q_master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmend.plans.master import master_from_standins
     return master_from_standins(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# One-hot counts, flag, fill, joins
+
+def _standins(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from sparkmend.sources import standins as S
+    return S.raw_tables(spark, sf_dir)
+
+
+@register("onehot_failures", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM failures_agg")
+def q_onehot_failures(spark, sf_dir):
+    from sparkmend import contracts as C
+    from sparkmend.functions.onehot import onehot_counts
+    return onehot_counts(_standins(spark, sf_dir)["failures"], "failure", C.KEY_COLUMNS,
+                         C.FAILURE_CATEGORIES, C.FAILURE_PREFIX, flag=C.TARGET_COLUMN)
+
+
+@register("onehot_maintenance", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM maint_agg")
+def q_onehot_maintenance(spark, sf_dir):
+    from sparkmend import contracts as C
+    from sparkmend.functions.onehot import onehot_counts
+    return onehot_counts(_standins(spark, sf_dir)["maintenance"], "comp", C.KEY_COLUMNS,
+                         C.MAINTENANCE_CATEGORIES, C.MAINTENANCE_PREFIX)
+
+
+@register("onehot_errors", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM errors_agg")
+def q_onehot_errors(spark, sf_dir):
+    from sparkmend import contracts as C
+    from sparkmend.functions.onehot import onehot_counts
+    return onehot_counts(_standins(spark, sf_dir)["errors"], "errorID", C.KEY_COLUMNS,
+                         C.ERROR_CATEGORIES, C.ERROR_PREFIX)
+
+
+@register("onehot_returnflag", """
+SELECT l_orderkey,
+       CAST(SUM(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE) AS l_returnflag_A,
+       CAST(SUM(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS l_returnflag_N,
+       CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS l_returnflag_R
+FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey""")
+def q_onehot_returnflag(spark, sf_dir):
+    """Discovered categories (sorted, as a one-hot encoder would emit them) on lineitem."""
+    from sparkmend.functions.onehot import onehot_counts
+    from sparkmend.sources.standins import table
+    li = table(spark, sf_dir, "lineitem")
+    return onehot_counts(li, "l_returnflag", ["l_orderkey"], categories=None)
+
+
+@register("failure_flag", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM failures_agg")
+def q_failure_flag(spark, sf_dir):
+    """Flag from the row-wise sum of the failure_* counts (A11 + A20)."""
+    from sparkmend import contracts as C
+    from sparkmend.functions.columns import with_failure_flag
+    from sparkmend.functions.onehot import onehot_counts
+    counts = onehot_counts(_standins(spark, sf_dir)["failures"], "failure", C.KEY_COLUMNS,
+                           C.FAILURE_CATEGORIES, C.FAILURE_PREFIX)
+    return with_failure_flag(counts, C.FAILURE_PREFIX, C.TARGET_COLUMN)
+
+
+@register("zero_fill", f"""WITH {STANDIN_CTES},{ONEHOT_CTES}
+SELECT t.*, m.model, m.age,
+       COALESCE(e.errorID_error1, 0.0) AS errorID_error1, COALESCE(e.errorID_error2, 0.0) AS errorID_error2,
+       COALESCE(e.errorID_error3, 0.0) AS errorID_error3, COALESCE(e.errorID_error4, 0.0) AS errorID_error4,
+       COALESCE(e.errorID_error5, 0.0) AS errorID_error5
+FROM telemetry t
+LEFT JOIN (SELECT * FROM machines WHERE age % 2 = 0) m ON t.machineID = m.machineID
+LEFT JOIN errors_agg e ON t.machineID = e.machineID AND t.datetime = e.datetime""")
+def q_zero_fill(spark, sf_dir):
+    """Event counts zero-filled after a left join; machine metadata nulls stay NULL.
+
+    The machine side keeps only even ages so that unmatched machines exist and
+    their NULL model/age can be seen to survive the fill.
+    """
+    from pyspark.sql import functions as F
+
+    from sparkmend import contracts as C
+    from sparkmend.functions.columns import zero_fill
+    from sparkmend.functions.onehot import onehot_counts
+    from sparkmend.operators.joins import left_join
+    t = _standins(spark, sf_dir)
+    counts = onehot_counts(t["errors"], "errorID", C.KEY_COLUMNS, C.ERROR_CATEGORIES, C.ERROR_PREFIX)
+    machines = t["machines"].where(F.col("age") % 2 == 0)
+    merged = left_join(t["telemetry"], machines, ["machineID"])
+    merged = merged.join(counts, C.KEY_COLUMNS, "left")
+    return zero_fill(merged, C.ERROR_COUNT_COLUMNS)
+
+
+@register("join_machine_dim", f"""WITH {STANDIN_CTES}
+SELECT t.*, m.model, m.age FROM telemetry t LEFT JOIN machines m ON t.machineID = m.machineID""")
+def q_join_machine_dim(spark, sf_dir):
+    from sparkmend.operators.joins import left_join
+    t = _standins(spark, sf_dir)
+    return left_join(t["telemetry"], t["machines"], ["machineID"])
+
+
+@register("join_orders_customer", """
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate,
+       c.c_name, c.c_nationkey, c.c_mktsegment
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_join_orders_customer(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.joins import left_join
+    from sparkmend.sources.standins import table
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey", "c_mktsegment")
+    return left_join(orders, cust, ["o_custkey"])
+
+
+# ---------------------------------------------------------------------------
+# Audits (A21-A25)
+
+_AUDIT_TABLES = {
+    "telemetry": ["datetime", "machineID", "volt", "rotate", "pressure", "vibration"],
+    "errors": ["datetime", "machineID", "errorID"],
+    "failures": ["datetime", "machineID", "failure"],
+    "machines": ["machineID", "model", "age"],
+    "maintenance": ["datetime", "machineID", "comp"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                 "l_shipdate"],
+}
+_DOUBLE_COLS = {"volt", "rotate", "pressure", "vibration", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax"}
+
+
+def _null_sql(cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"count_if({c} IS NULL)")
+        if c in _DOUBLE_COLS:
+            parts.append(f"count_if(isnan({c}))")
+    return " + ".join(parts)
+
+
+def _audit_frames(spark, sf_dir):
+    from sparkmend.sources.standins import table
+    t = _standins(spark, sf_dir)
+    t["lineitem"] = table(spark, sf_dir, "lineitem")
+    return t
+
+
+@register("null_audit", f"WITH {STANDIN_CTES}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS dataset, count(*) AS rows, CAST({_null_sql(cols)} AS BIGINT) AS null_cells FROM {n}"
+    for n, cols in _AUDIT_TABLES.items()))
+def q_null_audit(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.audits import table_profile
+    out = None
+    for name, df in _audit_frames(spark, sf_dir).items():
+        row = table_profile(df).select(F.lit(name).alias("dataset"), "rows", "null_cells")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("duplicate_rows", f"WITH {STANDIN_CTES}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS dataset, (SELECT count(*) FROM {n}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {n})) AS duplicate_rows"
+    for n in _AUDIT_TABLES))
+def q_duplicate_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.audits import duplicate_rows
+    out = None
+    for name, df in _audit_frames(spark, sf_dir).items():
+        row = duplicate_rows(df).select(F.lit(name).alias("dataset"), "duplicate_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_KEYS = {"telemetry": ["machineID", "datetime"], "machines": ["machineID"],
+         "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+@register("duplicate_keys", f"WITH {STANDIN_CTES}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS dataset, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows, "
+    f"CAST(count_if(n > 1) AS BIGINT) AS duplicated_keys FROM (SELECT count(*) AS n FROM {n} GROUP BY {', '.join(k)})"
+    for n, k in _KEYS.items()))
+def q_duplicate_keys(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.audits import duplicate_keys
+    frames = _audit_frames(spark, sf_dir)
+    out = None
+    for name, key in _KEYS.items():
+        row = duplicate_keys(frames[name], key).select(F.lit(name).alias("dataset"), "duplicate_rows",
+                                                      "duplicated_keys")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("row_count_gate", f"""{MASTER_WITH}
+SELECT (SELECT count(*) FROM master) AS master_rows, (SELECT count(*) FROM telemetry) AS telemetry_rows,
+       (SELECT count(*) FROM master) = (SELECT count(*) FROM telemetry) AS rows_match""")
+def q_row_count_gate(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.master import merge_master
+    t = _standins(spark, sf_dir)
+    master = merge_master(t["telemetry"], t["machines"], t["failures"], t["maintenance"], t["errors"])
+    both = (master.select(F.lit(1).alias("_m")).unionByName(t["telemetry"].select(F.lit(0).alias("_m"))))
+    return both.agg(F.count_if(F.col("_m") == 1).alias("master_rows"),
+                    F.count_if(F.col("_m") == 0).alias("telemetry_rows")).withColumn(
+        "rows_match", F.col("master_rows") == F.col("telemetry_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Gates (A27-A30, A32)
+
+def _rule_sql(dataset: str, order: int, rule: str, violations: str, enforced: bool) -> str:
+    e = "TRUE" if enforced else "FALSE"
+    return (f"SELECT '{dataset}' AS dataset, CAST({order} AS INTEGER) AS rule_order, '{rule}' AS rule, "
+            f"CAST(({violations}) AS BIGINT) AS violations, {e} AS enforced, "
+            f"CAST(({violations}) AS BIGINT) = 0 AS passed")
+
+
+def _raw_gate_sql() -> str:
+    parts = []
+    cats = {"errors": ("errorID", ["error1", "error2", "error3", "error4", "error5"]),
+            "failures": ("failure", ["comp1", "comp2", "comp3", "comp4"]),
+            "maintenance": ("comp", ["comp1", "comp2", "comp3", "comp4"])}
+    for ti, name in enumerate(["telemetry", "errors", "failures", "machines", "maintenance"]):
+        base = (ti + 1) * 100
+        cols = _AUDIT_TABLES[name]
+        parts.append(_rule_sql(name, base + 1, "file_exists", "0", True))
+        parts.append(_rule_sql(name, base + 2, "columns_match", "0", True))
+        parts.append(_rule_sql(name, base + 3, "null_cells", f"SELECT {_null_sql(cols)} FROM {name}", True))
+        parts.append(_rule_sql(name, base + 4, "duplicate_rows",
+                               f"(SELECT count(*) FROM {name}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {name}))",
+                               True))
+        if name == "telemetry":
+            parts.append(_rule_sql(name, base + 5, "duplicate_keys",
+                                   "SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT count(*) AS n FROM telemetry GROUP BY machineID, datetime)",
+                                   True))
+        if name in cats:
+            c, vals = cats[name]
+            lst = ", ".join(f"'{v}'" for v in vals)
+            parts.append(_rule_sql(name, base + 7, "unlisted_categories",
+                                   f"SELECT count_if({c} IS NOT NULL AND {c} NOT IN ({lst})) FROM {name}", False))
+        if name == "machines":
+            parts.append(_rule_sql(name, base + 8, "duplicate_machine_ids",
+                                   "SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT count(*) AS n FROM machines GROUP BY machineID)",
+                                   False))
+    return f"WITH {STANDIN_CTES}\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("raw_gate_report", _raw_gate_sql())
+def q_raw_gate_report(spark, sf_dir):
+    from sparkmend.operators.gates import raw_gate_report
+    return raw_gate_report(spark, _standins(spark, sf_dir))
+
+
+def _merged_gate_sql() -> str:
+    sensors = ["volt", "rotate", "pressure", "vibration"]
+    parts = [
+        _rule_sql("Master_Dataset", 1, "row_count_match",
+                  "abs((SELECT count(*) FROM master) - (SELECT count(*) FROM telemetry))", True),
+        _rule_sql("Master_Dataset", 2, "duplicate_keys",
+                  "SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT count(*) AS n FROM master GROUP BY machineID, datetime)",
+                  True),
+        _rule_sql("Master_Dataset", 3, "required_columns", "0", True),
+        _rule_sql("Master_Dataset", 4, "null_sensor_cells",
+                  "SELECT " + " + ".join(f"count_if({c} IS NULL) + count_if(isnan({c}))" for c in sensors)
+                  + " FROM master", True),
+        _rule_sql("Master_Dataset", 5, "null_machine_cells",
+                  "SELECT count_if(model IS NULL) + count_if(age IS NULL) FROM master", True),
+        _rule_sql("Master_Dataset", 6, "numeric_event_columns", "0", True),
+    ]
+    return MASTER_WITH + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("merged_gate_report", _merged_gate_sql())
+def q_merged_gate_report(spark, sf_dir):
+    from sparkmend.operators.gates import merged_gate_report
+    from sparkmend.plans.master import merge_master
+    t = _standins(spark, sf_dir)
+    master = merge_master(t["telemetry"], t["machines"], t["failures"], t["maintenance"], t["errors"])
+    return merged_gate_report(master, t["telemetry"])
+
+
+# ---------------------------------------------------------------------------
+# Sort (A26)
+
+@register("sorted_master", f"""{MASTER_WITH}
+SELECT *, row_number() OVER (ORDER BY machineID, datetime) AS row_index FROM master""")
+def q_sorted_master(spark, sf_dir):
+    from sparkmend.operators.sort import with_position
+    from sparkmend.plans.master import master_from_standins
+    return with_position(master_from_standins(spark, sf_dir), ["machineID", "datetime"])
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+
+@register("csv_roundtrip", "SELECT * FROM events")
+def q_csv_roundtrip(spark, sf_dir):
+    """events -> headered CSV (overwrite) -> text read -> NA tokens -> cast by contract."""
+    from sparkmend.contracts import TableContract
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.csv import read_typed_csv, write_csv
+    from sparkmend.sources.standins import table
+    ev = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "csv-roundtrip")
+    write_csv(ev, path)
+    return read_typed_csv(spark, path, TableContract("events", ev.schema))
+
+
+@register("document_scan", "SELECT * FROM events")
+def q_document_scan(spark, sf_dir):
+    """events -> appended as JSON-lines documents -> full collection scan, ``_id`` dropped."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.documents import append_documents, read_collection
+    from sparkmend.sources.standins import table
+    ev = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "collection-events")
+    append_documents(ev.withColumn("_id", F.concat(F.lit("oid-"), F.col("event_id").cast("string"))),
+                     path)
+    return read_collection(spark, path, ev.schema.add("_id", "string"))
