@@ -78,3 +78,13 @@ def with_failure_flag(df: DataFrame, prefix: str = "failure", target: str = "fai
 def zero_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace nulls by 0 in ``cols`` only; every other column keeps its nulls."""
     return df.na.fill(0.0, subset=cols) if cols else df
+
+
+def ntz_literal(value) -> Column:
+    """A Python datetime as a timestamp_ntz literal (wall clock kept, no zone applied)."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+def ntz_epoch_micros(c: str | Column) -> Column:
+    """Microseconds from 1970-01-01 00:00 to a timestamp_ntz, read as a wall clock."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(c))

@@ -98,7 +98,7 @@ def hours_since_exprs(event_cols: list[str], cumulative: list[str] | None = None
 def label_expr(target: str = C.TARGET_COLUMN, horizon_hours: int = 24,
                name: str | None = None) -> Column:
     """1.0 when ``target`` is positive on some row in (t, t + horizon], else 0.0."""
-    e = _over(f"max(CASE WHEN `{target}` > 0 THEN 1.0 ELSE 0.0 END)", following_frame(horizon_hours))
+    e = _over(f"max(CASE WHEN `{target}` > 0 THEN 1.0D ELSE 0.0D END)", following_frame(horizon_hours))
     return F.coalesce(e, F.lit(0.0)).alias(name or f"label_{horizon_hours}h")
 
 

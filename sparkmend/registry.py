@@ -58,7 +58,7 @@ failures_agg AS (
   SELECT machineID, datetime,
          {_cnt('failure', 'comp1', 'failure_comp1')}, {_cnt('failure', 'comp2', 'failure_comp2')},
          {_cnt('failure', 'comp3', 'failure_comp3')}, {_cnt('failure', 'comp4', 'failure_comp4')},
-         CASE WHEN count(failure) > 0 THEN 1.0 ELSE 0.0 END AS failure
+         CAST(CASE WHEN count(failure) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS failure
   FROM failures WHERE machineID IS NOT NULL AND datetime IS NOT NULL GROUP BY machineID, datetime),
 maint_agg AS (
   SELECT machineID, datetime,
@@ -417,3 +417,169 @@ def q_document_scan(spark, sf_dir):
     append_documents(ev.withColumn("_id", F.concat(F.lit("oid-"), F.col("event_id").cast("string"))),
                      path)
     return read_collection(spark, path, ev.schema.add("_id", "string"))
+
+
+# ---------------------------------------------------------------------------
+# Window features, label, latest status
+
+_SENSORS = ["volt", "rotate", "pressure", "vibration"]
+_W = "PARTITION BY machineID ORDER BY datetime"
+_HOUR_US = 3_600_000_000
+
+
+def _trailing_sql(hours: int) -> str:
+    return f"({_W} RANGE BETWEEN INTERVAL {hours * _HOUR_US - 1} MICROSECONDS PRECEDING AND CURRENT ROW)"
+
+
+def _rolling_sql(hours: int) -> str:
+    w = _trailing_sql(hours)
+    cols = []
+    for s in _SENSORS:
+        cols += [f"count({s}) OVER {w} AS {s}_count_{hours}h", f"avg({s}) OVER {w} AS {s}_mean_{hours}h",
+                 f"stddev_samp({s}) OVER {w} AS {s}_std_{hours}h", f"min({s}) OVER {w} AS {s}_min_{hours}h",
+                 f"max({s}) OVER {w} AS {s}_max_{hours}h"]
+    return f"{MASTER_WITH}\nSELECT machineID, datetime,\n  " + ",\n  ".join(cols) + "\nFROM master"
+
+
+def _master(spark, sf_dir):
+    from sparkmend.plans.master import master_from_standins
+    return master_from_standins(spark, sf_dir)
+
+
+def _rolling_query(hours: int):
+    def q(spark, sf_dir):
+        from pyspark.sql import functions as F
+
+        from sparkmend.plans.features import rolling_exprs
+        return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"),
+                                             *rolling_exprs(_SENSORS, (hours,)))
+    q.__name__ = f"q_rolling_{hours}h"
+    q.__doc__ = f"count / mean / std / min / max of every sensor over the trailing {hours} hours."
+    return q
+
+
+register("rolling_24h", _rolling_sql(24))(_rolling_query(24))
+register("rolling_3h", _rolling_sql(3))(_rolling_query(3))
+
+
+def _lag_sql() -> str:
+    cols = []
+    for s in _SENSORS:
+        cols += [f"lag({s}, {n}) OVER ({_W}) AS {s}_lag{n}" for n in (1, 3, 24)]
+        cols.append(f"{s} - lag({s}, 1) OVER ({_W}) AS {s}_diff1")
+    return f"{MASTER_WITH}\nSELECT machineID, datetime,\n  " + ",\n  ".join(cols) + "\nFROM master"
+
+
+@register("lag_features", _lag_sql())
+def q_lag_features(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.features import lag_exprs
+    return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"), *lag_exprs(_SENSORS))
+
+
+_HISTORY = ["maint_comp1", "maint_comp2", "maint_comp3", "maint_comp4",
+            "failure_comp1", "failure_comp2", "failure_comp3", "failure_comp4"]
+
+
+def _history_sql() -> str:
+    run = f"({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    cols = [f"date_diff('microsecond', last_value(CASE WHEN {c} > 0 THEN datetime END IGNORE NULLS) "
+            f"OVER {run}, datetime) / {float(_HOUR_US)} AS hours_since_{c}" for c in _HISTORY]
+    cols += [f"sum(failure) OVER {run} AS cum_failure"]
+    return f"{MASTER_WITH}\nSELECT machineID, datetime,\n  " + ",\n  ".join(cols) + "\nFROM master"
+
+
+@register("hours_since_maintenance", _history_sql())
+def q_hours_since_maintenance(spark, sf_dir):
+    """Hours since the last maintenance / failure of each component; running failure count."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.features import hours_since_exprs
+    return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"),
+                                         *hours_since_exprs(_HISTORY, cumulative=["failure"]))
+
+
+@register("label_24h", f"""{MASTER_WITH}
+SELECT machineID, datetime, failure,
+  COALESCE(max(CAST(CASE WHEN failure > 0 THEN 1 ELSE 0 END AS DOUBLE)) OVER ({_W}
+    RANGE BETWEEN INTERVAL 1 MICROSECONDS FOLLOWING AND INTERVAL {24 * _HOUR_US} MICROSECONDS FOLLOWING),
+    CAST(0 AS DOUBLE)) AS label_24h
+FROM master""")
+def q_label_24h(spark, sf_dir):
+    """1.0 when a failure occurs in the next 24 hours (current row excluded)."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.features import label_expr
+    return _master(spark, sf_dir).select("machineID", "datetime", "failure", label_expr("failure", 24))
+
+
+@register("latest_status", f"""{MASTER_WITH}
+SELECT machineID, datetime, volt, rotate, pressure, vibration, model, age, failure
+FROM master QUALIFY row_number() OVER (PARTITION BY machineID ORDER BY datetime DESC) = 1""")
+def q_latest_status(spark, sf_dir):
+    """Latest hourly row of every machine (top-1 per group by time)."""
+    from sparkmend.plans.features import latest_per_machine
+    return latest_per_machine(_master(spark, sf_dir), "machineID", "datetime",
+                              ["datetime", "volt", "rotate", "pressure", "vibration", "model", "age",
+                               "failure"])
+
+
+# ---------------------------------------------------------------------------
+# Model: assemble, train, evaluate, store, score, retrain
+
+@register("train_and_score")
+def q_train_and_score(spark, sf_dir):
+    """Features -> time split -> GBT -> score the held-out hours -> prediction store -> read back."""
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import save_model, score, store_predictions, train
+    from sparkmend.session import scratch_path
+    feats = feature_table(_master(spark, sf_dir))
+    result, _ = train(feats, max_iter=10)
+    model_path = scratch_path(spark, "model")
+    save_model(result.model, model_path)
+    from sparkmend.plans.model import load_model
+    from sparkmend.functions.columns import ntz_literal
+    from pyspark.sql import functions as F
+    held_out = feats.where(F.col("datetime") >= ntz_literal(result.cutoff))
+    store = scratch_path(spark, "predictions")
+    store_predictions(score(load_model(model_path), held_out), store)
+    return spark.read.parquet(store)
+
+
+@register("retrain_weekly")
+def q_retrain_weekly(spark, sf_dir):
+    """Retrain on the trailing 21 days before the last full week; one row of training metrics."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.model import retrain
+    from sparkmend.session import scratch_path
+    master = _master(spark, sf_dir)
+    last = master.agg(F.max("datetime").alias("m")).first().m
+    as_of = dt.datetime.combine(last.date() - dt.timedelta(days=last.weekday()), dt.time())
+    res = retrain(master, as_of, train_days=21, model_root=scratch_path(spark, "models"), max_iter=10)
+    row = {"as_of": as_of.strftime("%Y-%m-%d"), **{k: float(v) for k, v in res.metrics.items()},
+           "features": float(len(res.feature_columns))}
+    return spark.createDataFrame([row])
+
+
+# ---------------------------------------------------------------------------
+# Hourly streaming
+
+@register("hourly_stream", f"""WITH {STANDIN_CTES}
+SELECT * FROM telemetry
+WHERE datetime + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def q_hourly_stream(spark, sf_dir):
+    """events files as a stream -> 1-hour event-time windows, 1-hour watermark, append mode.
+
+    Only hours the watermark has closed are emitted, so the last open hours of
+    the input are absent, exactly as in a live run.
+    """
+    from sparkmend.session import scratch_path
+    from sparkmend.streaming.hourly import run_hourly_telemetry
+    out, ck = scratch_path(spark, "hourly-out"), scratch_path(spark, "hourly-ckpt")
+    q = run_hourly_telemetry(spark, sf_dir, out, ck, file_glob="events.parquet", delay="1 hour")
+    q.awaitTermination()
+    return spark.read.parquet(out)
