@@ -7,8 +7,10 @@ ones whose failure stops the run; the others are stricter checks that are only
 reported unless ``strict=True``.
 
 Rules that depend only on the schema (column lists, types) are decided on the
-driver from ``df.schema`` (no job). Data rules are aggregates; the whole report is
-a union of one-row aggregates and comes back in a single job of a few stages.
+driver from ``df.schema`` (no job). The data rules of a table all come from one
+scan: identical rows are grouped once (with map-side partial aggregation), every
+cell rule is counted per distinct row, and key rules group the reduced groups.
+The report of all tables comes back in one job.
 """
 
 from __future__ import annotations
@@ -60,6 +62,13 @@ REFERENCE_RAW_RULES = {"file_exists", "columns_match", "null_cells", "duplicate_
                        "duplicate_keys"}
 
 
+class _Fields(dict):
+    """Message fields; a field without a value prints as ``?``."""
+
+    def __missing__(self, key):
+        return "?"
+
+
 class GateError(ValueError):
     """A gate rule failed; ``rule`` names it, ``dataset`` the table."""
 
@@ -78,24 +87,6 @@ class RawInput:
     path: str = ""
 
 
-def _row(spark: SparkSession, dataset: str, order: int, rule: str, violations: int | None,
-         enforced: bool) -> DataFrame:
-    v = F.lit(violations).cast("long")
-    return spark.range(1).select(
-        F.lit(dataset).alias("dataset"), F.lit(order).cast("int").alias("rule_order"),
-        F.lit(rule).alias("rule"), v.alias("violations"), F.lit(enforced).alias("enforced"),
-        (v == 0).alias("passed"))
-
-
-def _agg_row(one_row: DataFrame, value: str, dataset: str, order: int, rule: str,
-             enforced: bool) -> DataFrame:
-    v = F.col(value).cast("long")
-    return one_row.select(
-        F.lit(dataset).alias("dataset"), F.lit(order).cast("int").alias("rule_order"),
-        F.lit(rule).alias("rule"), v.alias("violations"), F.lit(enforced).alias("enforced"),
-        (v == 0).alias("passed"))
-
-
 def _union(rows: list[DataFrame]) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
@@ -144,87 +135,152 @@ def canonical_view(df: DataFrame, contract: C.TableContract) -> DataFrame:
     return df.select(*out)
 
 
+def _rule_struct(dataset: str, order: int, rule: str, violations: Column, enforced: bool
+                 ) -> Column:
+    v = violations.cast("long")
+    return F.struct(F.lit(dataset).alias("dataset"), F.lit(order).cast("int").alias("rule_order"),
+                    F.lit(rule).alias("rule"), v.alias("violations"),
+                    F.lit(enforced).alias("enforced"), (v == 0).alias("passed"))
+
+
+def _rows_from(one_row: DataFrame, rules: list[Column]) -> DataFrame:
+    """Turn one row of statistics into report rows (no further job)."""
+    return one_row.select(F.inline(F.array(*rules)))
+
+
+def _count_true(conds: list[Column]) -> Column:
+    """Number of true conditions in a row (0 for an empty list)."""
+    if not conds:
+        return F.lit(0)
+    return sum((c.cast("int") for c in conds[1:]), conds[0].cast("int"))
+
+
+def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] | None = None
+                     ) -> tuple[DataFrame, bool]:
+    """All data rules of one table from a single scan: returns (one stats row, text mode).
+
+    Identical rows are grouped first (map-side partial aggregation collapses
+    copies before the shuffle); missing cells, unparseable cells and unlisted
+    categories are counted per distinct row and weighted by its copies, and
+    duplicate keys come from a second grouping of the (already reduced) groups.
+    """
+    text = _is_text_table(df, contract)
+    canon = canonical_view(df, contract) if text else df
+    types = {f.name: f.dataType for f in contract.schema.fields}
+    groups = canon.groupBy(*[F.col(f"`{c}`") for c in canon.columns]).agg(
+        F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    missing = _count_true([audits.is_missing(canon, c) for c in canon.columns])
+    bad = _count_true([F.col(c).isNotNull() & typed_value(canon, c, types[c]).isNull()
+                       for c in canon.columns
+                       if text and c in types and not isinstance(types[c], T.StringType)])
+    if contract.categorical and contract.categorical in canon.columns:
+        cat = F.col(contract.categorical)
+        unlisted = (cat.isNotNull() & ~cat.isin(*contract.categories)).cast("int")
+    else:
+        unlisted = F.lit(0)
+    stats = groups.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(n * missing), F.lit(0)).alias("null_cells"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(n * bad), F.lit(0)).alias("unparseable_values"),
+        F.coalesce(F.sum(n * unlisted), F.lit(0)).alias("unlisted_categories"))
+    if key and all(k in canon.columns for k in key):
+        keyed = (groups.groupBy(*key).agg(F.sum(n).alias("_k"))
+                 .agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_keys")))
+        stats = stats.unionByName(keyed, allowMissingColumns=True).agg(
+            *[F.max(c).alias(c) for c in stats.columns + ["duplicate_keys"]])
+    return stats, text
+
+
 def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, DataFrame | None],
                     contracts: dict[str, C.TableContract] | None = None,
                     strict: bool = False) -> DataFrame:
-    """Report of the raw gate over the raw tables, one row per table and rule."""
+    """Report of the raw gate over the raw tables, one row per table and rule.
+
+    One scan per table; all five tables run in one job.
+    """
     contracts = C.raw_contracts() if contracts is None else contracts
     if isinstance(tables, dict):
         tables = [RawInput(n, d) for n, d in tables.items()]
     by_name = {t.name: t for t in tables}
-    rows: list[DataFrame] = []
+    parts: list[DataFrame] = []
     for ti, name in enumerate(contracts):
         contract = contracts[name]
         base = (ti + 1) * 100
         t = by_name.get(name, RawInput(name, None))
         enf = {r: (r in REFERENCE_RAW_RULES) or strict for r in RAW_RULES}
-        rows.append(_row(spark, name, base + 1, "file_exists", 0 if t.df is not None else 1,
-                         enf["file_exists"]))
         if t.df is None:
-            rows.append(_row(spark, name, base + 2, "columns_match", None, enf["columns_match"]))
+            parts.append(_rows_from(spark.range(1), [
+                _rule_struct(name, base + 1, "file_exists", F.lit(1), enf["file_exists"]),
+                _rule_struct(name, base + 2, "columns_match", F.lit(None), enf["columns_match"])]))
             continue
         df = t.df
-        rows.append(_row(spark, name, base + 2, "columns_match",
-                         0 if list(df.columns) == contract.columns else 1, enf["columns_match"]))
-        prof = audits.table_profile(df)
-        rows.append(_agg_row(prof, "null_cells", name, base + 3, "null_cells", enf["null_cells"]))
-        text = _is_text_table(df, contract)
-        canon = canonical_view(df, contract) if text else df
-        rows.append(_agg_row(audits.duplicate_rows(canon), "duplicate_rows", name, base + 4,
-                             "duplicate_rows", enf["duplicate_rows"]))
         if name == "telemetry":
-            key = [k for k in contract.key if k in df.columns]
-            if len(key) == len(contract.key):
-                rows.append(_agg_row(audits.surplus_rows(canon, key), "surplus", name, base + 5,
-                                     "duplicate_keys", enf["duplicate_keys"]))
-            else:
-                rows.append(_row(spark, name, base + 5, "duplicate_keys", None,
-                                 enf["duplicate_keys"]))
+            key = list(contract.key)
+        elif name == "machines":
+            key = ["machineID"]
+        else:
+            key = None
+        stats, text = table_gate_stats(df, contract, key)
+        rules = [
+            _rule_struct(name, base + 1, "file_exists", F.lit(0), enf["file_exists"]),
+            _rule_struct(name, base + 2, "columns_match",
+                         F.lit(0 if list(df.columns) == contract.columns else 1), enf["columns_match"]),
+            _rule_struct(name, base + 3, "null_cells", F.col("null_cells"), enf["null_cells"]),
+            _rule_struct(name, base + 4, "duplicate_rows", F.col("duplicate_rows"),
+                         enf["duplicate_rows"]),
+        ]
+        if name == "telemetry":
+            v = F.col("duplicate_keys") if "duplicate_keys" in stats.columns else F.lit(None)
+            rules.append(_rule_struct(name, base + 5, "duplicate_keys", v, enf["duplicate_keys"]))
         if text:
-            checks = [F.count_if(F.col(f.name).isNotNull()
-                                 & typed_value(df, f.name, f.dataType).isNull())
-                      for f in contract.schema.fields
-                      if f.name in df.columns and not isinstance(f.dataType, T.StringType)]
-            bad = df.agg(sum(checks[1:], checks[0]).alias("bad")) if checks else \
-                spark.range(1).select(F.lit(0).alias("bad"))
-            rows.append(_agg_row(bad, "bad", name, base + 6, "unparseable_values",
-                                 enf["unparseable_values"]))
+            rules.append(_rule_struct(name, base + 6, "unparseable_values",
+                                      F.col("unparseable_values"), enf["unparseable_values"]))
         if contract.categorical and contract.categorical in df.columns:
-            c = F.col(contract.categorical)
-            unl = df.agg(F.count_if(c.isNotNull() & ~c.isin(*contract.categories)).alias("n"))
-            rows.append(_agg_row(unl, "n", name, base + 7, "unlisted_categories",
-                                 enf["unlisted_categories"]))
-        if name == "machines" and "machineID" in df.columns:
-            rows.append(_agg_row(audits.surplus_rows(canon, ["machineID"]), "surplus", name,
-                                 base + 8, "duplicate_machine_ids", enf["duplicate_machine_ids"]))
-    return _union(rows)
+            rules.append(_rule_struct(name, base + 7, "unlisted_categories",
+                                      F.col("unlisted_categories"), enf["unlisted_categories"]))
+        if name == "machines" and "duplicate_keys" in stats.columns:
+            rules.append(_rule_struct(name, base + 8, "duplicate_machine_ids",
+                                      F.col("duplicate_keys"), enf["duplicate_machine_ids"]))
+        parts.append(_rows_from(stats, rules))
+    return _union(parts)
 
 
 def merged_gate_report(master: DataFrame, telemetry: DataFrame,
                        key: tuple[str, ...] = tuple(C.KEY_COLUMNS)) -> DataFrame:
-    """Report of the merged gate: row counts, key uniqueness, required columns, nulls, types."""
-    spark = master.sparkSession
+    """Report of the merged gate: row counts, key uniqueness, required columns, nulls, types.
+
+    One grouping of the master by key yields rows, surplus keys and the null
+    counts (summed per key first); telemetry contributes only its row count.
+    """
     name = C.MASTER.name
-    rows: list[DataFrame] = []
-    counts = (master.select(F.lit(1).alias("_m"))
-              .unionByName(telemetry.select(F.lit(0).alias("_m")))
-              .agg(F.abs(F.count_if(F.col("_m") == 1) - F.count_if(F.col("_m") == 0)).alias("d")))
-    rows.append(_agg_row(counts, "d", name, 1, "row_count_match", True))
-    if all(k in master.columns for k in key):
-        rows.append(_agg_row(audits.surplus_rows(master, list(key)), "surplus", name, 2,
-                             "duplicate_keys", True))
-    else:
-        rows.append(_row(spark, name, 2, "duplicate_keys", None, True))
     required = C.SENSOR_COLUMNS + C.MACHINE_COLUMNS
     missing = [c for c in required if c not in master.columns]
-    rows.append(_row(spark, name, 3, "required_columns", len(missing), True))
-    prof = master.agg(audits.null_cell_expr(master, C.SENSOR_COLUMNS).alias("s"),
-                      audits.null_cell_expr(master, C.MACHINE_COLUMNS).alias("m"))
-    rows.append(_agg_row(prof, "s", name, 4, "null_sensor_cells", True))
-    rows.append(_agg_row(prof, "m", name, 5, "null_machine_cells", True))
-    rows.append(_row(spark, name, 6, "numeric_event_columns",
-                     len(non_numeric_event_columns(master)), True))
-    return _union(rows)
+    sensor_nulls = _count_true([audits.is_missing(master, c) for c in C.SENSOR_COLUMNS
+                                if c in master.columns])
+    machine_nulls = _count_true([audits.is_missing(master, c) for c in C.MACHINE_COLUMNS
+                                 if c in master.columns])
+    has_key = all(k in master.columns for k in key)
+    grouping = [F.col(k) for k in key] if has_key else [F.lit(0).alias("_all")]
+    per_key = master.groupBy(*grouping).agg(F.count(F.lit(1)).alias("_n"),
+                                            F.sum(sensor_nulls).alias("_s"),
+                                            F.sum(machine_nulls).alias("_m"))
+    m_stats = per_key.agg(F.sum("_n").alias("m_rows"), F.sum(F.col("_n") - 1).alias("dup"),
+                          F.sum("_s").alias("s"), F.sum("_m").alias("mm"))
+    t_stats = telemetry.agg(F.count(F.lit(1)).alias("t_rows"))
+    both = m_stats.unionByName(t_stats, allowMissingColumns=True).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ["m_rows", "dup", "s", "mm", "t_rows"]])
+    rules = [
+        _rule_struct(name, 1, "row_count_match", F.abs(F.col("m_rows") - F.col("t_rows")), True),
+        _rule_struct(name, 2, "duplicate_keys", F.col("dup") if has_key else F.lit(None), True),
+        _rule_struct(name, 3, "required_columns", F.lit(len(missing)), True),
+        _rule_struct(name, 4, "null_sensor_cells", F.col("s"), True),
+        _rule_struct(name, 5, "null_machine_cells", F.col("mm"), True),
+        _rule_struct(name, 6, "numeric_event_columns",
+                     F.lit(len(non_numeric_event_columns(master))), True),
+    ]
+    return _rows_from(both, rules)
 
 
 def event_columns_of(df: DataFrame) -> list[str]:
@@ -249,12 +305,9 @@ def enforce(report: DataFrame, details: dict[tuple[str, str], dict] | None = Non
     for r in rows:
         if r.enforced and r.passed is not True and r.violations is not None:
             messages = MERGED_MESSAGES if r.dataset == C.MASTER.name else RAW_MESSAGES
-            fmt = dict(details.get((r.dataset, r.rule), {}))
+            fmt = _Fields(details.get((r.dataset, r.rule), {}))
             fmt.setdefault("dataset", r.dataset)
-            try:
-                msg = messages[r.rule].format(**fmt)
-            except KeyError:
-                msg = f"{r.dataset}: rule {r.rule} failed with {r.violations} violations"
+            msg = messages[r.rule].format_map(fmt)
             if r.rule == "file_exists":
                 raise FileNotFoundError(msg)
             raise GateError(msg, r.dataset, r.rule)
