@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmend.session import cut_lineage
+from sparkmend.session import ensure_checkpoint_dir
 
 
 def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
@@ -25,10 +25,15 @@ def with_position(df: DataFrame, keys: list[str], name: str = "row_index",
                   partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order by ``keys``.
 
-    The sorted data is checkpointed to the shared checkpoint directory first, so
-    partition ids and in-partition offsets are stable however often they are read.
+    The sorted data is checkpointed (reliable, in the shared checkpoint folder)
+    with its partitioning intact, so partition ids and in-partition offsets are
+    stable however often they are read. It is persisted while the checkpoint is
+    written so the sort runs once.
     """
-    ordered = cut_lineage(total_sort(df, keys, partitions))
+    ensure_checkpoint_dir(df.sparkSession)
+    sorted_df = total_sort(df, keys, partitions).persist()
+    ordered = sorted_df.checkpoint(eager=True)
+    sorted_df.unpersist()
     tagged = (ordered.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # One row per partition: the partition count is the size bound of this table.

@@ -17,54 +17,58 @@ looks at (t, t + h], never at the current row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmend import contracts as C
+from sparkmend.functions.columns import ntz_epoch_micros
 
 DEFAULT_WINDOWS_HOURS = (3, 24)
 DEFAULT_LAGS = (1, 3, 24)
 DEFAULT_STATS = ("count", "mean", "std", "min", "max")
 HOUR_US = 3_600_000_000
+ORDER_COL = "_t_us"  # epoch microseconds of ``datetime`` (wall clock, zone-free)
 
 
-def _day_time_literal(micros: int) -> str:
-    """Spark SQL DAY TO SECOND interval literal for a number of microseconds."""
-    days, rest = divmod(micros, 86_400_000_000)
-    hours, rest = divmod(rest, HOUR_US)
-    minutes, rest = divmod(rest, 60_000_000)
-    seconds, us = divmod(rest, 1_000_000)
-    return f"INTERVAL '{days} {hours:02d}:{minutes:02d}:{seconds:02d}.{us:06d}' DAY TO SECOND"
+def _spec(key: str = "machineID") -> Window:
+    """The one window ordering all features share (one shuffle, one sort)."""
+    return Window.partitionBy(key).orderBy(ORDER_COL)
 
 
-def _over(expr: str, frame: str, key: str = "machineID", order: str = "datetime") -> Column:
-    return F.expr(f"{expr} OVER (PARTITION BY `{key}` ORDER BY `{order}` {frame})")
+def with_order_column(df: DataFrame, order: str = "datetime") -> DataFrame:
+    return df.withColumn(ORDER_COL, ntz_epoch_micros(order))
 
 
-def trailing_frame(hours: int) -> str:
-    """RANGE frame (t - hours, t]."""
-    return f"RANGE BETWEEN {_day_time_literal(hours * HOUR_US - 1)} PRECEDING AND CURRENT ROW"
+def trailing(hours: int, key: str = "machineID") -> Window:
+    """RANGE frame (t - hours, t] over the epoch-microsecond order column."""
+    return _spec(key).rangeBetween(-(hours * HOUR_US - 1), 0)
 
 
-def following_frame(hours: int) -> str:
+def following(hours: int, key: str = "machineID") -> Window:
     """RANGE frame (t, t + hours]."""
-    return (f"RANGE BETWEEN {_day_time_literal(1)} FOLLOWING "
-            f"AND {_day_time_literal(hours * HOUR_US)} FOLLOWING")
+    return _spec(key).rangeBetween(1, hours * HOUR_US)
 
 
-_STAT_SQL = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})",
-             "min": "min({c})", "max": "max({c})", "sum": "sum({c})"}
+def running(key: str = "machineID") -> Window:
+    return _spec(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+_STATS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+          "sum": F.sum}
 
 
 def rolling_exprs(sensors: list[str], windows_hours=DEFAULT_WINDOWS_HOURS,
                   stats=DEFAULT_STATS) -> list[Column]:
-    """``<sensor>_<stat>_<h>h`` over the trailing ``h`` hours, for every sensor, stat and h."""
+    """``<sensor>_<stat>_<h>h`` over the trailing ``h`` hours, for every sensor, stat and h.
+
+    Needs the order column (``with_order_column``); ``feature_table`` adds it.
+    """
     out = []
     for h in windows_hours:
-        frame = trailing_frame(h)
+        w = trailing(h)
         for s in sensors:
             for st in stats:
-                e = _over(_STAT_SQL[st].format(c=f"`{s}`"), frame)
+                e = _STATS[st](F.col(s)).over(w)
                 if st == "count":
                     e = e.cast("long")
                 out.append(e.alias(f"{s}_{st}_{h}h"))
@@ -73,35 +77,42 @@ def rolling_exprs(sensors: list[str], windows_hours=DEFAULT_WINDOWS_HOURS,
 
 def lag_exprs(sensors: list[str], lags=DEFAULT_LAGS) -> list[Column]:
     """``<sensor>_lag<n>`` (n rows back) and ``<sensor>_diff1`` (change since the previous row)."""
+    w = _spec()
     out = []
     for s in sensors:
         for n in lags:
-            out.append(_over(f"lag(`{s}`, {n})", "").alias(f"{s}_lag{n}"))
-        out.append((F.col(s) - _over(f"lag(`{s}`, 1)", "")).alias(f"{s}_diff1"))
+            out.append(F.lag(s, n).over(w).alias(f"{s}_lag{n}"))
+        out.append((F.col(s) - F.lag(s, 1).over(w)).alias(f"{s}_diff1"))
     return out
 
 
 def hours_since_exprs(event_cols: list[str], cumulative: list[str] | None = None) -> list[Column]:
     """``hours_since_<col>``: hours since the latest row (current included) with ``col > 0``;
     NULL before the first such row. ``cum_<col>``: running total of ``col``."""
-    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    w = running()
     out = []
     for c in event_cols:
-        last = _over(f"last(CASE WHEN `{c}` > 0 THEN datetime END, true)", running)
-        out.append((F.timestamp_diff("MICROSECOND", last, F.col("datetime")) / F.lit(float(HOUR_US)))
-                   .alias(f"hours_since_{c}"))
+        last_us = F.last(F.when(F.col(c) > 0, F.col(ORDER_COL)), ignorenulls=True).over(w)
+        out.append(((F.col(ORDER_COL) - last_us) / F.lit(float(HOUR_US))).alias(f"hours_since_{c}"))
     for c in cumulative or []:
-        out.append(_over(f"sum(`{c}`)", running).alias(f"cum_{c}"))
+        out.append(F.sum(c).over(w).alias(f"cum_{c}"))
     return out
 
 
 def label_expr(target: str = C.TARGET_COLUMN, horizon_hours: int = 24,
                name: str | None = None) -> Column:
     """1.0 when ``target`` is positive on some row in (t, t + horizon], else 0.0."""
-    e = _over(f"max(CASE WHEN `{target}` > 0 THEN 1.0D ELSE 0.0D END)", following_frame(horizon_hours))
+    e = F.max(F.when(F.col(target) > 0, F.lit(1.0)).otherwise(F.lit(0.0))).over(following(horizon_hours))
     return F.coalesce(e, F.lit(0.0)).alias(name or f"label_{horizon_hours}h")
 
 
+def window_features(df: DataFrame, exprs: list[Column], keep: list[str] | None = None) -> DataFrame:
+    """Select ``keep`` (default: all columns) plus window expressions, via the order column."""
+    base = with_order_column(df)
+    keep = list(df.columns) if keep is None else keep
+    return base.select(*[F.col(c) for c in keep], *exprs)
+
+
 def feature_table(master: DataFrame, sensors: list[str] | None = None,
                   windows_hours=DEFAULT_WINDOWS_HOURS, lags=DEFAULT_LAGS, stats=DEFAULT_STATS,
                   horizon_hours: int = 24) -> DataFrame:
@@ -109,15 +120,14 @@ def feature_table(master: DataFrame, sensors: list[str] | None = None,
     sensors = C.SENSOR_COLUMNS if sensors is None else sensors
     history = [c for c in C.MAINTENANCE_COUNT_COLUMNS + C.FAILURE_COUNT_COLUMNS if c in master.columns]
     errors = [c for c in C.ERROR_COUNT_COLUMNS if c in master.columns]
-    err_any = F.expr(" + ".join(f"`{c}`" for c in errors)) if errors else F.lit(0.0)
+    err_any = sum((F.col(c) for c in errors[1:]), F.col(errors[0])) if errors else F.lit(0.0)
     base = master.withColumn("error_count", err_any)
-    cols = [F.col(c) for c in base.columns]
-    cols += rolling_exprs(sensors, windows_hours, stats)
-    cols.append(_over("sum(error_count)", trailing_frame(24)).alias("error_count_24h"))
-    cols += lag_exprs(sensors, lags)
-    cols += hours_since_exprs(history + ["error_count"], cumulative=[C.TARGET_COLUMN, "error_count"])
-    cols.append(label_expr(C.TARGET_COLUMN, horizon_hours))
-    return base.select(*cols)
+    exprs = rolling_exprs(sensors, windows_hours, stats)
+    exprs.append(F.sum("error_count").over(trailing(24)).alias("error_count_24h"))
+    exprs += lag_exprs(sensors, lags)
+    exprs += hours_since_exprs(history + ["error_count"], cumulative=[C.TARGET_COLUMN, "error_count"])
+    exprs.append(label_expr(C.TARGET_COLUMN, horizon_hours))
+    return window_features(base, exprs)
 
 
 def latest_per_machine(df: DataFrame, key: str = "machineID", order: str = "datetime",

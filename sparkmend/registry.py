@@ -450,9 +450,9 @@ def _rolling_query(hours: int):
     def q(spark, sf_dir):
         from pyspark.sql import functions as F
 
-        from sparkmend.plans.features import rolling_exprs
-        return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"),
-                                             *rolling_exprs(_SENSORS, (hours,)))
+        from sparkmend.plans.features import rolling_exprs, window_features
+        return window_features(_master(spark, sf_dir), rolling_exprs(_SENSORS, (hours,)),
+                               keep=["machineID", "datetime"])
     q.__name__ = f"q_rolling_{hours}h"
     q.__doc__ = f"count / mean / std / min / max of every sensor over the trailing {hours} hours."
     return q
@@ -474,8 +474,8 @@ def _lag_sql() -> str:
 def q_lag_features(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import lag_exprs
-    return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"), *lag_exprs(_SENSORS))
+    from sparkmend.plans.features import lag_exprs, window_features
+    return window_features(_master(spark, sf_dir), lag_exprs(_SENSORS), keep=["machineID", "datetime"])
 
 
 _HISTORY = ["maint_comp1", "maint_comp2", "maint_comp3", "maint_comp4",
@@ -495,9 +495,9 @@ def q_hours_since_maintenance(spark, sf_dir):
     """Hours since the last maintenance / failure of each component; running failure count."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import hours_since_exprs
-    return _master(spark, sf_dir).select(F.col("machineID"), F.col("datetime"),
-                                         *hours_since_exprs(_HISTORY, cumulative=["failure"]))
+    from sparkmend.plans.features import hours_since_exprs, window_features
+    return window_features(_master(spark, sf_dir), hours_since_exprs(_HISTORY, cumulative=["failure"]),
+                           keep=["machineID", "datetime"])
 
 
 @register("label_24h", f"""{MASTER_WITH}
@@ -510,8 +510,9 @@ def q_label_24h(spark, sf_dir):
     """1.0 when a failure occurs in the next 24 hours (current row excluded)."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import label_expr
-    return _master(spark, sf_dir).select("machineID", "datetime", "failure", label_expr("failure", 24))
+    from sparkmend.plans.features import label_expr, window_features
+    return window_features(_master(spark, sf_dir), [label_expr("failure", 24)],
+                           keep=["machineID", "datetime", "failure"])
 
 
 @register("latest_status", f"""{MASTER_WITH}
@@ -530,39 +531,36 @@ def q_latest_status(spark, sf_dir):
 
 @register("train_and_score")
 def q_train_and_score(spark, sf_dir):
-    """Features -> time split -> GBT -> score the held-out hours -> prediction store -> read back."""
+    """Features -> time split -> GBT -> save -> load -> score the held-out hours -> store -> read back."""
     from sparkmend.plans.features import feature_table
-    from sparkmend.plans.model import save_model, score, store_predictions, train
+    from sparkmend.plans.model import load_model, save_model, score, store_predictions, train
     from sparkmend.session import scratch_path
-    feats = feature_table(_master(spark, sf_dir))
-    result, _ = train(feats, max_iter=10)
+    result, _ = train(feature_table(_master(spark, sf_dir)), max_iter=10)
     model_path = scratch_path(spark, "model")
     save_model(result.model, model_path)
-    from sparkmend.plans.model import load_model
-    from sparkmend.functions.columns import ntz_literal
-    from pyspark.sql import functions as F
-    held_out = feats.where(F.col("datetime") >= ntz_literal(result.cutoff))
     store = scratch_path(spark, "predictions")
-    store_predictions(score(load_model(model_path), held_out), store)
+    store_predictions(score(load_model(model_path), result.test), store)
     return spark.read.parquet(store)
 
 
 @register("retrain_weekly")
 def q_retrain_weekly(spark, sf_dir):
-    """Retrain on the trailing 21 days before the last full week; one row of training metrics."""
+    """Retrain on the 21 days before the last week boundary, then score the week after it."""
     import datetime as dt
 
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.model import retrain
+    from sparkmend.functions.columns import ntz_literal
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import retrain, score
     from sparkmend.session import scratch_path
     master = _master(spark, sf_dir)
     last = master.agg(F.max("datetime").alias("m")).first().m
     as_of = dt.datetime.combine(last.date() - dt.timedelta(days=last.weekday()), dt.time())
     res = retrain(master, as_of, train_days=21, model_root=scratch_path(spark, "models"), max_iter=10)
-    row = {"as_of": as_of.strftime("%Y-%m-%d"), **{k: float(v) for k, v in res.metrics.items()},
-           "features": float(len(res.feature_columns))}
-    return spark.createDataFrame([row])
+    week = master.where(F.col("datetime") >= ntz_literal(as_of - dt.timedelta(days=1)))
+    feats = feature_table(week).where(F.col("datetime") >= ntz_literal(as_of))
+    return score(res.model, feats).withColumn("as_of", F.lit(as_of.strftime("%Y-%m-%d")))
 
 
 # ---------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def _brute(pdf, fn):
 
 def test_rolling_matches_brute_force(spark):
     df = _master(spark)
-    got = df.select("machineID", "datetime", *FT.rolling_exprs(["volt"], (3, 24))).toPandas() \
+    got = FT.window_features(df, FT.rolling_exprs(["volt"], (3, 24)), ["machineID", "datetime"]).toPandas() \
         .sort_values(["machineID", "datetime"]).reset_index(drop=True)
     pdf = df.toPandas()
 
@@ -58,9 +58,9 @@ def test_rolling_matches_brute_force(spark):
 
 def test_lags_history_and_label(spark):
     df = _master(spark)
-    got = df.select("machineID", "datetime", *FT.lag_exprs(["volt"], (1, 3)),
-                    *FT.hours_since_exprs(["maint_comp1"], ["failure"]),
-                    FT.label_expr("failure", 24)).toPandas().sort_values(["machineID", "datetime"]) \
+    exprs = [*FT.lag_exprs(["volt"], (1, 3)), *FT.hours_since_exprs(["maint_comp1"], ["failure"]),
+             FT.label_expr("failure", 24)]
+    got = FT.window_features(df, exprs, ["machineID", "datetime"]).toPandas().sort_values(["machineID", "datetime"]) \
         .reset_index(drop=True)
 
     def fn(g):
