@@ -450,9 +450,9 @@ def _rolling_query(hours: int):
     def q(spark, sf_dir):
         from pyspark.sql import functions as F
 
-        from sparkmend.plans.features import rolling_exprs, window_features
-        return window_features(_master(spark, sf_dir), rolling_exprs(_SENSORS, (hours,)),
-                               keep=["machineID", "datetime"])
+        from sparkmend.plans.features import window_features
+        return window_features(_master(spark, sf_dir), ["machineID", "datetime"], sensors=_SENSORS,
+                               windows_hours=(hours,))
     q.__name__ = f"q_rolling_{hours}h"
     q.__doc__ = f"count / mean / std / min / max of every sensor over the trailing {hours} hours."
     return q
@@ -462,20 +462,27 @@ register("rolling_24h", _rolling_sql(24))(_rolling_query(24))
 register("rolling_3h", _rolling_sql(3))(_rolling_query(3))
 
 
+def _hour_back_sql(n: int) -> str:
+    return (f"({_W} RANGE BETWEEN INTERVAL {(n + 1) * _HOUR_US - 1} MICROSECONDS PRECEDING "
+            f"AND INTERVAL {n * _HOUR_US} MICROSECONDS PRECEDING)")
+
+
 def _lag_sql() -> str:
     cols = []
     for s in _SENSORS:
-        cols += [f"lag({s}, {n}) OVER ({_W}) AS {s}_lag{n}" for n in (1, 3, 24)]
-        cols.append(f"{s} - lag({s}, 1) OVER ({_W}) AS {s}_diff1")
+        cols += [f"last_value({s}) OVER {_hour_back_sql(n)} AS {s}_lag{n}" for n in (1, 3, 24)]
+        cols.append(f"{s} - last_value({s}) OVER {_hour_back_sql(1)} AS {s}_diff1")
     return f"{MASTER_WITH}\nSELECT machineID, datetime,\n  " + ",\n  ".join(cols) + "\nFROM master"
 
 
 @register("lag_features", _lag_sql())
 def q_lag_features(spark, sf_dir):
+    """Value of each sensor 1, 3 and 24 hours back (NULL if that hour has no row), and the change."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import lag_exprs, window_features
-    return window_features(_master(spark, sf_dir), lag_exprs(_SENSORS), keep=["machineID", "datetime"])
+    from sparkmend.plans.features import window_features
+    return window_features(_master(spark, sf_dir), ["machineID", "datetime"], sensors=_SENSORS,
+                           lags=(1, 3, 24))
 
 
 _HISTORY = ["maint_comp1", "maint_comp2", "maint_comp3", "maint_comp4",
@@ -495,9 +502,9 @@ def q_hours_since_maintenance(spark, sf_dir):
     """Hours since the last maintenance / failure of each component; running failure count."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import hours_since_exprs, window_features
-    return window_features(_master(spark, sf_dir), hours_since_exprs(_HISTORY, cumulative=["failure"]),
-                           keep=["machineID", "datetime"])
+    from sparkmend.plans.features import window_features
+    return window_features(_master(spark, sf_dir), ["machineID", "datetime"], history=_HISTORY,
+                           cumulative=["failure"])
 
 
 @register("label_24h", f"""{MASTER_WITH}
@@ -510,9 +517,9 @@ def q_label_24h(spark, sf_dir):
     """1.0 when a failure occurs in the next 24 hours (current row excluded)."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import label_expr, window_features
-    return window_features(_master(spark, sf_dir), [label_expr("failure", 24)],
-                           keep=["machineID", "datetime", "failure"])
+    from sparkmend.plans.features import window_features
+    return window_features(_master(spark, sf_dir), ["machineID", "datetime", "failure"],
+                           label_target="failure", horizon_hours=24)
 
 
 @register("latest_status", f"""{MASTER_WITH}

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sparkmend.plans import features as FT
@@ -33,10 +34,22 @@ def _brute(pdf, fn):
     return pd.concat(out).sort_values(["machineID", "datetime"]).reset_index(drop=True)
 
 
-def test_rolling_matches_brute_force(spark):
+def _sorted(pdf):
+    return pdf.sort_values(["machineID", "datetime"]).reset_index(drop=True)
+
+
+def _assert_close(got, exp, cols):
+    for c in cols:
+        a, b = got[c].astype(float).to_numpy(), exp[c].astype(float).to_numpy()
+        for x, y in zip(a, b):
+            assert (math.isnan(x) and math.isnan(y)) or abs(x - y) <= 1e-9 * max(1, abs(y)), c
+
+
+@pytest.mark.parametrize("bucket", [None, 24, 168])
+def test_rolling_matches_brute_force(spark, bucket):
     df = _master(spark)
-    got = FT.window_features(df, FT.rolling_exprs(["volt"], (3, 24)), ["machineID", "datetime"]).toPandas() \
-        .sort_values(["machineID", "datetime"]).reset_index(drop=True)
+    got = _sorted(FT.window_features(df, ["machineID", "datetime"], bucket, sensors=["volt"],
+                                     windows_hours=(3, 24)).toPandas())
     pdf = df.toPandas()
 
     def fn(g):
@@ -50,24 +63,22 @@ def test_rolling_matches_brute_force(spark):
                 res[f"volt_{st}_{h}h"] = [v[j] for v in vals]
         return res
     exp = _brute(pdf, fn)
-    for c in exp.columns[2:]:
-        a, b = got[c].astype(float).to_numpy(), exp[c].astype(float).to_numpy()
-        for x, y in zip(a, b):
-            assert (math.isnan(x) and math.isnan(y)) or abs(x - y) <= 1e-9 * max(1, abs(y)), c
+    _assert_close(got, exp, exp.columns[2:])
 
 
-def test_lags_history_and_label(spark):
+@pytest.mark.parametrize("bucket", [None, 26, 168])
+def test_lags_history_and_label(spark, bucket):
     df = _master(spark)
-    exprs = [*FT.lag_exprs(["volt"], (1, 3)), *FT.hours_since_exprs(["maint_comp1"], ["failure"]),
-             FT.label_expr("failure", 24)]
-    got = FT.window_features(df, exprs, ["machineID", "datetime"]).toPandas().sort_values(["machineID", "datetime"]) \
-        .reset_index(drop=True)
+    got = _sorted(FT.window_features(df, ["machineID", "datetime"], bucket, sensors=["volt"], lags=(1, 3),
+                                     history=["maint_comp1"], cumulative=["failure"],
+                                     label_target="failure", horizon_hours=24).toPandas())
 
     def fn(g):
         res = g[["machineID", "datetime"]].copy()
-        res["volt_lag1"] = g.volt.shift(1)
-        res["volt_lag3"] = g.volt.shift(3)
-        res["volt_diff1"] = g.volt - g.volt.shift(1)
+        by_time = dict(zip(g.datetime, g.volt))
+        for n in (1, 3):
+            res[f"volt_lag{n}"] = [by_time.get(t - pd.Timedelta(hours=n), float("nan")) for t in g.datetime]
+        res["volt_diff1"] = g.volt - res["volt_lag1"]
         last = g.datetime.where(g.maint_comp1 > 0).ffill()
         res["hours_since_maint_comp1"] = (g.datetime - last).dt.total_seconds() / 3600
         res["cum_failure"] = g.failure.cumsum()
@@ -75,14 +86,29 @@ def test_lags_history_and_label(spark):
                                    & (g.failure > 0)).any()) for t in g.datetime]
         return res
     exp = _brute(df.toPandas(), fn)
-    pd.testing.assert_frame_equal(got[exp.columns], exp, check_dtype=False)
+    _assert_close(got, exp, exp.columns[2:])
+
+
+def test_split_equals_per_machine(spark):
+    df = _master(spark).withColumn("failure_comp1", F.col("failure")).withColumn("volt2", F.col("volt"))
+    a = _sorted(FT.feature_table(df, sensors=["volt"], bucket_hours=30).toPandas())
+    b = _sorted(FT.feature_table(df, sensors=["volt"], bucket_hours=None).toPandas())
+    assert list(a.columns) == list(b.columns)
+    _assert_close(a, b, [c for c in a.columns if c not in ("machineID", "datetime")])
+    with pytest.raises(ValueError, match="bucket_hours"):
+        FT.feature_table(df, sensors=["volt"], bucket_hours=12)
 
 
-def test_feature_table_one_window_shuffle(spark):
+def test_feature_rows_shuffle_once(spark):
     df = _master(spark)
     ft = FT.feature_table(df, sensors=["volt", "rotate"])
     plan = ft._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1  # all frames share one shuffle
+    # the rows (with halos) are shuffled once by (machine, bucket) and the windows reuse
+    # that partitioning; the only other (machine, bucket) exchange moves the small
+    # per-bucket prefix to the join (none when it is broadcast)
+    bucket_exchanges = [ln for ln in plan.split("\n") if "Exchange hashpartitioning" in ln and "_bucket" in ln]
+    assert len(bucket_exchanges) in (1, 2)
+    assert "Exchange hashpartitioning(machineID#" in plan
     assert ft.count() == df.count()
 
 
