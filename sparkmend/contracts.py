@@ -113,3 +113,44 @@ MASTER_COLUMNS = MASTER.columns
 def raw_contracts() -> dict[str, TableContract]:
     """The raw-table entries of the registry; the master entry is not a raw table."""
     return dict(RAW_CONTRACTS)
+
+
+# Declared pandas dtypes and the Spark type each one is read as.
+DTYPE_TO_SPARK = {"int64": LONG, "float64": DOUBLE, "object": STRING, "bool": T.BooleanType(),
+                  "datetime64[ns]": TS}
+MASTER_KEY = "Master_Dataset"
+
+
+def load_contracts(path: str, timestamp_columns: tuple[str, ...] = ("datetime",)
+                   ) -> tuple[dict[str, TableContract], TableContract | None, str | None]:
+    """Read a schema file (``<table>: {columns: {name: dtype}}``) into contracts.
+
+    Returns (raw-table contracts in file order, master contract or None, target
+    column or None). The master entry is not a raw table; its ``target_column``
+    sits inside it. Columns named in ``timestamp_columns`` are text in the raw
+    files and parsed as timestamps, so they are typed ``timestamp_ntz``.
+    """
+    import yaml
+
+    with open(path) as fh:
+        spec = yaml.safe_load(fh) or {}
+    raw: dict[str, TableContract] = {}
+    master = None
+    target = spec.get("target_column")
+    for name, body in spec.items():
+        if not isinstance(body, dict) or "columns" not in body:
+            continue
+        fields = []
+        for col, dtype in body["columns"].items():
+            t = TS if col in timestamp_columns else DTYPE_TO_SPARK.get(str(dtype), STRING)
+            fields.append(T.StructField(col, t, True))
+        schema = T.StructType(fields)
+        if name == MASTER_KEY:
+            master = TableContract(name, schema, key=tuple(k for k in KEY_COLUMNS if k in schema.names))
+            target = body.get("target_column", target)
+            continue
+        known = RAW_CONTRACTS.get(name)
+        raw[name] = TableContract(name, schema, key=known.key if known else (),
+                                  categorical=known.categorical if known else None,
+                                  categories=known.categories if known else ())
+    return raw, master, target

@@ -33,26 +33,30 @@ class ValidationArtifact:
     report_path: str
 
 
-def read_raw_inputs(spark: SparkSession, raw_data_dir: str) -> list[gates.RawInput]:
+def read_raw_inputs(spark: SparkSession, raw_data_dir: str,
+                    contracts: dict[str, C.TableContract] | None = None) -> list[gates.RawInput]:
     """Every contract table as text from ``<raw_data_dir>/<name>.csv`` (None when missing)."""
     out = []
-    for name in C.RAW_TABLE_ORDER:
+    for name in (contracts or C.RAW_CONTRACTS):
         path = f"{raw_data_dir.rstrip('/')}/{name}.csv"
         out.append(gates.RawInput(name, try_read_text_csv(spark, path), path))
     return out
 
 
-def typed_tables(inputs: list[gates.RawInput]) -> dict[str, DataFrame]:
+def typed_tables(inputs: list[gates.RawInput],
+                 contracts: dict[str, C.TableContract] | None = None) -> dict[str, DataFrame]:
     """Cast each raw table to its contract (timestamps strict: bad text raises)."""
-    return {i.name: cast_to_contract(i.df, C.RAW_CONTRACTS[i.name]) for i in inputs}
+    contracts = contracts or C.RAW_CONTRACTS
+    return {i.name: cast_to_contract(i.df, contracts[i.name]) for i in inputs}
 
 
-def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool = False
-                 ) -> list:
+def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool = False,
+                 contracts: dict[str, C.TableContract] | None = None) -> list:
     """Run the raw gate; returns its report rows, raises on the first failed rule."""
-    report = gates.raw_gate_report(spark, inputs, strict=strict)
+    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict)
     rows = sorted(report.collect(), key=lambda r: r.rule_order)
-    gates.enforce(spark.createDataFrame(rows, gates.REPORT_SCHEMA), gates.raw_details(inputs))
+    gates.enforce(spark.createDataFrame(rows, gates.REPORT_SCHEMA),
+                  gates.raw_details(inputs, contracts))
     return rows
 
 
@@ -62,16 +66,17 @@ def _write_status(spark: SparkSession, path: str, status: bool) -> None:
 
 
 def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict: bool = False,
-                   csv_copy: bool = True) -> ValidationArtifact:
+                   csv_copy: bool = True, contracts: dict[str, C.TableContract] | None = None
+                   ) -> ValidationArtifact:
     """Full stage 2. Writes ``master`` (Parquet, sorted by key), optionally ``master_csv``,
     ``report`` (JSON rows of both gates) and ``status`` (text) under ``out_dir``."""
     out = out_dir.rstrip("/")
     status_path, report_path = f"{out}/status", f"{out}/report"
     master_path = f"{out}/master"
     try:
-        inputs = read_raw_inputs(spark, raw_data_dir)
-        raw_rows = validate_raw(spark, inputs, strict)
-        typed = typed_tables(inputs)
+        inputs = read_raw_inputs(spark, raw_data_dir, contracts)
+        raw_rows = validate_raw(spark, inputs, strict, contracts)
+        typed = typed_tables(inputs, contracts)
         master = merge_master(typed["telemetry"], typed["machines"], typed["failures"],
                               typed["maintenance"], typed["errors"])
         staging = f"{ensure_checkpoint_dir(spark).rstrip('/')}/master-staging-{uuid.uuid4().hex[:12]}"
@@ -82,7 +87,7 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
         merged = gates.merged_gate_report(written, telemetry)
         merged_rows = sorted(merged.collect(), key=lambda r: r.rule_order)
         master_rows = obs.get["rows"]
-        tel_rows = master_rows - (merged_rows[0].violations or 0) if merged_rows else None
+        tel_rows = telemetry.count() if merged_rows and merged_rows[0].passed is False else master_rows
         gates.enforce(spark.createDataFrame(merged_rows, gates.REPORT_SCHEMA),
                       gates.merged_details(written, master_rows, tel_rows))
         ordered = total_sort(written, C.KEY_COLUMNS)
