@@ -117,24 +117,6 @@ def typed_value(df: DataFrame, name: str, target: T.DataType) -> Column:
     return c.try_cast(target.simpleString())
 
 
-def canonical_view(df: DataFrame, contract: C.TableContract) -> DataFrame:
-    """Columns compared by value: parsed where the text parses, else the text itself.
-
-    Two cells that parse to the same number are equal (as they are for pandas),
-    and two unparseable strings compare as strings.
-    """
-    types = {f.name: f.dataType for f in contract.schema.fields}
-    out = []
-    for name in df.columns:
-        if name in types and isinstance(df.schema[name].dataType, T.StringType) \
-                and not isinstance(types[name], T.StringType):
-            out.append(F.coalesce(typed_value(df, name, types[name]).cast("string"),
-                                  F.col(name)).alias(name))
-        else:
-            out.append(F.col(name))
-    return df.select(*out)
-
-
 def _rule_struct(dataset: str, order: int, rule: str, violations: Column, enforced: bool
                  ) -> Column:
     v = violations.cast("long")
@@ -155,6 +137,31 @@ def _count_true(conds: list[Column]) -> Column:
     return sum((c.cast("int") for c in conds[1:]), conds[0].cast("int"))
 
 
+def value_view(df: DataFrame, contract: C.TableContract) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Columns compared by value, without formatting anything back to text.
+
+    A text column declared non-string becomes two columns: its parsed value
+    (NULL where it does not parse) and its text where it does not parse (else
+    NULL). Two cells are then equal when they parse to the same value (as for a
+    typed reader: ``7`` equals ``7.0``) or are the same unparseable text.
+    Returns the view and, per original column, the view columns that stand for it.
+    """
+    types = {f.name: f.dataType for f in contract.schema.fields}
+    out, parts = [], {}
+    for name in df.columns:
+        t = types.get(name)
+        raw = F.col(f"`{name}`")
+        if t is not None and not isinstance(t, T.StringType) \
+                and isinstance(df.schema[name].dataType, T.StringType):
+            v = typed_value(df, name, t)
+            out += [v.alias(f"{name}__v"), F.when(raw.isNotNull() & v.isNull(), raw).alias(f"{name}__x")]
+            parts[name] = [f"{name}__v", f"{name}__x"]
+        else:
+            out.append(raw.alias(name))
+            parts[name] = [name]
+    return df.select(*out), parts
+
+
 def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] | None = None
                      ) -> tuple[DataFrame, bool]:
     """All data rules of one table from a single scan: returns (one stats row, text mode).
@@ -165,16 +172,19 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
     duplicate keys come from a second grouping of the (already reduced) groups.
     """
     text = _is_text_table(df, contract)
-    canon = canonical_view(df, contract) if text else df
-    types = {f.name: f.dataType for f in contract.schema.fields}
-    groups = canon.groupBy(*[F.col(f"`{c}`") for c in canon.columns]).agg(
-        F.count(F.lit(1)).alias("_n"))
+    view, parts = value_view(df, contract) if text else (df, {c: [c] for c in df.columns})
+    groups = view.groupBy(*[F.col(f"`{c}`") for c in view.columns]).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
-    missing = _count_true([audits.is_missing(canon, c) for c in canon.columns])
-    bad = _count_true([F.col(c).isNotNull() & typed_value(canon, c, types[c]).isNull()
-                       for c in canon.columns
-                       if text and c in types and not isinstance(types[c], T.StringType)])
-    if contract.categorical and contract.categorical in canon.columns:
+    missing_conds, bad_conds = [], []
+    for name, cols in parts.items():
+        if len(cols) == 2:
+            v, x = F.col(cols[0]), F.col(cols[1])
+            missing_conds.append(v.isNull() & x.isNull())
+            bad_conds.append(x.isNotNull())
+        else:
+            missing_conds.append(audits.is_missing(view, cols[0]))
+    missing, bad = _count_true(missing_conds), _count_true(bad_conds)
+    if contract.categorical and contract.categorical in view.columns:
         cat = F.col(contract.categorical)
         unlisted = (cat.isNotNull() & ~cat.isin(*contract.categories)).cast("int")
     else:
@@ -185,8 +195,9 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
         F.coalesce(F.sum(n * bad), F.lit(0)).alias("unparseable_values"),
         F.coalesce(F.sum(n * unlisted), F.lit(0)).alias("unlisted_categories"))
-    if key and all(k in canon.columns for k in key):
-        keyed = (groups.groupBy(*key).agg(F.sum(n).alias("_k"))
+    if key and all(k in parts for k in key):
+        key_cols = [c for k in key for c in parts[k]]
+        keyed = (groups.groupBy(*key_cols).agg(F.sum(n).alias("_k"))
                  .agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_keys")))
         stats = stats.unionByName(keyed, allowMissingColumns=True).agg(
             *[F.max(c).alias(c) for c in stats.columns + ["duplicate_keys"]])
