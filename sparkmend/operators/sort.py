@@ -1,10 +1,11 @@
 """Total order by key: range-partitioned sort, and an explicit 1-based position.
 
 A total sort is range partitioning (one sampling job, then a shuffle) plus a sort
-inside each partition; partition i holds only keys below those of partition i+1.
-The position of a row is then the number of rows in earlier partitions plus its
-index inside its own partition. Only one count per partition reaches a tiny
-prefix sum, so no task ever holds more than its own partition.
+inside each partition; partition i holds only keys below those of partition i+1,
+and a write turns partition i into file ``part-<i>``. The position of a row is
+then the number of rows in earlier files plus its rank inside its own file. Only
+one count per file reaches a tiny prefix sum, so no task ever holds more than
+one range partition.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmend.session import ensure_checkpoint_dir
+from sparkmend.session import scratch_path
 
 
 def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
@@ -21,27 +22,37 @@ def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) ->
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
+def write_sorted(df: DataFrame, keys: list[str], path: str, partitions: int | None = None) -> None:
+    """Write ``df`` as Parquet files whose name order is the key order."""
+    total_sort(df, keys, partitions).write.mode("overwrite").parquet(path)
+
+
+def positions_of_sorted_table(spark, path: str, keys: list[str], name: str = "row_index"
+                              ) -> DataFrame:
+    """Read a table written by ``write_sorted`` and add its 1-based position in key order.
+
+    Keys must identify rows (ties would make the rank inside a file arbitrary).
+    """
+    rows = spark.read.parquet(path).withColumn("_file", F.input_file_name())
+    # one row per file: the number of files bounds this table; files are ordered by
+    # the partition number in their name (numerically, not as text)
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_part", F.regexp_extract(F.col("_file"), r"/part-(\d+)[^/]*$", 1).cast("long"))
+    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy("_file").orderBy(*keys))
+    return (rows.withColumn("_rank", rank).join(F.broadcast(offsets), "_file")
+            .withColumn(name, F.col("_off") + F.col("_rank"))
+            .drop("_file", "_rank", "_off"))
+
+
 def with_position(df: DataFrame, keys: list[str], name: str = "row_index",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, path: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order by ``keys``.
 
-    The sorted data is checkpointed (reliable, in the shared checkpoint folder)
-    with its partitioning intact, so partition ids and in-partition offsets are
-    stable however often they are read. It is persisted while the checkpoint is
-    written so the sort runs once.
+    The sorted rows are written once (to ``path``, or a scratch table in the shared
+    checkpoint folder) and positions are computed from that table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    sorted_df = total_sort(df, keys, partitions).persist()
-    ordered = sorted_df.checkpoint(eager=True)
-    sorted_df.unpersist()
-    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    # One row per partition: the partition count is the size bound of this table.
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
-            .drop("_pid", "_mid", "_off"))
+    path = path or scratch_path(df.sparkSession, "sorted")
+    write_sorted(df, keys, path, partitions)
+    return positions_of_sorted_table(df.sparkSession, path, keys, name)

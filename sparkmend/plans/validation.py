@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkmend import contracts as C
 from sparkmend.operators import gates
-from sparkmend.operators.sort import total_sort
+from sparkmend.operators.sort import write_sorted
 from sparkmend.plans.master import merge_master
 from sparkmend.session import ensure_checkpoint_dir
 from sparkmend.sources.csv import cast_to_contract, try_read_text_csv, write_csv
@@ -90,8 +90,7 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
         tel_rows = telemetry.count() if merged_rows and merged_rows[0].passed is False else master_rows
         gates.enforce(spark.createDataFrame(merged_rows, gates.REPORT_SCHEMA),
                       gates.merged_details(written, master_rows, tel_rows))
-        ordered = total_sort(written, C.KEY_COLUMNS)
-        ordered.write.mode("overwrite").parquet(master_path)
+        write_sorted(written, C.KEY_COLUMNS, master_path)
         if csv_copy:
             write_csv(spark.read.parquet(master_path), f"{out}/master_csv")
         (spark.createDataFrame(raw_rows + merged_rows, gates.REPORT_SCHEMA).coalesce(1)

@@ -86,3 +86,27 @@ def test_hourly_scoring_stream_writes_predictions(spark, trained):
     closed = spark.read.parquet(hist).count()
     assert preds.count() == closed > 0
     assert preds.select("machineID", "datetime").distinct().count() == closed
+
+
+def test_watermark_late_data_and_restart(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def events(rows, name):
+        df = spark.createDataFrame(
+            [(i, dt.datetime(2024, 1, 1, h, m), 1, "view", v, "{}") for i, (h, m, v) in enumerate(rows)],
+            H.EVENT_SCHEMA)
+        df.coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+
+    def run():
+        q = H.run_hourly_telemetry(spark, f"{src}/*", out, ck, delay="1 hour")
+        q.awaitTermination()
+        return {(r.datetime.hour, r.pressure) for r in spark.read.parquet(out).collect()}
+
+    events([(0, 10, 1.0), (1, 10, 2.0), (2, 10, 3.0), (3, 10, 4.0)], "a")
+    # watermark = 03:10 - 1 h = 02:10: the hours ending by then are final
+    assert run() == {(0, 1.0), (1, 1.0)}
+    # 01:30 is behind the watermark (its hour was emitted): dropped, nothing rewritten;
+    # 02:40 is late but within the delay: counted in the still-open hour 2;
+    # 06:00 moves the watermark to 05:00
+    events([(1, 30, 9.0), (2, 40, 5.0), (6, 0, 6.0)], "b")
+    assert run() == {(0, 1.0), (1, 1.0), (2, 2.0), (3, 1.0)}
