@@ -2,7 +2,7 @@
 
 ingest     collections (JSON-lines folders) -> one headered CSV per table
 validate   raw CSV tables -> raw gate -> master -> merged gate -> sinks and status
-pipeline   ingest, then validate; exit status 1 when validation fails
+run        ingest, then validate; exit status 1 when validation fails
 train      master -> features -> time-split GBT -> saved model; prints metrics
 score      master -> features -> predictions into the day-partitioned store (+ latest status)
 retrain    weekly retraining as of a date, model saved under <model-root>/as_of=<date>
@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--out", required=True)
     a.add_argument("--strict", action="store_true")
     a.add_argument("--schema", help="schema file: <table>: {columns: {name: dtype}}")
-    a = sub.add_parser("pipeline")
+    a = sub.add_parser("run")
     a.add_argument("--collections", required=True)
     a.add_argument("--work", required=True)
     a.add_argument("--strict", action="store_true")
@@ -73,9 +73,9 @@ def main(argv: list[str] | None = None) -> int:
         contracts = load_contracts(args.schema)[0] if args.schema else None
         art = run_validation(spark, args.raw_dir, args.out, args.strict, contracts=contracts)
         print(json.dumps(art.__dict__))
-    elif args.cmd == "pipeline":
-        from sparkmend.plans.validation import run_pipeline
-        res = run_pipeline(spark, args.collections, args.work, args.strict)
+    elif args.cmd == "run":
+        from sparkmend.plans.validation import run_stages
+        res = run_stages(spark, args.collections, args.work, args.strict)
         print(json.dumps({"raw_data_dir": res.raw_data_dir, "halted": res.halted}))
         return 1 if res.halted else 0
     elif args.cmd == "train":

@@ -1,4 +1,4 @@
-"""The validation stage and the two-stage pipeline.
+"""The validation stage, and ingestion followed by validation.
 
 Stage 2 (validation): raw gate -> merge -> merged gate -> sinks -> artifact.
 The raw gate is one job over all five tables; the merged table is written once
@@ -103,16 +103,16 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
 
 
 @dataclass(frozen=True)
-class PipelineResult:
+class StagesResult:
     raw_data_dir: str
     validation: ValidationArtifact | None
     halted: bool
 
 
-def run_pipeline(spark: SparkSession, collections_root: str, work_dir: str,
-                 strict: bool = False) -> PipelineResult:
+def run_stages(spark: SparkSession, collections_root: str, work_dir: str,
+                 strict: bool = False) -> StagesResult:
     """Stage 1 (collections -> raw CSV) then stage 2 (validation); stops when invalid."""
     work = work_dir.rstrip("/")
     ing = ingest(spark, collections_root, f"{work}/raw_data")
     art = run_validation(spark, ing.raw_data_dir, f"{work}/validation", strict=strict)
-    return PipelineResult(ing.raw_data_dir, art, halted=not art.validation_status)
+    return StagesResult(ing.raw_data_dir, art, halted=not art.validation_status)

@@ -1,4 +1,4 @@
-"""Stage 2 end to end (CSV -> gates -> master -> sinks), stage 1 and the two-stage pipeline."""
+"""Stage 2 end to end (CSV -> gates -> master -> sinks), stage 1, and both stages in a row."""
 
 import glob
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fixtures import TABLES, write_all
 from sparkmend import contracts as C
 from sparkmend.operators.gates import GateError
-from sparkmend.plans.validation import run_pipeline, run_validation
+from sparkmend.plans.validation import run_stages, run_validation
 from sparkmend.sources.csv import read_text_csv
 from sparkmend.sources.documents import append_documents, ingest, read_collection
 
@@ -61,14 +61,14 @@ def test_document_scan_drops_id_and_bulk_load_appends(spark, tmp_path):
     assert read_collection(spark, path, C.MACHINES.schema).count() == 2
 
 
-def test_two_stage_pipeline_from_collections(spark, write_csv, tmp_path):
+def test_ingest_then_validate_from_collections(spark, write_csv, tmp_path):
     # stage 0: load the hand-made CSVs into collections, as the bulk loader does
     folder = write_all(write_csv)
     root = str(tmp_path / "collections")
     for name in C.RAW_TABLE_ORDER:
         append_documents(read_text_csv(spark, os.path.join(folder, f"{name}.csv")),
                          f"{root}/{name}")
-    res = run_pipeline(spark, root, str(tmp_path / "work"))
+    res = run_stages(spark, root, str(tmp_path / "work"))
     assert not res.halted and res.validation.validation_status
     assert spark.read.parquet(res.validation.merged_data_path).count() == 5
     ing = ingest(spark, root, str(tmp_path / "raw2"))
