@@ -442,8 +442,6 @@ def _master(spark, sf_dir):
 
 def _rolling_query(hours: int):
     def q(spark, sf_dir):
-        from pyspark.sql import functions as F
-
         from sparkmend.plans.features import window_features
         return window_features(_master(spark, sf_dir), ["machineID", "datetime"], sensors=_SENSORS,
                                windows_hours=(hours,))
@@ -472,8 +470,6 @@ def _lag_sql() -> str:
 @register("lag_features", _lag_sql())
 def q_lag_features(spark, sf_dir):
     """Value of each sensor 1, 3 and 24 hours back (NULL if that hour has no row), and the change."""
-    from pyspark.sql import functions as F
-
     from sparkmend.plans.features import window_features
     return window_features(_master(spark, sf_dir), ["machineID", "datetime"], sensors=_SENSORS,
                            lags=(1, 3, 24))
@@ -494,8 +490,6 @@ def _history_sql() -> str:
 @register("hours_since_maintenance", _history_sql())
 def q_hours_since_maintenance(spark, sf_dir):
     """Hours since the last maintenance / failure of each component; running failure count."""
-    from pyspark.sql import functions as F
-
     from sparkmend.plans.features import window_features
     return window_features(_master(spark, sf_dir), ["machineID", "datetime"], history=_HISTORY,
                            cumulative=["failure"])
@@ -509,8 +503,6 @@ SELECT machineID, datetime, failure,
 FROM master""")
 def q_label_24h(spark, sf_dir):
     """1.0 when a failure occurs in the next 24 hours (current row excluded)."""
-    from pyspark.sql import functions as F
-
     from sparkmend.plans.features import window_features
     return window_features(_master(spark, sf_dir), ["machineID", "datetime", "failure"],
                            label_target="failure", horizon_hours=24)
