@@ -536,6 +536,15 @@ def q_train_and_score(spark, sf_dir):
     return spark.read.parquet(store)
 
 
+@register("latest_health")
+def q_latest_health(spark, sf_dir):
+    """Score every hour with the trained model; the newest hour per machine is its health status."""
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import latest_health, train
+    result, _ = train(feature_table(_master(spark, sf_dir)), max_iter=10)
+    return latest_health(result.model, result.features)
+
+
 @register("retrain_weekly")
 def q_retrain_weekly(spark, sf_dir):
     """Retrain on the 21 days before the last week boundary, then score the week after it."""

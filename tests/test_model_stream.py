@@ -42,6 +42,15 @@ def test_train_evaluate_save_load_score(spark, trained, tmp_path):
     assert 0.0 <= p[0] <= p[1] <= 1.0
 
 
+def test_latest_health_one_row_per_machine(spark, trained):
+    feats, result, _ = trained
+    latest = M.latest_health(result.model, result.features)
+    n_machines = feats.select("machineID").distinct().count()
+    assert latest.count() == n_machines
+    newest = feats.groupBy("machineID").agg(F.max("datetime").alias("m"))
+    assert latest.join(newest, "machineID").where(F.col("datetime") != F.col("m")).count() == 0
+
+
 def test_prediction_store_is_idempotent_per_day(spark, trained, tmp_path):
     feats, result, _ = trained
     preds = M.score(result.model, feats)

@@ -51,7 +51,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert {"train_and_score", "retrain_weekly"} == set(q) - set(o)
+    assert {"train_and_score", "retrain_weekly", "latest_health"} == set(q) - set(o)
 
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
