@@ -410,7 +410,9 @@ def q_document_scan(spark, sf_dir):
     path = scratch_path(spark, "collection-events")
     append_documents(ev.withColumn("_id", F.concat(F.lit("oid-"), F.col("event_id").cast("string"))),
                      path)
-    return read_collection(spark, path, ev.schema.add("_id", "string"))
+    from pyspark.sql import types as T
+    schema = T.StructType(list(ev.schema.fields) + [T.StructField("_id", T.StringType())])
+    return read_collection(spark, path, schema)
 
 
 # ---------------------------------------------------------------------------
