@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("passed", T.BooleanType(), True),
 ])
 
+REPORT_ROW = Row(*REPORT_SCHEMA.fieldNames())
+
 # Rule names in check order, and the messages a failed rule raises.
 RAW_RULES = ["file_exists", "columns_match", "null_cells", "duplicate_rows", "duplicate_keys",
              "unparseable_values", "unlisted_categories", "duplicate_machine_ids"]
@@ -125,9 +127,10 @@ def _rule_struct(dataset: str, order: int, rule: str, violations: Column, enforc
                     F.lit(enforced).alias("enforced"), (v == 0).alias("passed"))
 
 
-def _rows_from(one_row: DataFrame, rules: list[Column]) -> DataFrame:
-    """Turn one row of statistics into report rows (no further job)."""
-    return one_row.select(F.inline(F.array(*rules)))
+def _rows_from(one_row: DataFrame, rules: list[Column], rows: Column | None = None) -> DataFrame:
+    """Turn one row of statistics into report rows (no further job); ``rows`` adds a column."""
+    extra = [rows.cast("long").alias("rows")] if rows is not None else []
+    return one_row.select(F.inline(F.array(*rules)), *extra)
 
 
 def _count_true(conds: list[Column]) -> Column:
@@ -206,10 +209,11 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
 
 def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, DataFrame | None],
                     contracts: dict[str, C.TableContract] | None = None,
-                    strict: bool = False) -> DataFrame:
+                    strict: bool = False, with_rows: bool = False) -> DataFrame:
     """Report of the raw gate over the raw tables, one row per table and rule.
 
-    One scan per table; all five tables run in one job.
+    One scan per table; all five tables run in one job. ``with_rows`` adds each
+    table's row count as a column (so later checks need not count it again).
     """
     contracts = C.raw_contracts() if contracts is None else contracts
     if isinstance(tables, dict):
@@ -224,7 +228,8 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
         if t.df is None:
             parts.append(_rows_from(spark.range(1), [
                 _rule_struct(name, base + 1, "file_exists", F.lit(1), enf["file_exists"]),
-                _rule_struct(name, base + 2, "columns_match", F.lit(None), enf["columns_match"])]))
+                _rule_struct(name, base + 2, "columns_match", F.lit(None), enf["columns_match"])],
+                F.lit(None) if with_rows else None))
             continue
         df = t.df
         if name == "telemetry":
@@ -254,16 +259,17 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
         if name == "machines" and "duplicate_keys" in stats.columns:
             rules.append(_rule_struct(name, base + 8, "duplicate_machine_ids",
                                       F.col("duplicate_keys"), enf["duplicate_machine_ids"]))
-        parts.append(_rows_from(stats, rules))
+        parts.append(_rows_from(stats, rules, F.col("rows") if with_rows else None))
     return _union(parts)
 
 
-def merged_gate_report(master: DataFrame, telemetry: DataFrame,
+def merged_gate_report(master: DataFrame, telemetry: DataFrame | int,
                        key: tuple[str, ...] = tuple(C.KEY_COLUMNS)) -> DataFrame:
     """Report of the merged gate: row counts, key uniqueness, required columns, nulls, types.
 
     One grouping of the master by key yields rows, surplus keys and the null
-    counts (summed per key first); telemetry contributes only its row count.
+    counts (summed per key first); telemetry contributes only its row count,
+    which may be passed as a number already known (from the raw gate).
     """
     name = C.MASTER.name
     required = C.SENSOR_COLUMNS + C.MACHINE_COLUMNS
@@ -279,7 +285,10 @@ def merged_gate_report(master: DataFrame, telemetry: DataFrame,
                                             F.sum(machine_nulls).alias("_m"))
     m_stats = per_key.agg(F.sum("_n").alias("m_rows"), F.sum(F.col("_n") - 1).alias("dup"),
                           F.sum("_s").alias("s"), F.sum("_m").alias("mm"))
-    t_stats = telemetry.agg(F.count(F.lit(1)).alias("t_rows"))
+    if isinstance(telemetry, int):
+        t_stats = master.sparkSession.range(1).select(F.lit(telemetry).cast("long").alias("t_rows"))
+    else:
+        t_stats = telemetry.agg(F.count(F.lit(1)).alias("t_rows"))
     both = m_stats.unionByName(t_stats, allowMissingColumns=True).agg(
         *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ["m_rows", "dup", "s", "mm", "t_rows"]])
     rules = [

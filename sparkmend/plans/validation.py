@@ -51,13 +51,16 @@ def typed_tables(inputs: list[gates.RawInput],
 
 
 def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool = False,
-                 contracts: dict[str, C.TableContract] | None = None) -> list:
-    """Run the raw gate; returns its report rows, raises on the first failed rule."""
-    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict)
-    rows = sorted(report.collect(), key=lambda r: r.rule_order)
+                 contracts: dict[str, C.TableContract] | None = None
+                 ) -> tuple[list, dict[str, int | None]]:
+    """Run the raw gate; returns (report rows, rows per table), raises on the first failed rule."""
+    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict, with_rows=True)
+    collected = sorted(report.collect(), key=lambda r: r.rule_order)
+    table_rows = {r.dataset: r.rows for r in collected}
+    rows = [gates.REPORT_ROW(*[r[f] for f in gates.REPORT_SCHEMA.fieldNames()]) for r in collected]
     gates.enforce(spark.createDataFrame(rows, gates.REPORT_SCHEMA),
                   gates.raw_details(inputs, contracts))
-    return rows
+    return rows, table_rows
 
 
 def _write_status(spark: SparkSession, path: str, status: bool) -> None:
@@ -75,7 +78,7 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
     master_path = f"{out}/master"
     try:
         inputs = read_raw_inputs(spark, raw_data_dir, contracts)
-        raw_rows = validate_raw(spark, inputs, strict, contracts)
+        raw_rows, table_rows = validate_raw(spark, inputs, strict, contracts)
         typed = typed_tables(inputs, contracts)
         master = merge_master(typed["telemetry"], typed["machines"], typed["failures"],
                               typed["maintenance"], typed["errors"])
@@ -83,11 +86,11 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
         obs = Observation("master_rows")
         master.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(staging)
         written = spark.read.parquet(staging)
-        telemetry = typed["telemetry"]
-        merged = gates.merged_gate_report(written, telemetry)
+        # the raw gate counted the telemetry rows already: no second scan of its file
+        tel_rows = table_rows["telemetry"]
+        merged = gates.merged_gate_report(written, tel_rows)
         merged_rows = sorted(merged.collect(), key=lambda r: r.rule_order)
         master_rows = obs.get["rows"]
-        tel_rows = telemetry.count() if merged_rows and merged_rows[0].passed is False else master_rows
         gates.enforce(spark.createDataFrame(merged_rows, gates.REPORT_SCHEMA),
                       gates.merged_details(written, master_rows, tel_rows))
         write_sorted(written, C.KEY_COLUMNS, master_path)

@@ -108,3 +108,11 @@ def test_header_only_event_table_passes(spark, write_csv, tmp_path):
     master = spark.read.parquet(art.merged_data_path)
     assert master.count() == 5
     assert master.agg(F.sum("errorID_error1")).first()[0] == 0.0
+
+
+def test_machine_fan_out_stops_the_stage_with_counts(spark, write_csv, tmp_path):
+    folder = write_all(write_csv, {"machines": TABLES["machines"] + "2,model1,9\n"})
+    out = str(tmp_path / "v")
+    with pytest.raises(GateError, match=r"Merge caused row anomalies! Expected 5, got 7\."):
+        run_validation(spark, folder, out)
+    assert _status(os.path.join(out, "status")) == "Validation status: False"
