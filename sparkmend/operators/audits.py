@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """Null, or NaN for float/double columns."""
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     t = df.schema[name].dataType
     if isinstance(t, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
@@ -43,7 +43,7 @@ def null_cells(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def surplus_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: ``surplus`` = rows - distinct values of ``cols`` (rows beyond the first of each group)."""
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return (df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("surplus")))
 
 
@@ -54,7 +54,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: rows whose key repeats an earlier row's key, and the number of such keys."""
-    return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return (df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.count(F.lit(1)).alias("_n"))
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
                  F.count_if(F.col("_n") > 1).cast("long").alias("duplicated_keys")))
 

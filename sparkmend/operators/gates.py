@@ -107,7 +107,7 @@ def _is_text_table(df: DataFrame, contract: C.TableContract) -> bool:
 
 def typed_value(df: DataFrame, name: str, target: T.DataType) -> Column:
     """The declared-type value of a text cell (NULL where it does not parse)."""
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if not isinstance(df.schema[name].dataType, T.StringType) or isinstance(target, T.StringType):
         return c
     if isinstance(target, T.TimestampNTZType):
@@ -181,7 +181,7 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
     missing_conds, bad_conds = [], []
     for name, cols in parts.items():
         if len(cols) == 2:
-            v, x = F.col(cols[0]), F.col(cols[1])
+            v, x = F.col(f"`{cols[0]}`"), F.col(f"`{cols[1]}`")
             missing_conds.append(v.isNull() & x.isNull())
             bad_conds.append(x.isNotNull())
         else:
@@ -200,7 +200,7 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
         F.coalesce(F.sum(n * unlisted), F.lit(0)).alias("unlisted_categories"))
     if key and all(k in parts for k in key):
         key_cols = [c for k in key for c in parts[k]]
-        keyed = (groups.groupBy(*key_cols).agg(F.sum(n).alias("_k"))
+        keyed = (groups.groupBy(*[F.col(f"`{c}`") for c in key_cols]).agg(F.sum(n).alias("_k"))
                  .agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_keys")))
         stats = stats.unionByName(keyed, allowMissingColumns=True).agg(
             *[F.max(c).alias(c) for c in stats.columns + ["duplicate_keys"]])

@@ -43,9 +43,10 @@ def test_header_reordered(spark, write_csv):
 
 def test_extra_column(spark, write_csv):
     lines = TABLES["errors"].strip().split("\n")
-    text = "\n".join([lines[0] + ",extra"] + [ln + ",x" for ln in lines[1:]]) + "\n"
+    text = "\n".join([lines[0] + ",extra.col"] + [ln + ",x" for ln in lines[1:]]) + "\n"
     inputs, rep = _report(spark, write_all(write_csv, {"errors": text}))
     assert rep[("errors", "columns_match")].violations == 1
+    assert rep[("errors", "null_cells")].violations == 0  # a dotted name is a plain column
 
 
 @pytest.mark.parametrize("token", ["NA", "", "null", "NaN", "n/a", "None", "#N/A"])
