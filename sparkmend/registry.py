@@ -562,8 +562,7 @@ def q_retrain_weekly(spark, sf_dir):
     last = master.agg(F.max("datetime").alias("m")).first().m
     as_of = dt.datetime.combine(last.date() - dt.timedelta(days=last.weekday()), dt.time())
     res = retrain(master, as_of, train_days=21, model_root=scratch_path(spark, "models"), max_iter=10)
-    week = master.where(F.col("datetime") >= ntz_literal(as_of - dt.timedelta(days=1)))
-    feats = feature_table(week).where(F.col("datetime") >= ntz_literal(as_of))
+    feats = feature_table(master).where(F.col("datetime") >= ntz_literal(as_of))
     return score(res.model, feats).withColumn("as_of", F.lit(as_of.strftime("%Y-%m-%d")))
 
 
