@@ -569,19 +569,21 @@ def q_retrain_weekly(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Hourly streaming
 
-@register("hourly_stream", f"""WITH {STANDIN_CTES}
-SELECT * FROM telemetry
+@register("hourly_stream", f"""{MASTER_WITH}
+SELECT * FROM master
 WHERE datetime + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
 def q_hourly_stream(spark, sf_dir):
-    """events files as a stream -> 1-hour event-time windows, 1-hour watermark, append mode.
+    """events files as a stream -> hourly master rows (1-hour windows, 1-hour watermark, append).
 
     Only hours the watermark has closed are emitted, so the last open hours of
-    the input are absent, exactly as in a live run.
+    the input are absent, exactly as in a live run; every closed hour equals the
+    batch master's row.
     """
     from sparkmend.session import scratch_path
-    from sparkmend.streaming.hourly import run_hourly_telemetry
+    from sparkmend.sources.standins import machines
+    from sparkmend.streaming.hourly import run_hourly_master
     out, ck = scratch_path(spark, "hourly-out"), scratch_path(spark, "hourly-ckpt")
-    q = run_hourly_telemetry(spark, sf_dir, out, ck, file_glob="events.parquet", delay="1 hour")
+    q = run_hourly_master(spark, sf_dir, machines(spark, sf_dir), out, ck, file_glob="events.parquet")
     q.awaitTermination()
     return spark.read.parquet(out)
 

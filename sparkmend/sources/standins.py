@@ -30,12 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def sensor_aggs() -> list:
+    """Aggregates of an hour of events that stand for the four sensor columns."""
+    return [F.max("value").alias("volt"), F.min("value").alias("rotate"),
+            F.count(F.lit(1)).cast("double").alias("pressure"),
+            (F.max("value") - F.min("value")).alias("vibration")]
+
+
+def category(kind: str):
+    """The category column an event of ``kind`` ('errors', 'failures', 'maintenance') stands for."""
+    label, kinds = ("error", ERROR_KINDS) if kind == "errors" else ("comp", COMPONENT_KINDS)
+    return F.concat(F.lit(label), (F.lit(1) + F.col("event_id") % kinds).cast("string"))
+
+
+EVENT_TYPE_OF = {"errors": ERROR_EVENT, "failures": FAILURE_EVENT, "maintenance": MAINTENANCE_EVENT}
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return (ev.groupBy(F.col("user_id").alias("machineID"), hour_floor("ts").alias("datetime"))
-            .agg(F.max("value").alias("volt"), F.min("value").alias("rotate"),
-                 F.count(F.lit(1)).cast("double").alias("pressure"),
-                 (F.max("value") - F.min("value")).alias("vibration"))
+            .agg(*sensor_aggs())
             .select("datetime", "machineID", "volt", "rotate", "pressure", "vibration"))
 
 
@@ -45,24 +59,22 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("c_nationkey").cast("long").alias("age"))
 
 
-def _events_of(spark: SparkSession, sf_dir: str, kind: str, column: str, label: str,
-               kinds: int) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == F.lit(kind))
-    cat = F.concat(F.lit(label), (F.lit(1) + F.col("event_id") % kinds).cast("string"))
+def _events_of(spark: SparkSession, sf_dir: str, kind: str, column: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == F.lit(EVENT_TYPE_OF[kind]))
     return ev.select(hour_floor("ts").alias("datetime"), F.col("user_id").alias("machineID"),
-                     cat.alias(column))
+                     category(kind).alias(column))
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, ERROR_EVENT, "errorID", "error", ERROR_KINDS)
+    return _events_of(spark, sf_dir, "errors", "errorID")
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, FAILURE_EVENT, "failure", "comp", COMPONENT_KINDS)
+    return _events_of(spark, sf_dir, "failures", "failure")
 
 
 def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, MAINTENANCE_EVENT, "comp", "comp", COMPONENT_KINDS)
+    return _events_of(spark, sf_dir, "maintenance", "comp")
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
