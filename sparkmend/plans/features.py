@@ -115,25 +115,58 @@ def label_expr(target: str = C.TARGET_COLUMN, horizon_hours: int = 24,
 
 
 def hours_since_exprs(event_cols: list[str], cumulative: list[str] | None = None,
-                      split: bool = False) -> list[Column]:
-    """``hours_since_<col>`` and ``cum_<col>``; with ``split`` the bucket prefix is added."""
+                      split: bool = False, gated: bool | None = None,
+                      prefixed: bool | None = None) -> list[Column]:
+    """``hours_since_<col>`` and ``cum_<col>``.
+
+    ``gated``: only core rows count (halo rows are context for bounded frames);
+    ``prefixed``: add the state before the first row (columns ``_pl_<col>``, the
+    latest event time, and ``_ps_<col>``, the running total). ``split`` (per
+    bucket) implies both.
+    """
     parts = PER_BUCKET if split else PER_MACHINE
+    gated = split if gated is None else gated
+    prefixed = split if prefixed is None else prefixed
     w = running(parts)
-    core = F.col(CORE_COL) if split else F.lit(True)
+    core = F.col(CORE_COL) if gated else F.lit(True)
     out = []
     for c in event_cols:
         last_us = F.last(F.when(core & (F.col(c) > 0), F.col(ORDER_COL)), ignorenulls=True).over(w)
-        if split:
+        if prefixed:
             last_us = F.coalesce(last_us, F.col(f"_pl_{c}"))
         out.append(((F.col(ORDER_COL) - last_us) / F.lit(float(HOUR_US))).alias(f"hours_since_{c}"))
     for c in cumulative or []:
         total = F.sum(F.when(core, F.col(c))).over(w)
-        if split:
-            total = total + F.col(f"_ps_{c}")
+        if prefixed:
+            total = total + F.coalesce(F.col(f"_ps_{c}"), F.lit(0))
         out.append(total.alias(f"cum_{c}"))
     return out
 
 
+def running_summary(df: DataFrame, last_cols: list[str], sum_cols: list[str],
+                    keys: tuple[str, ...] = PER_MACHINE) -> DataFrame:
+    """Per key: latest event time (epoch micros) per column and totals (map-side combined)."""
+    t = ntz_epoch_micros("datetime")
+    return df.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(c) > 0, t)).alias(f"_bl_{c}") for c in last_cols],
+        *[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
+
+
+def advance_state(prev: DataFrame | None, summary: DataFrame, last_cols: list[str],
+                  sum_cols: list[str]) -> DataFrame:
+    """Machine state after ``summary``: latest event times and running totals so far."""
+    s = summary.select(KEY, *[F.col(f"_bl_{c}").alias(f"_pl_{c}") for c in last_cols],
+                       *[F.col(f"_bs_{c}").alias(f"_ps_{c}") for c in sum_cols])
+    if prev is None:
+        return s
+    j = prev.alias("p").join(s.alias("s"), KEY, "full")
+    return j.select(KEY,
+                    *[F.greatest(F.col(f"p._pl_{c}"), F.col(f"s._pl_{c}")).alias(f"_pl_{c}")
+                      for c in last_cols],
+                    *[(F.coalesce(F.col(f"p._ps_{c}"), F.lit(0)) + F.coalesce(F.col(f"s._ps_{c}"), F.lit(0)))
+                      .alias(f"_ps_{c}") for c in sum_cols])
+
+
 def _bucketed(base: DataFrame, bucket_hours: int, back_hours: int, ahead_hours: int) -> DataFrame:
     """Rows tagged with their bucket, plus halo copies for the neighbouring buckets."""
     if back_hours > bucket_hours or ahead_hours > bucket_hours:
@@ -170,12 +203,18 @@ def _bucket_prefix(base: DataFrame, bucket_hours: int, last_cols: list[str],
 def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(),
                      stats=DEFAULT_STATS, lags=(), history=(), cumulative=(),
                      label_target: str | None = None, horizon_hours: int = 24,
-                     extra_rolling=(), bucket_hours: int | None = DEFAULT_BUCKET_HOURS
+                     extra_rolling=(), bucket_hours: int | None = DEFAULT_BUCKET_HOURS,
+                     machine_state: DataFrame | None = None, core: str | None = None
                      ) -> DataFrame:
     """Evaluate the requested features over ``df`` (per bucket with halos, or per machine).
 
     ``extra_rolling`` adds ``(column, stat, hours)`` rolling aggregates named
     ``<column>_<hours>h``. Output: ``keep`` columns, then the features in order.
+
+    Per machine (``bucket_hours=None``) two more inputs serve incremental runs:
+    ``core`` names a boolean column; only those rows are returned and counted by
+    running features (the others are context for bounded frames), and
+    ``machine_state`` (from ``advance_state``) is the state before the first core row.
     """
     base = with_order_column(df)
     split = bucket_hours is not None
@@ -184,11 +223,20 @@ def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(
     exprs += [_STATS[st](F.col(c)).over(trailing(h, parts)).alias(f"{c}_{h}h")
               for c, st, h in extra_rolling]
     exprs += lag_exprs(list(sensors), lags, parts) if lags else []
-    exprs += hours_since_exprs(list(history), list(cumulative), split)
+    if split:
+        exprs += hours_since_exprs(list(history), list(cumulative), split=True)
+    else:
+        if machine_state is not None:
+            base = left_join(base, machine_state, [KEY], broadcast_other=False)
+        if core:
+            base = base.withColumn(CORE_COL, F.col(core))
+        exprs += hours_since_exprs(list(history), list(cumulative), gated=core is not None,
+                                   prefixed=machine_state is not None)
     if label_target:
         exprs.append(label_expr(label_target, horizon_hours, parts=parts))
     if not split:
-        return base.select(*[F.col(c) for c in keep], *exprs)
+        out = base.select(*[F.col(c) for c in keep], *([F.col(CORE_COL)] if core else []), *exprs)
+        return out.where(F.col(CORE_COL)).drop(CORE_COL) if core else out
     back = max([1, *windows_hours, *[n + 1 for n in lags], *[h for _, _, h in extra_rolling]])
     rows = _bucketed(base, bucket_hours, back, horizon_hours if label_target else 0)
     if history or cumulative:
@@ -206,21 +254,37 @@ def window_features(df: DataFrame, keep: list[str], bucket_hours: int | None = D
     return compute_features(df, keep=keep, bucket_hours=bucket_hours, **features)
 
 
+def with_error_count(master: DataFrame) -> DataFrame:
+    errors = [c for c in C.ERROR_COUNT_COLUMNS if c in master.columns]
+    err_any = sum((F.col(c) for c in errors[1:]), F.col(errors[0])) if errors else F.lit(0.0)
+    return master.withColumn("error_count", err_any)
+
+
+def running_inputs(columns: list[str]) -> tuple[list[str], list[str]]:
+    """(columns with an hours-since feature, columns with a running total) of the feature table."""
+    history = [c for c in C.MAINTENANCE_COUNT_COLUMNS + C.FAILURE_COUNT_COLUMNS if c in columns]
+    return history + ["error_count"], [C.TARGET_COLUMN, "error_count"]
+
+
 def feature_table(master: DataFrame, sensors: list[str] | None = None,
                   windows_hours=DEFAULT_WINDOWS_HOURS, lags=DEFAULT_LAGS, stats=DEFAULT_STATS,
-                  horizon_hours: int = 24, bucket_hours: int | None = DEFAULT_BUCKET_HOURS
-                  ) -> DataFrame:
-    """Master columns + rolling + lag + history features + label, in one windowed pass."""
+                  horizon_hours: int = 24, bucket_hours: int | None = DEFAULT_BUCKET_HOURS,
+                  machine_state: DataFrame | None = None, core: str | None = None) -> DataFrame:
+    """Master columns + rolling + lag + history features + label, in one windowed pass.
+
+    ``machine_state`` and ``core`` (per machine only) serve incremental scoring;
+    see ``compute_features``.
+    """
     sensors = C.SENSOR_COLUMNS if sensors is None else sensors
-    history = [c for c in C.MAINTENANCE_COUNT_COLUMNS + C.FAILURE_COUNT_COLUMNS if c in master.columns]
-    errors = [c for c in C.ERROR_COUNT_COLUMNS if c in master.columns]
-    err_any = sum((F.col(c) for c in errors[1:]), F.col(errors[0])) if errors else F.lit(0.0)
-    base = master.withColumn("error_count", err_any)
+    base = with_error_count(master)
+    history, cumulative = running_inputs(master.columns)
+    keep = [c for c in base.columns if c != core]
     return compute_features(
-        base, keep=list(base.columns), sensors=sensors, windows_hours=windows_hours, stats=stats,
-        lags=lags, history=history + ["error_count"], cumulative=[C.TARGET_COLUMN, "error_count"],
+        base, keep=keep, sensors=sensors, windows_hours=windows_hours, stats=stats,
+        lags=lags, history=history, cumulative=cumulative,
         label_target=C.TARGET_COLUMN, horizon_hours=horizon_hours,
-        extra_rolling=[("error_count", "sum", 24)], bucket_hours=bucket_hours)
+        extra_rolling=[("error_count", "sum", 24)], bucket_hours=bucket_hours,
+        machine_state=machine_state, core=core)
 
 
 def latest_per_machine(df: DataFrame, key: str = "machineID", order: str = "datetime",
