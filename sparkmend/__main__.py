@@ -64,6 +64,15 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
 
     spark = _session()
+    from sparkmend.operators.gates import GateError
+    try:
+        return _dispatch(spark, args)
+    except (GateError, FileNotFoundError) as e:  # a failed gate ends the run, as a status
+        print(json.dumps({"validation_status": False, "error": str(e)}))
+        return 1
+
+
+def _dispatch(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.cmd == "ingest":
         from sparkmend.sources.documents import ingest
         print(json.dumps(ingest(spark, args.collections, args.raw_dir).__dict__, default=list))

@@ -46,3 +46,11 @@ def test_cli_validate(spark, write_csv, tmp_path, capsys):
     assert main(["validate", "--raw-dir", folder, "--out", out]) == 0
     art = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert art["validation_status"] is True and os.path.isdir(art["merged_data_path"])
+
+
+def test_cli_failed_gate_exits_1(spark, write_csv, tmp_path, capsys):
+    from fixtures import TABLES
+    folder = write_all(write_csv, {"failures": TABLES["failures"] + "2015-01-01 07:00:00,1,comp1\n"})
+    assert main(["validate", "--raw-dir", folder, "--out", str(tmp_path / "v")]) == 1
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["validation_status"] is False and "duplicate rows" in out["error"]
