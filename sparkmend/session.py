@@ -41,7 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     system temp folder. A cluster session without one is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext here; the server's setting is used
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set; name a shared folder (HDFS, S3, ...) for it") from None
     current = sc.getCheckpointDir()
     if current:
         return current
