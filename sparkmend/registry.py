@@ -97,6 +97,14 @@ def q_master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master_from_standins(spark, sf_dir)
 
 
+@register("master_discovered", f"{MASTER_WITH}\nSELECT * FROM master")
+def q_master_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The master with the categories found in the data (sorted), as a one-hot encoder emits
+    them; here every declared category occurs, so the schema equals the pinned one."""
+    from sparkmend.plans.master import master_from_standins
+    return master_from_standins(spark, sf_dir, discover=True)
+
+
 # ---------------------------------------------------------------------------
 # One-hot counts, flag, fill, joins
 
