@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--collections", required=True)
     a.add_argument("--work", required=True)
     a.add_argument("--strict", action="store_true")
+    a.add_argument("--config", help="run settings: collections, raw_data_dir, validation root_dir")
+    a.add_argument("--schema", help="schema file: <table>: {columns: {name: dtype}}")
     a = sub.add_parser("train")
     a.add_argument("--master", required=True)
     a.add_argument("--model", required=True)
@@ -83,8 +85,15 @@ def _dispatch(spark: SparkSession, args: argparse.Namespace) -> int:
         art = run_validation(spark, args.raw_dir, args.out, args.strict, contracts=contracts)
         print(json.dumps(art.__dict__))
     elif args.cmd == "run":
-        from sparkmend.plans.validation import run_stages
-        res = run_stages(spark, args.collections, args.work, args.strict)
+        from sparkmend.contracts import load_contracts
+        from sparkmend.plans.validation import load_run_config, run_stages
+        contracts = load_contracts(args.schema)[0] if args.schema else None
+        if args.config:
+            cfg = load_run_config(args.config, args.work)
+            res = run_stages(spark, args.collections, args.work, args.strict, cfg.collections,
+                             cfg.raw_data_dir, cfg.validation_dir, contracts)
+        else:
+            res = run_stages(spark, args.collections, args.work, args.strict, contracts=contracts)
         print(json.dumps({"raw_data_dir": res.raw_data_dir, "halted": res.halted}))
         return 1 if res.halted else 0
     elif args.cmd == "train":

@@ -113,9 +113,46 @@ class StagesResult:
 
 
 def run_stages(spark: SparkSession, collections_root: str, work_dir: str,
-                 strict: bool = False) -> StagesResult:
+                 strict: bool = False, collections: list[str] | None = None,
+                 raw_data_dir: str | None = None, validation_dir: str | None = None,
+                 contracts: dict[str, C.TableContract] | None = None) -> StagesResult:
     """Stage 1 (collections -> raw CSV) then stage 2 (validation); stops when invalid."""
     work = work_dir.rstrip("/")
-    ing = ingest(spark, collections_root, f"{work}/raw_data")
-    art = run_validation(spark, ing.raw_data_dir, f"{work}/validation", strict=strict)
+    ing = ingest(spark, collections_root, raw_data_dir or f"{work}/raw_data", collections)
+    art = run_validation(spark, ing.raw_data_dir, validation_dir or f"{work}/validation",
+                         strict=strict, contracts=contracts)
     return StagesResult(ing.raw_data_dir, art, halted=not art.validation_status)
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """Settings of a run: collection names and stage folders (relative to the work folder)."""
+
+    collections: list[str]
+    raw_data_dir: str
+    validation_dir: str
+
+
+def load_run_config(path: str, work_dir: str) -> RunConfig:
+    """Read a run configuration file::
+
+        data_ingestion: {collections: [...], raw_data_dir: ...}
+        data_validation: {root_dir: ...}
+
+    Relative folders are taken under ``work_dir``.
+    """
+    import yaml
+
+    with open(path) as fh:
+        cfg = yaml.safe_load(fh) or {}
+    ing = cfg.get("data_ingestion", {}) or {}
+    val = cfg.get("data_validation", {}) or {}
+    work = work_dir.rstrip("/")
+
+    def under(p: str | None, default: str) -> str:
+        p = p or default
+        return p if "://" in p or p.startswith("/") else f"{work}/{p}"
+
+    return RunConfig(list(ing.get("collections") or C.RAW_TABLE_ORDER),
+                     under(ing.get("raw_data_dir"), "raw_data"),
+                     under(val.get("root_dir"), "validation"))

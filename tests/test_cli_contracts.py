@@ -30,6 +30,24 @@ Master_Dataset:
 """
 
 
+SCHEMA_FULL = SCHEMA.replace("machines:", """errors:
+  columns:
+    datetime: object
+    machineID: int64
+    errorID: object
+failures:
+  columns:
+    datetime: object
+    machineID: int64
+    failure: object
+maintenance:
+  columns:
+    datetime: object
+    machineID: int64
+    comp: object
+machines:""")
+
+
 def test_load_contracts(tmp_path):
     p = tmp_path / "schema.yaml"
     p.write_text(SCHEMA)
@@ -54,3 +72,34 @@ def test_cli_failed_gate_exits_1(spark, write_csv, tmp_path, capsys):
     assert main(["validate", "--raw-dir", folder, "--out", str(tmp_path / "v")]) == 1
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["validation_status"] is False and "duplicate rows" in out["error"]
+
+
+CONFIG = """
+artifacts_root: artifacts
+data_ingestion:
+  collections:
+    - telemetry
+    - errors
+    - failures
+    - machines
+    - maintenance
+  raw_data_dir: artifacts/data_ingestion/raw_data
+data_validation:
+  root_dir: artifacts/data_validation
+"""
+
+
+def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
+    from sparkmend.sources.csv import read_text_csv
+    from sparkmend.sources.documents import append_documents
+    folder = write_all(write_csv)
+    root = tmp_path / "collections"
+    for name in C.RAW_TABLE_ORDER:
+        append_documents(read_text_csv(spark, f"{folder}/{name}.csv"), str(root / name))
+    (tmp_path / "config.yaml").write_text(CONFIG)
+    (tmp_path / "schema.yaml").write_text(SCHEMA_FULL)
+    work = tmp_path / "work"
+    assert main(["run", "--collections", str(root), "--work", str(work),
+                 "--config", str(tmp_path / "config.yaml"), "--schema", str(tmp_path / "schema.yaml")]) == 0
+    assert os.path.isdir(work / "artifacts/data_ingestion/raw_data/telemetry.csv")
+    assert os.path.isdir(work / "artifacts/data_validation/master")
