@@ -103,3 +103,22 @@ def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
                  "--config", str(tmp_path / "config.yaml"), "--schema", str(tmp_path / "schema.yaml")]) == 0
     assert os.path.isdir(work / "artifacts/data_ingestion/raw_data/telemetry.csv")
     assert os.path.isdir(work / "artifacts/data_validation/master")
+
+
+def test_cli_train_score_retrain(spark, tmp_path, capsys):
+    from conftest import SF_SMALL
+    from sparkmend.plans.master import master_from_standins
+    master = str(tmp_path / "master")
+    master_from_standins(spark, SF_SMALL).write.parquet(master)
+    model = str(tmp_path / "model")
+    assert main(["train", "--master", master, "--model", model, "--max-iter", "3"]) == 0
+    metrics = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert "areaUnderROC" in metrics and os.path.isdir(model)
+    store, latest = str(tmp_path / "store"), str(tmp_path / "latest")
+    assert main(["score", "--master", master, "--model", model, "--store", store, "--latest", latest]) == 0
+    n_rows = spark.read.parquet(master).count()
+    assert spark.read.parquet(store).count() == n_rows
+    assert spark.read.parquet(latest).count() == spark.read.parquet(master).select("machineID").distinct().count()
+    assert main(["retrain", "--master", master, "--as-of", "2024-01-22", "--model-root", str(tmp_path / "m"),
+                 "--train-days", "14"]) == 0
+    assert os.path.isdir(tmp_path / "m" / "as_of=2024-01-22")
