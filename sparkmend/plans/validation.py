@@ -54,7 +54,8 @@ def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool
                  contracts: dict[str, C.TableContract] | None = None
                  ) -> tuple[list, dict[str, int | None]]:
     """Run the raw gate; returns (report rows, rows per table), raises on the first failed rule."""
-    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict, with_rows=True)
+    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict, with_rows=True,
+                                   key_first=True)
     collected = sorted(report.collect(), key=lambda r: r.rule_order)
     table_rows = {r.dataset: r.rows for r in collected}
     rows = [gates.REPORT_ROW(*[r[f] for f in gates.REPORT_SCHEMA.fieldNames()]) for r in collected]

@@ -151,3 +151,19 @@ def test_merged_schema_rules(spark):
     assert rep["numeric_event_columns"].violations == 1
     ok = spark.createDataFrame([(1, True, 2.0)], "machineID long, failure boolean, maint_comp1 double")
     assert gates.non_numeric_event_columns(ok) == []  # booleans count as numeric
+
+
+@pytest.mark.parametrize("overrides", [
+    {},
+    {"telemetry": TABLES["telemetry"] + "2015-01-01 06:00:00,1,1.0,2.0,3.0,4.0\n"},   # repeated key
+    {"telemetry": TABLES["telemetry"] + "2015-01-01 06:00:00,1,176.2,418.5,113.1,45.1\n"},  # duplicate row
+    {"telemetry": TABLES["telemetry"].replace("176.2", "NA").replace("402.7", "abc")},
+    {"machines": TABLES["machines"] + "2,model1,9\n"},
+    {"machines": TABLES["machines"] + "2,model4,7.0\n"},
+])
+def test_key_first_gate_equals_full_gate(spark, write_csv, overrides):
+    folder = write_all(write_csv, overrides)
+    inputs = V.read_raw_inputs(spark, folder)
+    full = sorted(gates.raw_gate_report(spark, inputs).collect())
+    fast = sorted(gates.raw_gate_report(spark, inputs, key_first=True).collect())
+    assert full == fast
