@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmend import contracts as C
@@ -51,15 +52,42 @@ class IngestionArtifact:
     tables: tuple[str, ...]
 
 
+def read_collection_as_text(spark: SparkSession, path: str, order: list[str] | None = None
+                            ) -> DataFrame:
+    """Every field seen in any document, values as text; ``_id`` dropped.
+
+    Fields named in ``order`` come first, in that order; fields outside it follow,
+    sorted, so an undeclared field reaches the raw table (and fails its column
+    check) instead of being dropped. Nested values are kept as JSON text.
+    """
+    df = spark.read.option("primitivesAsString", True).json(path).drop("_id")
+    order = order or []
+    cols = [c for c in order if c in df.columns] + sorted(c for c in df.columns if c not in order)
+    out = []
+    for c in cols:
+        t = df.schema[c].dataType
+        col = F.col(f"`{c}`")
+        out.append((F.to_json(col) if isinstance(t, (T.StructType, T.ArrayType, T.MapType)) else col)
+                   .alias(c))
+    return df.select(*out)
+
+
 def ingest(spark: SparkSession, collections_root: str, raw_data_dir: str,
-           names: list[str] | None = None) -> IngestionArtifact:
+           names: list[str] | None = None, infer_fields: bool = True) -> IngestionArtifact:
     """Stage 1: every collection -> one headered CSV table under ``raw_data_dir`` (overwrite).
 
-    Each table is one write job; nothing is held in driver memory between them.
+    With ``infer_fields`` (default) the table holds every field seen in the
+    documents, as the raw data arrived (one extra pass to find the fields); without
+    it, only the contract's fields are read. Each table is one write job; nothing
+    is held in driver memory between them.
     """
     names = C.RAW_TABLE_ORDER if names is None else names
-    text = {n: C.RAW_CONTRACTS[n].text_schema() for n in names if n in C.RAW_CONTRACTS}
-    frames = load_collections(spark, collections_root, names, text)
-    for name, df in frames.items():
+    root = collections_root.rstrip("/")
+    for name in names:
+        contract = C.RAW_CONTRACTS.get(name)
+        if infer_fields or contract is None:
+            df = read_collection_as_text(spark, f"{root}/{name}", contract.columns if contract else None)
+        else:
+            df = read_collection(spark, f"{root}/{name}", contract.text_schema())
         write_csv(df, f"{raw_data_dir.rstrip('/')}/{name}.csv")
     return IngestionArtifact(raw_data_dir, tuple(names))

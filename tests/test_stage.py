@@ -97,9 +97,16 @@ def test_exported_collection_lines_feed_the_stages(spark, tmp_path):
     tel = read_text_csv(spark, f"{raw}/telemetry.csv")
     assert tel.columns == C.TELEMETRY.columns
     assert sorted(r.machineID for r in tel.collect()) == ["1", "1"]  # numbers kept as written
-    # the maintenance document lacks `comp`: a null cell, which the raw gate refuses
-    with pytest.raises(GateError, match="maintenance: Contains null values"):
+    # no maintenance document has `comp`, so the table built from the documents has no
+    # such column (only fields that occur are kept) and the column check refuses it
+    with pytest.raises(GateError, match="maintenance: Schema mismatch"):
         run_validation(spark, raw, str(tmp_path / "v"))
+    # with the field present in one document only, the other document has a null cell
+    (root / "maintenance" / "part-1.json").write_text(
+        '{"_id": {"$oid": "e2"}, "datetime": "2015-01-01 07:00:00", "machineID": 1, "comp": "comp2"}\n')
+    ingest(spark, str(root), raw)
+    with pytest.raises(GateError, match="maintenance: Contains null values"):
+        run_validation(spark, raw, str(tmp_path / "v2"))
 
 
 def test_header_only_event_table_passes(spark, write_csv, tmp_path):
@@ -116,3 +123,18 @@ def test_machine_fan_out_stops_the_stage_with_counts(spark, write_csv, tmp_path)
     with pytest.raises(GateError, match=r"Merge caused row anomalies! Expected 5, got 7\."):
         run_validation(spark, folder, out)
     assert _status(os.path.join(out, "status")) == "Validation status: False"
+
+
+def test_ingest_keeps_undeclared_fields_so_the_gate_sees_them(spark, tmp_path):
+    root = tmp_path / "export"
+    (root / "machines").mkdir(parents=True)
+    (root / "machines" / "part-0.json").write_text(
+        '{"_id": {"$oid": "d1"}, "machineID": 1, "model": "model3", "age": 18, "site": "north"}\n'
+        '{"_id": {"$oid": "d2"}, "age": 7, "machineID": 2, "model": "model4"}\n')
+    raw = str(tmp_path / "raw")
+    ingest(spark, str(root), raw, names=["machines"])
+    df = read_text_csv(spark, f"{raw}/machines.csv")
+    assert df.columns == ["machineID", "model", "age", "site"]  # declared order, then extras
+    assert sorted((r.machineID, r.site) for r in df.collect()) == [("1", "north"), ("2", None)]
+    ingest(spark, str(root), str(tmp_path / "raw2"), names=["machines"], infer_fields=False)
+    assert read_text_csv(spark, f"{tmp_path}/raw2/machines.csv").columns == ["machineID", "model", "age"]
