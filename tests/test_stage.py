@@ -138,3 +138,13 @@ def test_ingest_keeps_undeclared_fields_so_the_gate_sees_them(spark, tmp_path):
     assert sorted((r.machineID, r.site) for r in df.collect()) == [("1", "north"), ("2", None)]
     ingest(spark, str(root), str(tmp_path / "raw2"), names=["machines"], infer_fields=False)
     assert read_text_csv(spark, f"{tmp_path}/raw2/machines.csv").columns == ["machineID", "model", "age"]
+
+
+def test_strict_stage_enforces_declared_types(spark, write_csv, tmp_path):
+    folder = write_all(write_csv, {"machines": TABLES["machines"].replace("18", "eighteen")})
+    # lenient: the raw gate only reports the bad cell; the typed master holds NULL there,
+    # so the merged gate stops the run (pandas would have kept the column as text)
+    with pytest.raises(GateError, match="nulls in machine metadata"):
+        run_validation(spark, folder, str(tmp_path / "lenient"))
+    with pytest.raises(GateError, match="machines: Contains values that do not parse"):
+        run_validation(spark, folder, str(tmp_path / "strict"), strict=True)
