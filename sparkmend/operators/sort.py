@@ -22,8 +22,24 @@ def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) ->
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
-def write_sorted(df: DataFrame, keys: list[str], path: str, partitions: int | None = None) -> None:
-    """Write ``df`` as Parquet files whose name order is the key order."""
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def partitions_for(rows: int, df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Range partitions of about ``target_bytes`` each for ``rows`` rows of ``df``'s schema."""
+    from sparkmend.operators.joins import estimated_row_bytes
+    return max(1, -(-rows * estimated_row_bytes(df.schema) // target_bytes))
+
+
+def write_sorted(df: DataFrame, keys: list[str], path: str, partitions: int | None = None,
+                 rows: int | None = None) -> None:
+    """Write ``df`` as Parquet files whose name order is the key order.
+
+    With a known row count the number of range partitions (and files) follows
+    the data size, about 256 MiB each, instead of a fixed shuffle setting.
+    """
+    if partitions is None and rows is not None:
+        partitions = partitions_for(rows, df)
     total_sort(df, keys, partitions).write.mode("overwrite").parquet(path)
 
 

@@ -94,7 +94,7 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
         master_rows = obs.get["rows"]
         gates.enforce(spark.createDataFrame(merged_rows, gates.REPORT_SCHEMA),
                       gates.merged_details(written, master_rows, tel_rows))
-        write_sorted(written, C.KEY_COLUMNS, master_path)
+        write_sorted(written, C.KEY_COLUMNS, master_path, rows=master_rows)
         if csv_copy:
             write_csv(spark.read.parquet(master_path), f"{out}/master_csv")
         (spark.createDataFrame(raw_rows + merged_rows, gates.REPORT_SCHEMA).coalesce(1)
