@@ -34,3 +34,21 @@ def test_left_join_keeps_fact_rows_and_fans_out(spark):
     out = left_join(fact, dim, ["k"]).collect()
     assert len(out) == 4  # key 1 fans out, 2 unmatched, null key never matches
     assert sorted((r.v, r.d) for r in out if r.v != "a") == [("b", None), ("c", None)]
+
+
+def test_sorted_files_follow_data_size(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from sparkmend.operators import sort
+    df = spark.range(0, 20000).select((F.col("id") * 7919 % 20000).alias("k"))
+    assert sort.partitions_for(20000, df, target_bytes=16 * 20000) == 1
+    monkeypatch.setattr(sort, "TARGET_PARTITION_BYTES", 16 * 2000)  # ~2,000 rows per file
+    monkeypatch.setattr(sort.partitions_for, "__defaults__", (16 * 2000,))
+    path = str(tmp_path / "sorted")
+    sort.write_sorted(df, ["k"], path, rows=20000)
+    files = sorted(glob.glob(f"{path}/part-*.parquet"))
+    assert len(files) >= 5
+    keys = [v for f in files for v in pq.read_table(f).column("k").to_pylist()]
+    assert keys == sorted(keys) and len(keys) == 20000
