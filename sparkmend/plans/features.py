@@ -20,7 +20,8 @@ inside one bucket. Running features add a per-bucket prefix: a small aggregate
 of (machine, bucket) summaries, scanned over buckets (a machine has one summary
 row per week of history), joined back by (machine, bucket). A task therefore
 holds at most one bucket of one machine plus its halos, however long or hot the
-machine is; the halo costs about (25 + 24) / 168 = 29 % more shuffled rows at
+machine is: on the gated master (one row per machine and hour) that is at most
+168 + 49 rows. The halo costs about (25 + 24) / 168 = 29 % more shuffled rows at
 the defaults. ``bucket_hours=None`` evaluates per machine instead (one partition
 per machine, fine when histories are short).
 
