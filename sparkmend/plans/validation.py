@@ -1,11 +1,14 @@
 """The validation stage, and ingestion followed by validation.
 
 Stage 2 (validation): raw gate -> merge -> merged gate -> sinks -> artifact.
-The raw gate is one job over all five tables; the merged table is written once
-to a staging table in the shared checkpoint folder (with its row count observed
-during that write), the merged gate runs over the written rows, and only a
-passing table is written, sorted by key, to the output. A failure writes the
-status ``False`` before re-raising.
+The raw gate reads each table once: keyed tables first in a narrow pass grouped
+by key (the wide full-row grouping follows only when a key repeats), the others
+in one job together. The merged table is written once to a staging table in the
+shared checkpoint folder (with its row count observed during that write), the
+merged gate runs over the written rows with the telemetry row count taken from
+the raw gate, and only a passing table is written, sorted by key and in files of
+about 256 MiB, to the output. A failure writes the status ``False`` before
+re-raising.
 """
 
 from __future__ import annotations
