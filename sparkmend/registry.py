@@ -93,6 +93,7 @@ MASTER_WITH = f"WITH {STANDIN_CTES},{ONEHOT_CTES},{MASTER_CTE}"
 
 @register("master_table", f"{MASTER_WITH}\nSELECT * FROM master")
 def q_master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the master table merged from the five contract tables (pinned schema)."""
     from sparkmend.plans.master import master_from_standins
     return master_from_standins(spark, sf_dir)
 
@@ -115,6 +116,7 @@ def _standins(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @register("onehot_failures", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM failures_agg")
 def q_onehot_failures(spark, sf_dir):
+    """Failure counts per component and the 0/1 failure flag, per (machine, hour)."""
     from sparkmend import contracts as C
     from sparkmend.functions.onehot import onehot_counts
     return onehot_counts(_standins(spark, sf_dir)["failures"], "failure", C.KEY_COLUMNS,
@@ -123,6 +125,7 @@ def q_onehot_failures(spark, sf_dir):
 
 @register("onehot_maintenance", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM maint_agg")
 def q_onehot_maintenance(spark, sf_dir):
+    """Maintenance counts per component, per (machine, hour)."""
     from sparkmend import contracts as C
     from sparkmend.functions.onehot import onehot_counts
     return onehot_counts(_standins(spark, sf_dir)["maintenance"], "comp", C.KEY_COLUMNS,
@@ -131,6 +134,7 @@ def q_onehot_maintenance(spark, sf_dir):
 
 @register("onehot_errors", f"WITH {STANDIN_CTES},{ONEHOT_CTES}\nSELECT * FROM errors_agg")
 def q_onehot_errors(spark, sf_dir):
+    """Error counts per error kind, per (machine, hour)."""
     from sparkmend import contracts as C
     from sparkmend.functions.onehot import onehot_counts
     return onehot_counts(_standins(spark, sf_dir)["errors"], "errorID", C.KEY_COLUMNS,
@@ -187,6 +191,7 @@ def q_zero_fill(spark, sf_dir):
 @register("join_machine_dim", f"""WITH {STANDIN_CTES}
 SELECT t.*, m.model, m.age FROM telemetry t LEFT JOIN machines m ON t.machineID = m.machineID""")
 def q_join_machine_dim(spark, sf_dir):
+    """Telemetry LEFT JOIN machines (size-checked broadcast)."""
     from sparkmend.operators.joins import left_join
     t = _standins(spark, sf_dir)
     return left_join(t["telemetry"], t["machines"], ["machineID"])
@@ -197,6 +202,7 @@ SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate
        c.c_name, c.c_nationkey, c.c_mktsegment
 FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
 def q_join_orders_customer(spark, sf_dir):
+    """orders LEFT JOIN customer: the same join at a larger scale (checked broadcast or shuffle)."""
     from pyspark.sql import functions as F
 
     from sparkmend.operators.joins import left_join
@@ -245,6 +251,7 @@ def _audit_frames(spark, sf_dir):
     f"SELECT '{n}' AS dataset, count(*) AS rows, CAST({_null_sql(cols)} AS BIGINT) AS null_cells FROM {n}"
     for n, cols in _AUDIT_TABLES.items()))
 def q_null_audit(spark, sf_dir):
+    """Rows and missing cells (null, or NaN in floating columns) per table, one pass each."""
     from pyspark.sql import functions as F
 
     from sparkmend.operators.audits import table_profile
@@ -259,6 +266,7 @@ def q_null_audit(spark, sf_dir):
     f"SELECT '{n}' AS dataset, (SELECT count(*) FROM {n}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {n})) AS duplicate_rows"
     for n in _AUDIT_TABLES))
 def q_duplicate_rows(spark, sf_dir):
+    """Exact duplicate rows per table (rows beyond the first copy)."""
     from pyspark.sql import functions as F
 
     from sparkmend.operators.audits import duplicate_rows
@@ -278,6 +286,7 @@ _KEYS = {"telemetry": ["machineID", "datetime"], "machines": ["machineID"],
     f"CAST(count_if(n > 1) AS BIGINT) AS duplicated_keys FROM (SELECT count(*) AS n FROM {n} GROUP BY {', '.join(k)})"
     for n, k in _KEYS.items()))
 def q_duplicate_keys(spark, sf_dir):
+    """Surplus rows and duplicated keys on each table's key."""
     from pyspark.sql import functions as F
 
     from sparkmend.operators.audits import duplicate_keys
@@ -294,6 +303,7 @@ def q_duplicate_keys(spark, sf_dir):
 SELECT (SELECT count(*) FROM master) AS master_rows, (SELECT count(*) FROM telemetry) AS telemetry_rows,
        (SELECT count(*) FROM master) = (SELECT count(*) FROM telemetry) AS rows_match""")
 def q_row_count_gate(spark, sf_dir):
+    """Master rows against telemetry rows (a fan-out shows as a difference)."""
     from pyspark.sql import functions as F
 
     from sparkmend.plans.master import merge_master
@@ -347,6 +357,7 @@ def _raw_gate_sql() -> str:
 
 @register("raw_gate_report", _raw_gate_sql())
 def q_raw_gate_report(spark, sf_dir):
+    """The raw gate's report over the five contract tables, one row per table and rule."""
     from sparkmend.operators.gates import raw_gate_report
     return raw_gate_report(spark, _standins(spark, sf_dir))
 
@@ -372,6 +383,7 @@ def _merged_gate_sql() -> str:
 
 @register("merged_gate_report", _merged_gate_sql())
 def q_merged_gate_report(spark, sf_dir):
+    """The merged gate's report over the master table."""
     from sparkmend.operators.gates import merged_gate_report
     from sparkmend.plans.master import merge_master
     t = _standins(spark, sf_dir)
@@ -385,6 +397,7 @@ def q_merged_gate_report(spark, sf_dir):
 @register("sorted_master", f"""{MASTER_WITH}
 SELECT *, row_number() OVER (ORDER BY machineID, datetime) AS row_index FROM master""")
 def q_sorted_master(spark, sf_dir):
+    """The master in key order with each row's 1-based position."""
     from sparkmend.operators.sort import with_position
     from sparkmend.plans.master import master_from_standins
     return with_position(master_from_standins(spark, sf_dir), ["machineID", "datetime"])
