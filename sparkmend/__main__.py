@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--model", required=True)
     a.add_argument("--store", required=True)
     a.add_argument("--latest")
+    a.add_argument("--from", dest="from_day", help="YYYY-MM-DD: re-score whole days from this one on")
     a = sub.add_parser("retrain")
     a.add_argument("--master", required=True)
     a.add_argument("--as-of", required=True, help="YYYY-MM-DD")
@@ -105,8 +106,12 @@ def _dispatch(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.cmd == "score":
         from sparkmend.plans import model as M
         from sparkmend.plans.features import feature_table, latest_per_machine
-        preds = M.score(M.load_model(args.model), feature_table(spark.read.parquet(args.master)))
-        M.store_predictions(preds, args.store)
+        feats = feature_table(spark.read.parquet(args.master))  # features see all history
+        if args.from_day:
+            from pyspark.sql import functions as F
+            feats = feats.where(F.to_date("datetime") >= F.lit(args.from_day).cast("date"))
+        preds = M.score(M.load_model(args.model), feats)
+        M.store_predictions(preds, args.store)  # replaces only the days scored
         if args.latest:
             latest_per_machine(spark.read.parquet(args.store).drop("date")) \
                 .write.mode("overwrite").parquet(args.latest)

@@ -119,6 +119,12 @@ def test_cli_train_score_retrain(spark, tmp_path, capsys):
     n_rows = spark.read.parquet(master).count()
     assert spark.read.parquet(store).count() == n_rows
     assert spark.read.parquet(latest).count() == spark.read.parquet(master).select("machineID").distinct().count()
+    before = {r.date: r.n for r in spark.read.parquet(store).groupBy("date").count()
+              .withColumnRenamed("count", "n").collect()}
+    assert main(["score", "--master", master, "--model", model, "--store", store, "--from", "2024-01-25"]) == 0
+    after = {r.date: r.n for r in spark.read.parquet(store).groupBy("date").count()
+             .withColumnRenamed("count", "n").collect()}
+    assert after == before  # the re-scored days were replaced, not appended; the others untouched
     assert main(["retrain", "--master", master, "--as-of", "2024-01-22", "--model-root", str(tmp_path / "m"),
                  "--train-days", "14"]) == 0
     assert os.path.isdir(tmp_path / "m" / "as_of=2024-01-22")
