@@ -63,6 +63,8 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("--events", "--history", "--model", "--store", "--checkpoint", "--machines"):
         a.add_argument(flag, required=True)
     a.add_argument("--glob")
+    a.add_argument("--delay", default="1 hour", help="watermark delay: how late an event may arrive")
+    a.add_argument("--max-files-per-trigger", type=int)
     a.add_argument("--once", action="store_true", help="process what is there, then stop")
     args = p.parse_args(argv)
 
@@ -125,7 +127,8 @@ def _dispatch(spark: SparkSession, args: argparse.Namespace) -> int:
         from sparkmend.streaming.hourly import run_hourly_scoring
         q = run_hourly_scoring(spark, args.events, args.history, args.model, args.store,
                                args.checkpoint, spark.read.parquet(args.machines),
-                               file_glob=args.glob, available_now=args.once)
+                               file_glob=args.glob, delay=args.delay, available_now=args.once,
+                               max_files_per_trigger=args.max_files_per_trigger)
         q.awaitTermination()
     return 0
 

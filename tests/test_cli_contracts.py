@@ -128,3 +128,11 @@ def test_cli_train_score_retrain(spark, tmp_path, capsys):
     assert main(["retrain", "--master", master, "--as-of", "2024-01-22", "--model-root", str(tmp_path / "m"),
                  "--train-days", "14"]) == 0
     assert os.path.isdir(tmp_path / "m" / "as_of=2024-01-22")
+    from sparkmend.sources import standins as S
+    machines = str(tmp_path / "machines")
+    S.machines(spark, SF_SMALL).write.parquet(machines)
+    preds = str(tmp_path / "stream_store")
+    assert main(["stream", "--events", SF_SMALL, "--glob", "events.parquet", "--history", str(tmp_path / "h"),
+                 "--model", model, "--store", preds, "--checkpoint", str(tmp_path / "ck"),
+                 "--machines", machines, "--once"]) == 0
+    assert spark.read.parquet(preds).count() > 0
