@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from sparkmend import registry
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -51,10 +52,10 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert {"train_and_score", "retrain_weekly", "latest_health"} == set(q) - set(o)
+    assert {"train_and_score", "retrain_weekly", "latest_health"} == set(registry.QUERIES) - set(o)
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(registry.ORACLES))
 def test_query_matches_oracle(spark, con, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     rel = con.execute(E.oracle_sql()[key])
