@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import quality_rules, source_mix
+from sparkmend.llm import quality_rules, source_mix, token_counts
 from sparkmend.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                     _tokenizer("byte_bpe_50k.json")).drop("text")
+
+
 def _op2_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
     return rf"""
