@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import quality_rules, source_mix, token_counts
-from sparkmend.llm.common import table
+from sparkmend.llm import language_ppm, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_stop_words", "n_lines", "failed_rules")
 
 
+@register("op7_language_ppm")
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four id folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_ppm.learn(docs, allowed=fold(F.col("doc_id"), 4) != 2)
+    return language_ppm.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_quality_neighbours")
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, labels learned from three of four id folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_neighbours.learn(docs, table(spark, sf_dir, "labels"), allowed=fold(F.col("doc_id"), 4) != 2)
+    return quality_neighbours.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 @register("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix to target weights takes of every document."""
