@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import language_ppm, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import language_ppm, near_duplicates, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_stop_words", "n_lines", "failed_rules")
 
 
+@register("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: two-word shingles, similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, shingle=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op7_language_ppm")
 def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four id folds."""
