@@ -186,11 +186,12 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bloc
     placed = cut_lineage(place(sized, sources, [key]), "mix-places")
     uses = draw_slots(sources, block_words=block_words, slots_per_shard=slots_per_shard, seed=seed).groupBy(
         "source_no", "block").agg(F.count("*").alias("uses"))
-    taken = (pieces(placed, block_words).join(uses, ["source_no", "block"])
+    # Spark takes the exploded slots for small: without the hint it would broadcast them
+    taken = (pieces(placed, block_words).join(uses.hint("merge"), ["source_no", "block"])
              .groupBy("source_no", "start")
              .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")).alias("taken")))
     # a row with words owns its start; rows without words share it with their successor
-    used = placed.where("size > 0").join(taken, ["source_no", "start"], "left")
+    used = placed.where("size > 0").join(taken.hint("merge"), ["source_no", "start"], "left")
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = [key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
     return used.select(*cols).unionByName(empty.select(*cols))
@@ -216,7 +217,7 @@ def mix_documents(docs: DataFrame, text: str = "text", *, block_words: int = BLO
     sources = cut_lineage(source_targets(sized), "mix-sources")
     placed = cut_lineage(place(sized, sources, keys), "mix-places")
     slots = draw_slots(sources, block_words=block_words, slots_per_shard=slots_per_shard, seed=seed)
-    spans = (pieces(placed, block_words).join(slots, ["source_no", "block"])
+    spans = (pieces(placed, block_words).join(slots.hint("merge"), ["source_no", "block"])
              .groupBy(*keys, "source_no", "start", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"),
                   F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"), F.first("size").alias("__size"))
@@ -225,7 +226,7 @@ def mix_documents(docs: DataFrame, text: str = "text", *, block_words: int = BLO
     words = F.transform(F.array(word_pieces(F.col(text))), lambda ws: F.concat_ws("", F.transform(
         F.col("__spans"), lambda s: F.concat_ws("", F.slice(
             ws, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int"))))))
-    out = texts.join(spans, keys).withColumn(
+    out = texts.join(spans.hint("shuffle_hash"), keys).withColumn(
         text, F.when(F.col("__taken") == F.col("__size"), F.col(text)).otherwise(F.element_at(words, 1)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
