@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import language_ppm, near_duplicates, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import context_mixing, language_ppm, near_duplicates, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,16 @@ def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@register("op8_context_mixing")
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and context-mixing score of every document, learned from nine of ten id folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, words = context_mixing.learn(docs, allowed=fold(F.col("doc_id"), 10) != 0)
+    return context_mixing.score(docs, model, words).select(
+        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score", "bits_per_byte")
+
+
 @register("op9_quality_neighbours")
 def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, labels learned from three of four id folds."""
