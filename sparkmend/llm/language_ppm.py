@@ -180,7 +180,8 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", language:
     # only ids are ranked; the rank filter keeps rows_per_language rows a language in each task already
     chosen = (rows.select(key, language).withColumn("__rank", F.row_number().over(first))
               .where(F.col("__rank") <= rows_per_language).select(key, language).distinct())
-    texts = rows.select(key, text, language).join(chosen, [key, language], "left_semi")
+    # chosen: at most rows_per_language rows a language
+    texts = rows.select(key, text, language).join(F.broadcast(chosen), [key, language], "left_semi")
     counts = gram_counts(texts, text, language).where("n >= 2 or gram_order = 0")
     totals = counts.groupBy("gram_order").agg(F.sum("n").alias("of_order"))
     kept = counts.join(F.broadcast(totals), "gram_order").where(F.col("n") * max_nodes >= F.col("of_order"))
