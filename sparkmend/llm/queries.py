@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import context_mixing, language_ppm, near_duplicates, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import context_mixing, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_stop_words", "n_lines", "failed_rules")
 
 
+@register("op4_piece_sampling")
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece ids of every document, and whether decoding gave the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.encode(docs, _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
 @register("op5_near_duplicates")
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document: two-word shingles, similarity of 0.8 or more."""
