@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import context_mixing, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import context_mixing, hash_forest, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_stop_words", "n_lines", "failed_rules")
 
 
+@register("op3_hash_forest")
+def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every twentieth vector."""
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @register("op4_piece_sampling")
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled SentencePiece ids of every document, and whether decoding gave the text back."""

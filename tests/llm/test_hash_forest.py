@@ -1,0 +1,78 @@
+"""Hash-prefix forest: recall and scores against brute force, exactness at the root, odd vectors."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sparkmend.llm import hash_forest as H
+
+
+def brute(ids, x, asked, k):
+    out = {}
+    for i in asked:
+        s = x @ x[i]
+        order = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [(int(ids[j]), s[j]) for j in order]
+    return out
+
+
+def frame(spark, ids, x):
+    return spark.createDataFrame([(int(i), [float(a) for a in v], "x") for i, v in zip(ids, x)], "vec_id long, embedding array<double>, rank string")
+
+
+def collected(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    return {q: [v[i] for i in sorted(v)] for q, v in got.items()}
+
+
+def recall(got, want):
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
+    return hit / sum(len(w) for w in want.values())
+
+
+def test_recall_and_scores(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((12, 24))
+    x = centre[rng.integers(0, 12, 3000)] + 0.4 * rng.standard_normal((3000, 24))  # norms differ
+    x[100:180] = x[99]  # a repeated vector
+    ids = rng.permutation(3000)
+    asked = np.flatnonzero(ids % 20 == 0)
+    got = collected(H.nearest(frame(spark, ids, x), F.col("vec_id") % 20 == 0, shard_rows=700))
+    want = brute(ids, x, asked, 20)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
+    place = {int(i): j for j, i in enumerate(ids)}
+    for q, found in got.items():
+        assert all(abs(s - float(x[place[q]] @ x[place[i]])) < 1e-9 for i, s in found)
+        assert found == sorted(found, key=lambda t: (-t[1], t[0]))
+
+
+def test_whole_ascent_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (500, 6)).astype(float)  # many ties
+    x[(x == 0).all(1), 0] = 1
+    ids = np.arange(500)
+    got = collected(H.nearest(frame(spark, ids, x), F.col("vec_id") % 20 == 0, shard_rows=90, visits=float(H.TREES)))
+    assert got == brute(ids, x, range(0, 500, 20), 20)
+
+
+def test_visits_shrink_on_clustered_vectors():
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((200, 32)) * 3
+    x = centre[rng.integers(0, 200, 4000)] + 0.05 * rng.standard_normal((4000, 32))
+    planes = H.Planes.drawn(32, float(np.linalg.norm(x, axis=1).max()))
+    few = H.fitted_visits(x, planes, 10, 0.95)
+    assert few <= 2.0
+    loose = rng.standard_normal((1000, 32))
+    assert H.fitted_visits(loose, H.Planes.drawn(32, 12.0), 10, 0.95) >= few
+
+
+def test_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
+            (6, [float("inf"), 1.0]), (7, [0.5, 0.5]), (8, [1.0, 2.0, 3.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(H.nearest(df, F.col("vec_id") % 20 == 0))
+    assert [i for i, _ in got[0]] == [20, 20, 7, 9]
+    assert {i for i, _ in got[20]} == {0, 7, 9}
+    assert H.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert H.nearest(df.where("vec_id = 7"), F.col("vec_id") % 20 == 0).count() == 0
