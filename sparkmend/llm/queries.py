@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmend.llm import context_mixing, hash_forest, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,22 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op6_chat_transcripts")
+def op6_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a raw transcript (markers in several styles, some missing): recovered roles and canonical lines.
+
+    The model is learned from three of four id folds; ``role`` is the role that the line really has.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat_transcripts.lines(chat_transcripts.raw_transcripts(turns)).withColumn(
+        "held_out", fold(F.col("conv"), 4) == 2)
+    model = chat_transcripts.learn(rows.where(~F.col("held_out")))
+    got = chat_transcripts.render(chat_transcripts.decode(rows, model)).withColumnRenamed("role", "role_pred")
+    known = rows.groupBy("conv", "turn", "same", "line").agg(F.first("role").alias("role"), F.first("held_out").alias("held_out"))
+    return got.join(known, ["conv", "turn", "same", "line"]).select(
+        "conv", "turn", "line", "held_out", "role", "role_pred", "turn_no", "rendered")
+
+
 @register("op7_language_ppm")
 def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three of four id folds."""
