@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
 from sparkmend.llm.common import fold, table
 
@@ -159,3 +160,6 @@ def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix to target weights takes of every document."""
     return source_mix.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
