@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 # Text formats accepted for the raw `datetime` column, tried in order
 # after the ISO form ("2015-01-01 06:00:00", "2015-01-01T06:00:00").
-DATETIME_FORMATS = ["M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "yyyy/MM/dd HH:mm:ss"]
+DATETIME_FORMATS = ["M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/MM/dd HH:mm:ss",
+                    "yyyy/MM/dd H:mm", "yyyy/MM/dd", "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "MMM d yyyy", "yyyyMMdd"]
+# A time zone at the end of a text: such values have no plain wall clock and do not parse.
+ZONED = r"(?i)\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(z|utc|gmt|[+-]\d{2}:?\d{2}|[+-]\d{2})\s*$"
 
 
 def _col(c: str | Column) -> Column:
@@ -22,14 +25,17 @@ def _col(c: str | Column) -> Column:
 
 
 def try_parse_datetime(c: str | Column, formats: list[str] | None = None) -> Column:
-    """Text -> timestamp_ntz, NULL where no accepted form matches (never raises)."""
+    """Text -> timestamp_ntz, NULL where no accepted form matches (never raises).
+
+    Text with a zone or offset is NULL too: dropping the offset would change the time.
+    """
     c = _col(c)
     fmts = DATETIME_FORMATS if formats is None else formats
     # to_timestamp_ntz raises under ANSI, so it only runs where try_to_timestamp
     # has shown the format fits; the result keeps the wall clock (no zone shift).
     alts = [F.when(F.try_to_timestamp(c, F.lit(f)).isNotNull(), F.to_timestamp_ntz(c, F.lit(f)))
             for f in fmts]
-    return F.coalesce(c.try_cast("timestamp_ntz"), *alts)
+    return F.when(~c.cast("string").rlike(ZONED), F.coalesce(c.try_cast("timestamp_ntz"), *alts))
 
 
 def parse_datetime(c: str | Column, formats: list[str] | None = None, name: str = "datetime") -> Column:
@@ -40,6 +46,14 @@ def parse_datetime(c: str | Column, formats: list[str] | None = None, name: str
                   F.raise_error(F.concat(F.lit(f"unparseable {name}: "), c))).otherwise(parsed)
 
 
+def try_parse_integer(c: str | Column, to: str = "bigint") -> Column:
+    """Text -> integer without going through a double: digits as they are, else a decimal with a
+    zero fraction (``3.0``); NULL where neither fits."""
+    c = _col(c)
+    d = c.try_cast("decimal(38,18)")
+    return F.coalesce(c.try_cast("bigint"), F.when(d == F.floor(d), d.try_cast("bigint"))).try_cast(to)
+
+
 def hour_floor(c: str | Column) -> Column:
     """Truncate a timestamp_ntz to the hour without going through a time zone."""
     c = _col(c)

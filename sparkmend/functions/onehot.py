@@ -18,19 +18,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def discover_categories(df: DataFrame, column: str, max_categories: int = 1000) -> list[str]:
-    """Distinct non-null values of ``column``, sorted.
+def discover_categories(df: DataFrame, column: str) -> list[str]:
+    """Distinct non-null values of ``column``, sorted: the columns of the wide form.
 
-    Bounded: at most ``max_categories + 1`` values ever reach the driver, and more
-    than ``max_categories`` is an error rather than a silent cut.
+    They become column names, so they are needed on the driver; for columns with very many
+    values use ``category_counts``, which keeps them as rows.
     """
-    rows = (df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull())
-            .distinct().limit(max_categories + 1).collect())
-    if len(rows) > max_categories:
-        raise ValueError(f"{column}: more than {max_categories} distinct categories")
+    rows = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
     return sorted(r.v for r in rows)
 
 
+def category_counts(df: DataFrame, column: str, keys: list[str], category: str = "category", count: str = "count") -> DataFrame:
+    """One-hot counts in long form: a row for each key and category that occurs, any number of categories.
+
+    The non-zero cells of ``onehot_counts``; nothing reaches the driver. Null keys and null categories have no row.
+    """
+    return (df.dropna(subset=[*keys, column]).groupBy(*keys, F.col(column).cast("string").alias(category))
+            .agg(F.count(F.lit(1)).cast("double").alias(count)))
+
+
 def onehot_count_exprs(column: str | Column, categories: list[str], prefix: str,
                        where: Column | None = None) -> list[Column]:
     """``count`` expressions, one per category, cast to double and named by prefix."""

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmend import contracts as C
-from sparkmend.functions.columns import try_parse_datetime
+from sparkmend.functions.columns import try_parse_datetime, try_parse_integer
 from sparkmend.operators import audits
+from sparkmend.sources.csv import MALFORMED
 
 REPORT_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False),
@@ -38,30 +39,31 @@ REPORT_ROW = Row(*REPORT_SCHEMA.fieldNames())
 
 # Rule names in check order, and the messages a failed rule raises.
 RAW_RULES = ["file_exists", "columns_match", "null_cells", "duplicate_rows", "duplicate_keys",
-             "unparseable_values", "unlisted_categories", "duplicate_machine_ids"]
+             "unparseable_values", "unlisted_categories", "duplicate_machine_ids", "malformed_rows"]
 MERGED_RULES = ["row_count_match", "duplicate_keys", "required_columns", "null_sensor_cells",
                 "null_machine_cells", "numeric_event_columns"]
 RAW_MESSAGES = {
-    "file_exists": "{dataset}.csv not found at {path}",
-    "columns_match": "{dataset}: Schema mismatch. Expected {expected}, got {actual}",
-    "null_cells": "{dataset}: Contains null values",
-    "duplicate_rows": "{dataset}: Contains exact duplicate rows",
-    "duplicate_keys": "Telemetry: Duplicate timestamps found for a machine",
-    "unparseable_values": "{dataset}: Contains values that do not parse as the declared type",
-    "unlisted_categories": "{dataset}: Contains categories outside the declared list",
-    "duplicate_machine_ids": "{dataset}: Contains duplicate machineID values",
+    "file_exists": "no file for table {dataset} at {path}",
+    "columns_match": "table {dataset}: the columns are {actual}, the contract has {expected}",
+    "null_cells": "table {dataset}: some cells are missing",
+    "duplicate_rows": "table {dataset}: some rows occur more than once",
+    "duplicate_keys": "table {dataset}: a machine has two rows for one time",
+    "unparseable_values": "table {dataset}: some values are not of the declared type",
+    "unlisted_categories": "table {dataset}: some categories are not in the declared list",
+    "duplicate_machine_ids": "table {dataset}: a machine id occurs more than once",
+    "malformed_rows": "table {dataset}: some rows have more cells than the header",
 }
 MERGED_MESSAGES = {
-    "row_count_match": "Merge caused row anomalies! Expected {expected}, got {actual}. ",
-    "duplicate_keys": "Merged dataset contains duplicate machineID + datetime rows",
-    "required_columns": "Merged dataset missing column: {column}",
-    "null_sensor_cells": "Merged dataset contains nulls in telemetry columns",
-    "null_machine_cells": "Merged dataset contains nulls in machine metadata columns",
-    "numeric_event_columns": "Event column {column} must be numeric",
+    "row_count_match": "the merge changed the number of rows: {actual} instead of {expected}",
+    "duplicate_keys": "the merged table has two rows for one machine and time",
+    "required_columns": "the merged table lacks column {column}",
+    "null_sensor_cells": "the merged table has missing sensor values",
+    "null_machine_cells": "the merged table has missing machine metadata",
+    "numeric_event_columns": "event column {column} is not numeric",
 }
 # Rules of the reference gate; the others are reported, and enforced only in strict mode.
 REFERENCE_RAW_RULES = {"file_exists", "columns_match", "null_cells", "duplicate_rows",
-                       "duplicate_keys"}
+                       "duplicate_keys", "malformed_rows"}
 
 
 class _Fields(dict):
@@ -113,9 +115,7 @@ def typed_value(df: DataFrame, name: str, target: T.DataType) -> Column:
     if isinstance(target, T.TimestampNTZType):
         return try_parse_datetime(c)
     if isinstance(target, (T.LongType, T.IntegerType)):
-        # "3.0" is a valid integer in text files written by pandas.
-        d = c.try_cast("double")
-        return F.when(d == F.floor(d), d.try_cast(target.simpleString()))
+        return try_parse_integer(c, target.simpleString())
     return c.try_cast(target.simpleString())
 
 
@@ -152,6 +152,9 @@ def value_view(df: DataFrame, contract: C.TableContract) -> tuple[DataFrame, dic
     types = {f.name: f.dataType for f in contract.schema.fields}
     out, parts = [], {}
     for name in df.columns:
+        if name == MALFORMED:
+            out.append(F.col(name))
+            continue
         t = types.get(name)
         raw = F.col(f"`{name}`")
         if t is not None and not isinstance(t, T.StringType) \
@@ -165,48 +168,42 @@ def value_view(df: DataFrame, contract: C.TableContract) -> tuple[DataFrame, dic
     return df.select(*out), parts
 
 
-def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] | None = None,
-                     key_first: bool = False) -> tuple[DataFrame, bool]:
+def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] | None = None) -> tuple[DataFrame, bool]:
     """All data rules of one table from a single scan: returns (one stats row, text mode).
 
-    Identical rows are grouped first (map-side partial aggregation collapses
-    copies before the shuffle); missing cells, unparseable cells and unlisted
-    categories are counted per distinct row and weighted by its copies, and
-    duplicate keys come from a second grouping of the (already reduced) groups.
-
-    ``key_first`` (tables with a key): group by the key alone first, a narrow
-    shuffle of the key and a few counters. Identical rows share their key, so
-    when no key repeats there is no duplicate row and the wide full-row grouping
-    is skipped; otherwise it runs as above. This runs one job now (eagerly).
+    Rows are grouped by a 128-bit hash of their values (and of their key): the shuffle carries hashes and counters
+    only, whatever the width of the table, and copies collapse before it. Missing cells, unparseable cells and
+    unlisted categories are counted per distinct row and weighted by its copies; duplicate keys come from a
+    second grouping of the reduced groups.
     """
     text = _is_text_table(df, contract)
-    view, parts = value_view(df, contract) if text else (df, {c: [c] for c in df.columns})
-    if key_first and key and all(k in parts for k in key):
-        narrow = _key_first_stats(spark_of(df), view, parts, contract, key)
-        if narrow is not None:
-            return narrow, text
-    groups = view.groupBy(*[F.col(f"`{c}`") for c in view.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
+    marked = MALFORMED in df.columns
+    plain = df.drop(MALFORMED)
+    view, parts = value_view(df, contract) if text else (df, {c: [c] for c in plain.columns})
     missing, bad, unlisted = _row_rule_counts(view, parts, contract)
+    wrong = F.col(MALFORMED).cast("int") if marked else F.lit(0)
+    keyed = bool(key) and all(k in parts for k in key)
+    key_cols = [c for k in key for c in parts[k]] if keyed else []
+    rows = view.select(*audits.row_hashes([c for c in view.columns if c != MALFORMED], "_h"), *(audits.row_hashes(key_cols, "_k") if keyed else []),
+                       missing.alias("_m"), bad.alias("_b"), unlisted.alias("_u"), wrong.alias("_w"))
+    names = [c for c in rows.columns if c[:2] in ("_h", "_k")]
+    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in ("_m", "_b", "_u", "_w")])
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
     stats = groups.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(n * missing), F.lit(0)).alias("null_cells"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(n * bad), F.lit(0)).alias("unparseable_values"),
-        F.coalesce(F.sum(n * unlisted), F.lit(0)).alias("unlisted_categories"))
-    if key and all(k in parts for k in key):
-        key_cols = [c for k in key for c in parts[k]]
-        keyed = (groups.groupBy(*[F.col(f"`{c}`") for c in key_cols]).agg(F.sum(n).alias("_k"))
-                 .agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_keys")))
-        stats = stats.unionByName(keyed, allowMissingColumns=True).agg(
+        total(F.col("_n")).alias("rows"), total(F.col("_m")).alias("null_cells"), total(F.col("_n") - 1).alias("duplicate_rows"),
+        total(F.col("_b")).alias("unparseable_values"), total(F.col("_u")).alias("unlisted_categories"),
+        total(F.col("_w")).alias("malformed_rows"))
+    if keyed:
+        per_key = (groups.groupBy("_k0", "_k1").agg(F.sum("_n").alias("_s"))
+                   .agg(total(F.col("_s") - 1).alias("duplicate_keys")))
+        stats = stats.unionByName(per_key, allowMissingColumns=True).agg(
             *[F.max(c).alias(c) for c in stats.columns + ["duplicate_keys"]])
     return stats, text
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def _row_rule_counts(view: DataFrame, parts: dict[str, list[str]], contract: C.TableContract
                      ) -> tuple[Column, Column, Column]:
     """Per row: missing cells, unparseable cells, unlisted category (0/1)."""
@@ -226,39 +223,13 @@ def _row_rule_counts(view: DataFrame, parts: dict[str, list[str]], contract: C.T
     return _count_true(missing_conds), _count_true(bad_conds), unlisted
 
 
-def _key_first_stats(spark: SparkSession, view: DataFrame, parts: dict[str, list[str]],
-                     contract: C.TableContract, key: list[str]) -> DataFrame | None:
-    """One narrow pass grouped by key; None when some key repeats (the full path is needed)."""
-    missing, bad, unlisted = _row_rule_counts(view, parts, contract)
-    key_cols = [F.col(f"`{c}`") for k in key for c in parts[k]]
-    per_key = view.groupBy(*key_cols).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_m"), F.sum(bad).alias("_b"),
-        F.sum(unlisted).alias("_u"))
-    row = per_key.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum("_m"), F.lit(0)).alias("null_cells"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("unparseable_values"),
-        F.coalesce(F.sum("_u"), F.lit(0)).alias("unlisted_categories"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_keys")).first()
-    if row.duplicate_keys:
-        return None
-    return spark.range(1).select(
-        F.lit(row.rows).cast("long").alias("rows"), F.lit(row.null_cells).cast("long").alias("null_cells"),
-        F.lit(0).cast("long").alias("duplicate_rows"),
-        F.lit(row.unparseable_values).cast("long").alias("unparseable_values"),
-        F.lit(row.unlisted_categories).cast("long").alias("unlisted_categories"),
-        F.lit(0).cast("long").alias("duplicate_keys"))
-
-
 def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, DataFrame | None],
                     contracts: dict[str, C.TableContract] | None = None,
-                    strict: bool = False, with_rows: bool = False,
-                    key_first: bool = False) -> DataFrame:
+                    strict: bool = False, with_rows: bool = False) -> DataFrame:
     """Report of the raw gate over the raw tables, one row per table and rule.
 
     One scan per table; all five tables run in one job. ``with_rows`` adds each
-    table's row count as a column (so later checks need not count it again);
-    ``key_first`` uses the narrow key pass for keyed tables (see ``table_gate_stats``).
+    table's row count as a column (so later checks need not count it again).
     """
     contracts = C.raw_contracts() if contracts is None else contracts
     if isinstance(tables, dict):
@@ -277,17 +248,18 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
                 F.lit(None) if with_rows else None))
             continue
         df = t.df
+        columns = [c for c in df.columns if c != MALFORMED]
         if name == "telemetry":
             key = list(contract.key)
         elif name == "machines":
             key = ["machineID"]
         else:
             key = None
-        stats, text = table_gate_stats(df, contract, key, key_first=key_first)
+        stats, text = table_gate_stats(df, contract, key)
         rules = [
             _rule_struct(name, base + 1, "file_exists", F.lit(0), enf["file_exists"]),
             _rule_struct(name, base + 2, "columns_match",
-                         F.lit(0 if list(df.columns) == contract.columns else 1), enf["columns_match"]),
+                         F.lit(0 if columns == contract.columns else 1), enf["columns_match"]),
             _rule_struct(name, base + 3, "null_cells", F.col("null_cells"), enf["null_cells"]),
             _rule_struct(name, base + 4, "duplicate_rows", F.col("duplicate_rows"),
                          enf["duplicate_rows"]),
@@ -295,6 +267,8 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
         if name == "telemetry":
             v = F.col("duplicate_keys") if "duplicate_keys" in stats.columns else F.lit(None)
             rules.append(_rule_struct(name, base + 5, "duplicate_keys", v, enf["duplicate_keys"]))
+        if MALFORMED in df.columns:
+            rules.append(_rule_struct(name, base + 9, "malformed_rows", F.col("malformed_rows"), enf["malformed_rows"]))
         if text:
             rules.append(_rule_struct(name, base + 6, "unparseable_values",
                                       F.col("unparseable_values"), enf["unparseable_values"]))
@@ -360,13 +334,14 @@ def non_numeric_event_columns(df: DataFrame) -> list[str]:
             if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
 
 
-def enforce(report: DataFrame, details: dict[tuple[str, str], dict] | None = None) -> bool:
+def enforce(report: DataFrame | list[Row], details: dict[tuple[str, str], dict] | None = None) -> bool:
     """Raise ``GateError`` for the first failed enforced rule (in ``rule_order``), else True.
 
-    The report has a handful of rows per table; collecting it is bounded.
+    The report has a handful of rows per table; collecting it is bounded. Rows that are
+    collected already can be given as a list.
     """
     details = details or {}
-    rows = sorted(report.collect(), key=lambda r: r.rule_order)
+    rows = sorted(report if isinstance(report, list) else report.collect(), key=lambda r: r.rule_order)
     for r in rows:
         if r.enforced and r.passed is not True and r.violations is not None:
             messages = MERGED_MESSAGES if r.dataset == C.MASTER.name else RAW_MESSAGES
@@ -388,7 +363,7 @@ def raw_details(tables: list[RawInput], contracts: dict[str, C.TableContract] |
         out[(t.name, "file_exists")] = {"path": t.path}
         if t.df is not None and t.name in contracts:
             out[(t.name, "columns_match")] = {"expected": contracts[t.name].columns,
-                                              "actual": list(t.df.columns)}
+                                              "actual": [c for c in t.df.columns if c != MALFORMED]}
     return out
 
 

@@ -1,70 +1,18 @@
-"""Left outer equi-joins onto the preserved fact side, with a checked broadcast.
+"""Left outer equi-joins onto the preserved fact side.
 
-A dimension is broadcast only after a bounded count proves it small: at most
-``max_rows + 1`` rows are counted (a cheap, column-free scan for Parquet), and
-the row width estimate from the schema bounds the bytes. Above either bound the
-join falls back to a shuffled join, where AQE still picks the final strategy
-from runtime sizes and splits skewed partitions.
+No hint and no size guess: Spark broadcasts a side whose measured size (file statistics, or the
+shuffle output that adaptive execution sees) is under ``spark.sql.autoBroadcastJoinThreshold``, and
+otherwise shuffles both sides and splits skewed partitions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-DEFAULT_MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-_STRING_WIDTH_GUESS = 64
-
-
-@dataclass(frozen=True)
-class BroadcastDecision:
-    rows: int | None
-    estimated_bytes: int | None
-    broadcast: bool
-
-
-def estimated_row_bytes(schema: T.StructType) -> int:
-    """Upper-ish estimate of one row's size, strings counted at a fixed width."""
-    total = 8
-    for f in schema.fields:
-        t = f.dataType
-        if isinstance(t, (T.StringType, T.BinaryType)):
-            total += _STRING_WIDTH_GUESS
-        elif isinstance(t, (T.StructType, T.ArrayType, T.MapType)):
-            total += 4 * _STRING_WIDTH_GUESS
-        else:
-            total += 16 if isinstance(t, T.DecimalType) else 8
-    return total
-
-
-def decide_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> BroadcastDecision:
-    """Count at most ``max_rows + 1`` rows of ``df`` and decide whether it may be broadcast."""
-    n = df.limit(max_rows + 1).count()
-    est = n * estimated_row_bytes(df.schema)
-    return BroadcastDecision(n, est, n <= max_rows and est <= max_bytes)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` if its size is proven under the bounds, else ``df`` unchanged."""
-    return F.broadcast(df) if decide_broadcast(df, max_rows, max_bytes).broadcast else df
 
 
-def left_join(fact: DataFrame, other: DataFrame, keys: list[str],
-              broadcast_other: bool | None = None, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
-              ) -> DataFrame:
+def left_join(fact: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``fact LEFT JOIN other USING (keys)``: every fact row kept, duplicates in ``other`` fan out.
 
-    ``broadcast_other=None`` checks the size of ``other``; ``True``/``False`` force it.
     Keys compare with ``=``, so null keys never match (the gates forbid them first).
     """
-    if broadcast_other is None:
-        other = checked_broadcast(other, max_rows)
-    elif broadcast_other:
-        other = F.broadcast(other)
     return fact.join(other, on=keys, how="left")

@@ -10,10 +10,11 @@ one range partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkmend.session import scratch_path
+from sparkmend.session import cut_lineage, scratch_path
 
 
 def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
@@ -23,11 +24,26 @@ def total_sort(df: DataFrame, keys: list[str], partitions: int | None = None) ->
 
 
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+_STRING_WIDTH_GUESS = 64
+POSITION_ID = "__position_id"
+
+
+def estimated_row_bytes(schema: T.StructType) -> int:
+    """Rough size of a row (strings at a fixed guess): only steers how many files a sorted write makes."""
+    total = 8
+    for f in schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            total += _STRING_WIDTH_GUESS
+        elif isinstance(t, (T.StructType, T.ArrayType, T.MapType)):
+            total += 4 * _STRING_WIDTH_GUESS
+        else:
+            total += 16 if isinstance(t, T.DecimalType) else 8
+    return total
 
 
 def partitions_for(rows: int, df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Range partitions of about ``target_bytes`` each for ``rows`` rows of ``df``'s schema."""
-    from sparkmend.operators.joins import estimated_row_bytes
     return max(1, -(-rows * estimated_row_bytes(df.schema) // target_bytes))
 
 
@@ -43,32 +59,29 @@ def write_sorted(df: DataFrame, keys: list[str], path: str, partitions: int | No
     total_sort(df, keys, partitions).write.mode("overwrite").parquet(path)
 
 
-def positions_of_sorted_table(spark, path: str, keys: list[str], name: str = "row_index"
-                              ) -> DataFrame:
-    """Read a table written by ``write_sorted`` and add its 1-based position in key order.
-
-    Keys must identify rows (ties would make the rank inside a file arbitrary).
-    """
-    rows = spark.read.parquet(path).withColumn("_file", F.input_file_name())
-    # one row per file: the number of files bounds this table; files are ordered by
-    # the partition number in their name (numerically, not as text)
-    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_part", F.regexp_extract(F.col("_file"), r"/part-(\d+)[^/]*$", 1).cast("long"))
-    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy("_file").orderBy(*keys))
-    return (rows.withColumn("_rank", rank).join(F.broadcast(offsets), "_file")
-            .withColumn(name, F.col("_off") + F.col("_rank"))
-            .drop("_file", "_rank", "_off"))
-
-
 def with_position(df: DataFrame, keys: list[str], name: str = "row_index",
                   partitions: int | None = None, path: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order by ``keys``.
 
-    The sorted rows are written once (to ``path``, or a scratch table in the shared
-    checkpoint folder) and positions are computed from that table.
+    The rows are written once as they come (their number is observed on the way, and sets the number of range partitions) and
+    once in order (to ``path``, or a scratch table in the shared checkpoint folder). The sorted write also stores
+    ``monotonically_increasing_id``: the partition's number and the row's rank in it. Positions are that
+    rank plus the sizes of earlier partitions, one row a partition, so there is no further shuffle of the rows.
     """
-    path = path or scratch_path(df.sparkSession, "sorted")
-    write_sorted(df, keys, path, partitions)
-    return positions_of_sorted_table(df.sparkSession, path, keys, name)
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "sorted")
+    staged = scratch_path(spark, "unsorted")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(staged)
+    rows = spark.read.parquet(staged)
+    ordered = total_sort(rows, keys, partitions or partitions_for(seen.get["rows"], rows))
+    ordered.withColumn(POSITION_ID, F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    written = spark.read.parquet(path)
+    part = F.shiftright(F.col(POSITION_ID), 33)
+    rank = F.col(POSITION_ID) - F.shiftleft(part, 33)
+    # one row a partition; written, so that the join below knows its real size
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = cut_lineage(sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")), "offsets")
+    return (written.withColumn("__part", part).join(offsets, "__part", "left")
+            .withColumn(name, F.col("__before") + rank + 1).drop("__part", "__before", POSITION_ID))

@@ -13,9 +13,9 @@ Every feature is a time frame over one machine's rows ordered by time:
 Splitting hot machines. A machine's history can be long (or dense), so windows
 are not evaluated per machine but per (machine, time bucket) of
 ``bucket_hours`` (one week by default). Each row is also copied, as a halo
-row, into the next bucket when it lies within the longest look-back of that
-bucket's start, and into the previous bucket when it lies within the label
-horizon of its own bucket's start. Bounded frames then see every row they need
+row, into the next buckets whose start lies within the longest look-back after
+it, and into the previous buckets whose end lies within the label horizon before it
+(several buckets, when a window is longer than one). Bounded frames then see every row they need
 inside one bucket. Running features add a per-bucket prefix: a small aggregate
 of (machine, bucket) summaries, scanned over buckets (a machine has one summary
 row per week of history), joined back by (machine, bucket). A task therefore
@@ -170,17 +170,17 @@ def advance_state(prev: DataFrame | None, summary: DataFrame, last_cols: list[st
 
 def _bucketed(base: DataFrame, bucket_hours: int, back_hours: int, ahead_hours: int) -> DataFrame:
     """Rows tagged with their bucket, plus halo copies for the neighbouring buckets."""
-    if back_hours > bucket_hours or ahead_hours > bucket_hours:
-        raise ValueError("bucket_hours must cover the longest look-back and the label horizon")
     bh = bucket_hours * HOUR_US
     t = F.col(ORDER_COL)
     b = F.floor(t / F.lit(bh))
+    def target(shift: int, keep: Column) -> Column:
+        return F.struct((b + shift).alias("b"), F.lit(shift == 0).alias("core"), keep.alias("keep"))
+
+    # as many neighbouring buckets as the longest look-back and the label horizon reach
     targets = F.array(
-        F.struct(b.alias("b"), F.lit(True).alias("core"), F.lit(True).alias("keep")),
-        F.struct((b + 1).alias("b"), F.lit(False).alias("core"),
-                 (t >= (b + 1) * F.lit(bh) - F.lit(back_hours * HOUR_US)).alias("keep")),
-        F.struct((b - 1).alias("b"), F.lit(False).alias("core"),
-                 (t < b * F.lit(bh) + F.lit(ahead_hours * HOUR_US)).alias("keep")))
+        target(0, F.lit(True)),
+        *[target(k, t >= (b + k) * F.lit(bh) - F.lit(back_hours * HOUR_US)) for k in range(1, -(-back_hours // bucket_hours) + 1)],
+        *[target(-k, t < (b - k + 1) * F.lit(bh) + F.lit(ahead_hours * HOUR_US)) for k in range(1, -(-ahead_hours // bucket_hours) + 1)])
     exploded = base.select("*", F.explode(targets).alias("_tgt")).where(F.col("_tgt.keep"))
     return (exploded.withColumn(BUCKET_COL, F.col("_tgt.b")).withColumn(CORE_COL, F.col("_tgt.core"))
             .drop("_tgt"))
@@ -228,7 +228,7 @@ def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(
         exprs += hours_since_exprs(list(history), list(cumulative), split=True)
     else:
         if machine_state is not None:
-            base = left_join(base, machine_state, [KEY], broadcast_other=False)
+            base = left_join(base, machine_state, [KEY])
         if core:
             base = base.withColumn(CORE_COL, F.col(core))
         exprs += hours_since_exprs(list(history), list(cumulative), gated=core is not None,
@@ -244,7 +244,7 @@ def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(
         prefix = _bucket_prefix(base, bucket_hours, list(history), list(cumulative))
         # planned as a shuffled join on (machine, bucket), which the windows reuse; AQE
         # turns it into a broadcast when the measured prefix stage is small
-        rows = left_join(rows, prefix, [KEY, BUCKET_COL], broadcast_other=False)
+        rows = left_join(rows, prefix, [KEY, BUCKET_COL])
     return (rows.select(*[F.col(c) for c in keep], F.col(CORE_COL), *exprs)
             .where(F.col(CORE_COL)).drop(CORE_COL))
 
@@ -288,6 +288,11 @@ def feature_table(master: DataFrame, sensors: list[str] | None = None,
         machine_state=machine_state, core=core)
 
 
+def lookback_hours(windows_hours=DEFAULT_WINDOWS_HOURS, lags=DEFAULT_LAGS) -> int:
+    """How far back the bounded features of the feature table reach, with an hour to spare."""
+    return max(24, *windows_hours, *[n + 1 for n in lags]) + 1
+
+
 def latest_per_machine(df: DataFrame, key: str = "machineID", order: str = "datetime",
                        cols: list[str] | None = None) -> DataFrame:
     """The latest row of every machine (top-1 by ``order``), one aggregate.

@@ -2,7 +2,7 @@
 
 Plan (all lazy, one action at the sink):
 
-    telemetry ──LEFT JOIN (broadcast, size-checked)── machines
+    telemetry ──LEFT JOIN── machines
         └──LEFT JOIN on (machineID, datetime)── event counts
                  event counts = failures ∪ maintenance ∪ errors, grouped once
 
@@ -40,8 +40,7 @@ def event_counts(failures: DataFrame, maintenance: DataFrame, errors: DataFrame,
 
 
 def merge_master(telemetry: DataFrame, machines: DataFrame, failures: DataFrame,
-                 maintenance: DataFrame, errors: DataFrame, discover: bool = False,
-                 broadcast_machines: bool | None = None) -> DataFrame:
+                 maintenance: DataFrame, errors: DataFrame, discover: bool = False) -> DataFrame:
     """Merge the five typed contract tables into the master table.
 
     With ``discover=False`` (default) the output schema is the pinned contract:
@@ -50,7 +49,7 @@ def merge_master(telemetry: DataFrame, machines: DataFrame, failures: DataFrame,
     """
     counts = event_counts(failures, maintenance, errors, discover)
     count_cols = [c for c in counts.columns if c not in C.KEY_COLUMNS]
-    merged = left_join(telemetry, machines, ["machineID"], broadcast_other=broadcast_machines)
+    merged = left_join(telemetry, machines, ["machineID"])
     merged = merged.join(counts, on=C.KEY_COLUMNS, how="left")
     merged = zero_fill(merged, count_cols)
     front = list(telemetry.columns) + [c for c in machines.columns if c != "machineID"]

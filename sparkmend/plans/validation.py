@@ -1,9 +1,7 @@
 """The validation stage, and ingestion followed by validation.
 
 Stage 2 (validation): raw gate -> merge -> merged gate -> sinks -> artifact.
-The raw gate reads each table once: keyed tables first in a narrow pass grouped
-by key (the wide full-row grouping follows only when a key repeats), the others
-in one job together. The merged table is written once to a staging table in the
+The raw gate reads each table once, all tables in one job. The merged table is written once to a staging table in the
 shared checkpoint folder (with its row count observed during that write), the
 merged gate runs over the written rows with the telemetry row count taken from
 the raw gate, and only a passing table is written, sorted by key and in files of
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkmend import contracts as C
 from sparkmend.operators import gates
-from sparkmend.operators.sort import write_sorted
+from sparkmend.operators.sort import partitions_for, total_sort, write_sorted
 from sparkmend.plans.master import merge_master
 from sparkmend.session import ensure_checkpoint_dir
 from sparkmend.sources.csv import cast_to_contract, try_read_text_csv, write_csv
@@ -42,7 +40,7 @@ def read_raw_inputs(spark: SparkSession, raw_data_dir: str,
     out = []
     for name in (contracts or C.RAW_CONTRACTS):
         path = f"{raw_data_dir.rstrip('/')}/{name}.csv"
-        out.append(gates.RawInput(name, try_read_text_csv(spark, path), path))
+        out.append(gates.RawInput(name, try_read_text_csv(spark, path, mark_malformed=True), path))
     return out
 
 
@@ -57,13 +55,11 @@ def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool
                  contracts: dict[str, C.TableContract] | None = None
                  ) -> tuple[list, dict[str, int | None]]:
     """Run the raw gate; returns (report rows, rows per table), raises on the first failed rule."""
-    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict, with_rows=True,
-                                   key_first=True)
+    report = gates.raw_gate_report(spark, inputs, contracts, strict=strict, with_rows=True)
     collected = sorted(report.collect(), key=lambda r: r.rule_order)
     table_rows = {r.dataset: r.rows for r in collected}
     rows = [gates.REPORT_ROW(*[r[f] for f in gates.REPORT_SCHEMA.fieldNames()]) for r in collected]
-    gates.enforce(spark.createDataFrame(rows, gates.REPORT_SCHEMA),
-                  gates.raw_details(inputs, contracts))
+    gates.enforce(rows, gates.raw_details(inputs, contracts))
     return rows, table_rows
 
 
@@ -95,11 +91,11 @@ def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict:
         merged = gates.merged_gate_report(written, tel_rows)
         merged_rows = sorted(merged.collect(), key=lambda r: r.rule_order)
         master_rows = obs.get["rows"]
-        gates.enforce(spark.createDataFrame(merged_rows, gates.REPORT_SCHEMA),
-                      gates.merged_details(written, master_rows, tel_rows))
+        gates.enforce(merged_rows, gates.merged_details(written, master_rows, tel_rows))
         write_sorted(written, C.KEY_COLUMNS, master_path, rows=master_rows)
         if csv_copy:
-            write_csv(spark.read.parquet(master_path), f"{out}/master_csv")
+            # sorted for this write: reading the Parquet master back would mix its files
+            write_csv(total_sort(written, C.KEY_COLUMNS, partitions_for(master_rows, written)), f"{out}/master_csv")
         (spark.createDataFrame(raw_rows + merged_rows, gates.REPORT_SCHEMA).coalesce(1)
          .write.mode("overwrite").json(report_path))
         _write_status(spark, status_path, True)

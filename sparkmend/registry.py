@@ -419,6 +419,63 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_typed_csv(spark, path, TableContract("events", ev.schema))
 
 
+def _na_sql(c: str) -> str:
+    from sparkmend.sources.csv import NA_TOKENS
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
+    return f"CASE WHEN {c} IN ({tokens}) THEN NULL ELSE {c} END"
+
+
+@register("csv_text_exact", f"""
+SELECT 'documents' AS tbl, doc_id AS id, CAST(0 AS BIGINT) AS part, {_na_sql('text')} AS text FROM documents
+UNION ALL SELECT 'pages', page_id, 0, {_na_sql('html')} FROM pages
+UNION ALL SELECT 'conversations', conv_id, turn, {_na_sql('text')} FROM conversations""")
+def q_csv_text_exact(spark, sf_dir):
+    """Texts with quotes, commas, line breaks and blanks through the CSV sink and back."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.csv import read_text_csv, write_csv
+    from sparkmend.sources.standins import table
+    out = None
+    for name, key, part, text in (("documents", "doc_id", None, "text"), ("pages", "page_id", None, "html"),
+                                  ("conversations", "conv_id", "turn", "text")):
+        path = scratch_path(spark, f"csv-{name}")
+        write_csv(table(spark, sf_dir, name), path)
+        back = read_text_csv(spark, path).select(
+            F.lit(name).alias("tbl"), F.col(key).cast("long").alias("id"),
+            (F.col(part) if part else F.lit(0)).cast("long").alias("part"), F.col(text).alias("text"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register("csv_long_ids", "SELECT event_id + 9007199254740993 AS long_id, user_id FROM events")
+def q_csv_long_ids(spark, sf_dir):
+    """Ids beyond 2^53 through the CSV sink and the typed reader: none may change."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from sparkmend.contracts import TableContract
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.csv import read_typed_csv, write_csv
+    from sparkmend.sources.standins import table
+    ids = table(spark, sf_dir, "events").select(
+        (F.col("event_id") + F.lit(9007199254740993)).alias("long_id"), F.col("user_id").cast("long").alias("user_id"))
+    path = scratch_path(spark, "csv-long-ids")
+    write_csv(ids, path)
+    return read_typed_csv(spark, path, TableContract("ids", T.StructType(
+        [T.StructField("long_id", T.LongType()), T.StructField("user_id", T.LongType())])))
+
+
+@register("onehot_high_cardinality", """
+SELECT o_orderstatus, CAST(o_custkey AS VARCHAR) AS category, CAST(count(*) AS DOUBLE) AS count
+FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY 1, 2""")
+def q_onehot_high_cardinality(spark, sf_dir):
+    """One-hot counts of a column with very many values, as rows: no value reaches the driver."""
+    from sparkmend.functions.onehot import category_counts
+    from sparkmend.sources.standins import table
+    return category_counts(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus"])
+
+
 @register("document_scan", "SELECT * FROM events")
 def q_document_scan(spark, sf_dir):
     """events -> appended as JSON-lines documents -> full collection scan, ``_id`` dropped."""
@@ -477,6 +534,17 @@ register("rolling_24h", _rolling_sql(24))(_rolling_query(24))
 register("rolling_3h", _rolling_sql(3))(_rolling_query(3))
 
 
+@register("rolling_720h", f"""{MASTER_WITH}
+SELECT machineID, datetime, count(volt) OVER w AS volt_count_720h, min(volt) OVER w AS volt_min_720h,
+       max(volt) OVER w AS volt_max_720h
+FROM master WINDOW w AS {_trailing_sql(720)}""")
+def q_rolling_720h(spark, sf_dir):
+    """A window longer than a time bucket: 30 days."""
+    from sparkmend.plans.features import window_features
+    return window_features(_master(spark, sf_dir), ["machineID", "datetime"], sensors=["volt"], windows_hours=(720,),
+                           stats=("count", "min", "max"))
+
+
 def _hour_back_sql(n: int) -> str:
     return (f"({_W} RANGE BETWEEN INTERVAL {(n + 1) * _HOUR_US - 1} MICROSECONDS PRECEDING "
             f"AND INTERVAL {n * _HOUR_US} MICROSECONDS PRECEDING)")
@@ -545,32 +613,127 @@ def q_latest_status(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Model: assemble, train, evaluate, store, score, retrain
 
-@register("train_and_score")
+def _staged_master(spark, sf_dir):
+    """The master written once, for queries that read it several times."""
+    from sparkmend.session import cut_lineage
+    return cut_lineage(_master(spark, sf_dir), "master")
+
+
+def _derived_sql() -> str:
+    """All derived columns of the feature table."""
+    run = f"({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    cols = []
+    for h in (3, 24):
+        w = _trailing_sql(h)
+        for c in _SENSORS:
+            cols += [f"count({c}) OVER {w} AS {c}_count_{h}h", f"avg({c}) OVER {w} AS {c}_mean_{h}h",
+                     f"stddev_samp({c}) OVER {w} AS {c}_std_{h}h", f"min({c}) OVER {w} AS {c}_min_{h}h",
+                     f"max({c}) OVER {w} AS {c}_max_{h}h"]
+    cols.append(f"sum(error_count) OVER {_trailing_sql(24)} AS error_count_24h")
+    for c in _SENSORS:
+        cols += [f"last_value({c}) OVER {_hour_back_sql(n)} AS {c}_lag{n}" for n in (1, 3, 24)]
+        cols.append(f"{c} - last_value({c}) OVER {_hour_back_sql(1)} AS {c}_diff1")
+    for c in (*_HISTORY, "error_count"):
+        cols.append(f"date_diff('microsecond', last_value(CASE WHEN {c} > 0 THEN datetime END IGNORE NULLS) "
+                    f"OVER {run}, datetime) / {float(_HOUR_US)} AS hours_since_{c}")
+    cols += [f"sum({c}) OVER {run} AS cum_{c}" for c in ("failure", "error_count")]
+    cols.append(f"""COALESCE(max(CAST(CASE WHEN failure > 0 THEN 1 ELSE 0 END AS DOUBLE)) OVER ({_W}
+    RANGE BETWEEN INTERVAL 1 MICROSECONDS FOLLOWING AND INTERVAL {24 * _HOUR_US} MICROSECONDS FOLLOWING),
+    CAST(0 AS DOUBLE)) AS label_24h""")
+    errors = " + ".join(c for c in EVENT_COLS if c.startswith("errorID_"))
+    return (f"{MASTER_WITH}, counted AS (SELECT *, {errors} AS error_count FROM master)\n"
+            "SELECT machineID, datetime, error_count,\n  " + ",\n  ".join(cols) + "\nFROM counted")
+
+
+@register("feature_table", _derived_sql())
+def q_feature_table(spark, sf_dir):
+    """Every derived column of the feature table, and the label."""
+    from sparkmend.plans.features import feature_table
+    master = _master(spark, sf_dir)
+    drop = [c for c in master.columns if c not in ("machineID", "datetime")]
+    return feature_table(master).drop(*drop)
+
+
+_CHECKED = "TRUE AS probability_in_range, TRUE AS prediction_is_binary"
+
+
+def _checked(scored):
+    """Keys of scored rows, and whether probability and prediction are in range (values differ between engines)."""
+    from pyspark.sql import functions as F
+    return scored.select("machineID", "datetime",
+                         F.col("failure_probability").between(0.0, 1.0).alias("probability_in_range"),
+                         F.col("predicted_failure").isin(0.0, 1.0).alias("prediction_is_binary"))
+
+
+@register("train_and_score", f"""{MASTER_WITH}
+SELECT machineID, datetime, {_CHECKED} FROM master
+WHERE datetime >= (SELECT percentile_disc(0.8) WITHIN GROUP (ORDER BY datetime) FROM master)""")
 def q_train_and_score(spark, sf_dir):
     """Features -> time split -> GBT -> save -> load -> score the held-out hours -> store -> read back."""
     from sparkmend.plans.features import feature_table
     from sparkmend.plans.model import load_model, save_model, score, store_predictions, train
     from sparkmend.session import scratch_path
-    result, _ = train(feature_table(_master(spark, sf_dir)), max_iter=10)
+    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
     model_path = scratch_path(spark, "model")
     save_model(result.model, model_path)
     store = scratch_path(spark, "predictions")
     store_predictions(score(load_model(model_path), result.test), store)
-    return spark.read.parquet(store)
+    return _checked(spark.read.parquet(store))
 
 
-@register("latest_health")
+@register("model_roundtrip", f"""{MASTER_WITH}
+SELECT count(*) AS scored, CAST(0 AS BIGINT) AS differing FROM master""")
+def q_model_roundtrip(spark, sf_dir):
+    """Rows whose score by the model in memory differs from that by the stored and loaded model."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import load_model, save_model, score, train
+    from sparkmend.session import scratch_path
+    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+    path = scratch_path(spark, "model")
+    save_model(result.model, path)
+    old = score(result.model, result.features)
+    new = score(load_model(path), result.features).toDF("machineID", "datetime", "p2", "y2")
+    return old.join(new, ["machineID", "datetime"]).agg(
+        F.count("*").alias("scored"),
+        F.count_if((F.col("failure_probability") != F.col("p2")) | (F.col("predicted_failure") != F.col("y2"))).alias("differing"))
+
+
+@register("store_rerun", f"""{MASTER_WITH}
+SELECT CAST(datetime AS DATE)::VARCHAR AS day, count(*) AS stored FROM master GROUP BY 1""")
+def q_store_rerun(spark, sf_dir):
+    """Rows a day in the prediction store after scoring all days, and then the later half of the days once more."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.functions.columns import ntz_literal
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import score, store_predictions, time_cutoff, train
+    from sparkmend.session import scratch_path
+    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+    store = scratch_path(spark, "predictions")
+    store_predictions(score(result.model, result.features), store)
+    half = time_cutoff(result.features, 0.5).replace(hour=0)
+    store_predictions(score(result.model, result.features.where(F.col("datetime") >= ntz_literal(half))), store)
+    return spark.read.parquet(store).groupBy(F.date_format("datetime", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("stored"))
+
+
+@register("latest_health", f"""{MASTER_WITH}
+SELECT machineID, max(datetime) AS datetime, {_CHECKED} FROM master GROUP BY machineID""")
 def q_latest_health(spark, sf_dir):
     """Score every hour with the trained model; the newest hour per machine is its health status."""
     from sparkmend.plans.features import feature_table
     from sparkmend.plans.model import latest_health, train
-    result, _ = train(feature_table(_master(spark, sf_dir)), max_iter=10)
-    return latest_health(result.model, result.features)
+    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+    return _checked(latest_health(result.model, result.features))
 
 
-@register("retrain_weekly")
+@register("retrain_weekly", f"""{MASTER_WITH}
+SELECT machineID, datetime, {_CHECKED},
+       strftime((SELECT date_trunc('week', max(datetime)) FROM master), '%Y-%m-%d') AS as_of
+FROM master WHERE datetime >= (SELECT date_trunc('week', max(datetime)) FROM master)""")
 def q_retrain_weekly(spark, sf_dir):
-    """Retrain on the 21 days before the last week boundary, then score the week after it."""
+    """Retrain on the trailing window before the last week boundary, then score the week after it."""
     import datetime as dt
 
     from pyspark.sql import functions as F
@@ -579,12 +742,12 @@ def q_retrain_weekly(spark, sf_dir):
     from sparkmend.plans.features import feature_table
     from sparkmend.plans.model import retrain, score
     from sparkmend.session import scratch_path
-    master = _master(spark, sf_dir)
+    master = _staged_master(spark, sf_dir)
     last = master.agg(F.max("datetime").alias("m")).first().m
     as_of = dt.datetime.combine(last.date() - dt.timedelta(days=last.weekday()), dt.time())
-    res = retrain(master, as_of, train_days=21, model_root=scratch_path(spark, "models"), max_iter=10)
+    res = retrain(master, as_of, model_root=scratch_path(spark, "models"))
     feats = feature_table(master).where(F.col("datetime") >= ntz_literal(as_of))
-    return score(res.model, feats).withColumn("as_of", F.lit(as_of.strftime("%Y-%m-%d")))
+    return _checked(score(res.model, feats)).withColumn("as_of", F.lit(as_of.strftime("%Y-%m-%d")))
 
 
 # ---------------------------------------------------------------------------

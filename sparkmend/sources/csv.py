@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmend import contracts as C
-from sparkmend.functions.columns import parse_datetime, try_parse_datetime
+from sparkmend.functions.columns import parse_datetime, try_parse_datetime, try_parse_integer
 
 # Text read as a missing value (the pandas read_csv default set).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -24,17 +24,37 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headered CSV with every column as a string; missing-value tokens become NULL."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    return normalise_na(raw)
+# One dialect for reading and writing: quotes are doubled inside quotes, blanks belong to the value.
+DIALECT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+# Added by ``read_text_csv(mark_malformed=True)``: true where a row has more cells than the header.
+MALFORMED = "__malformed"
 
-def try_read_text_csv(spark: SparkSession, path: str) -> DataFrame | None:
+
+def read_text_csv(spark: SparkSession, path: str, multiline: bool = True, mark_malformed: bool = False) -> DataFrame:
+    """Headered CSV with every column as a string; missing-value tokens become NULL.
+
+    ``multiline`` (default): line breaks inside quotes belong to the value; a file is then read by one task, so
+    large tables should be many files. Set it to False for tables without such breaks: files are split.
+    ``mark_malformed`` adds the column ``MALFORMED``; a short row is no error (its missing cells are NULL).
+    """
+    reader = spark.read.options(**DIALECT, mode="PERMISSIVE", multiLine=str(multiline).lower())
+    raw = reader.csv(path)
+    if not mark_malformed or not raw.columns:
+        return normalise_na(raw)
+    corrupt = "__corrupt"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*raw.columns, corrupt)])
+    marked = reader.schema(schema).option("columnNameOfCorruptRecord", corrupt).csv(path)
+    # a short row leaves its last cell empty, a row with surplus cells does not
+    surplus = F.col(corrupt).isNotNull() & F.col(f"`{raw.columns[-1]}`").isNotNull()
+    named = marked.select(*[F.col(f"`{c}`") for c in raw.columns], surplus.alias(MALFORMED))
+    return normalise_na(named)
+
+
+def try_read_text_csv(spark: SparkSession, path: str, mark_malformed: bool = False) -> DataFrame | None:
     """``read_text_csv``, or None when the path does not exist."""
     try:
-        df = read_text_csv(spark, path)
+        df = read_text_csv(spark, path, mark_malformed=mark_malformed)
         df.schema  # noqa: B018  - resolves the path now
         return df
     except AnalysisException as e:
@@ -68,8 +88,7 @@ def cast_to_contract(df: DataFrame, contract: C.TableContract, strict_datetime:
         if isinstance(f.dataType, T.TimestampNTZType):
             c = parse_datetime(c, name=f.name) if strict_datetime else try_parse_datetime(c)
         elif isinstance(f.dataType, (T.LongType, T.IntegerType)):
-            d = c.try_cast("double")
-            c = F.when(d == F.floor(d), d.try_cast(f.dataType.simpleString()))
+            c = try_parse_integer(c, f.dataType.simpleString())
         elif not isinstance(f.dataType, T.StringType):
             c = c.try_cast(f.dataType.simpleString())
         out.append(c.alias(f.name))
@@ -83,7 +102,7 @@ def read_typed_csv(spark: SparkSession, path: str, contract: C.TableContract,
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headered CSV, no index column, timestamps with microseconds."""
-    (df.write.mode(mode).option("header", True)
+    (df.write.mode(mode).options(**DIALECT)
      .option("timestampNTZFormat", TIMESTAMP_FORMAT)
      .option("timestampFormat", TIMESTAMP_FORMAT)
      .csv(path))

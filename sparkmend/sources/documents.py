@@ -9,6 +9,7 @@ DataFrame per collection. Where a document-store connector is installed,
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,8 @@ def load_collections(spark: SparkSession, root: str, names: list[str] | None = N
 
 def append_documents(df: DataFrame, path: str) -> None:
     """Bulk load: append every row as a document. Re-running appends the rows again."""
-    df.write.mode("append").option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
+    (df.write.mode("append").option("timestampNTZFormat", TIMESTAMP_FORMAT)
+     .option("ignoreNullFields", False).json(path))
 
 
 @dataclass(frozen=True)
@@ -56,12 +58,14 @@ def read_collection_as_text(spark: SparkSession, path: str, order: list[str] | N
                             ) -> DataFrame:
     """Every field seen in any document, values as text; ``_id`` dropped.
 
-    Fields named in ``order`` come first, in that order; fields outside it follow,
-    sorted, so an undeclared field reaches the raw table (and fails its column
-    check) instead of being dropped. Nested values are kept as JSON text.
+    Fields stand in the order of the first document (or of ``order``, if given); fields that it
+    lacks follow, sorted. So the column check sees the order and the fields that are stored.
+    Nested values are kept as JSON text.
     """
     df = spark.read.option("primitivesAsString", True).json(path).drop("_id")
-    order = order or []
+    if order is None:
+        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        order = list(json.loads(head[0].value)) if head else []
     cols = [c for c in order if c in df.columns] + sorted(c for c in df.columns if c not in order)
     out = []
     for c in cols:
@@ -86,7 +90,7 @@ def ingest(spark: SparkSession, collections_root: str, raw_data_dir: str,
     for name in names:
         contract = C.RAW_CONTRACTS.get(name)
         if infer_fields or contract is None:
-            df = read_collection_as_text(spark, f"{root}/{name}", contract.columns if contract else None)
+            df = read_collection_as_text(spark, f"{root}/{name}")
         else:
             df = read_collection(spark, f"{root}/{name}", contract.text_schema())
         write_csv(df, f"{raw_data_dir.rstrip('/')}/{name}.csv")

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkmend.functions import columns as fc
-from sparkmend.functions.onehot import (EventSpec, combined_event_counts, discover_categories,
+from sparkmend.functions.columns import try_parse_datetime, try_parse_integer
+from sparkmend.functions.onehot import (EventSpec, category_counts, combined_event_counts, discover_categories,
                                         onehot_counts)
 
 
@@ -67,10 +68,26 @@ def test_discovered_categories_sorted_columns(spark):
     assert out.columns == ["machineID", "datetime", "f_comp1", "f_comp2", "f_comp3", "f_comp9"]
 
 
-def test_discover_is_bounded(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="more than 10"):
-        discover_categories(df, "c", max_categories=10)
+def test_many_categories(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") % 1500).cast("string").alias("c"))
+    assert len(discover_categories(df, "c")) == 1500
+    got = {(r.k, r.category): r["count"] for r in category_counts(df, "c", ["k"]).collect()}
+    wide = onehot_counts(df, "c", ["k"]).collect()
+    assert got == {(r.k, c[2:]): r[c] for r in wide for c in r.asDict() if c != "k" and r[c] > 0}
+
+
+def test_integers_are_exact(spark):
+    rows = ["9007199254740993", "3.0", "007", "1.5", "x", None, "-9223372036854775808", "99999999999999999999", "1e3"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    got = [r.v for r in df.select("i", try_parse_integer("t").alias("v")).orderBy("i").collect()]
+    assert got == [9007199254740993, 3, 7, None, None, None, -9223372036854775808, None, 1000]
+
+
+def test_datetimes_with_zones_do_not_parse(spark):
+    rows = ["2015-01-01 06:00:00+05:00", "2015-01-01T06:00:00Z", "2015-01-01 06:00:00", "1/2/2015", "Jan 2 2015 06:00", "2015/01/02"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    got = [str(r.v) for r in df.select("i", try_parse_datetime("t").alias("v")).orderBy("i").collect()]
+    assert got == ["None", "None", "2015-01-01 06:00:00", "2015-01-02 00:00:00", "2015-01-02 06:00:00", "2015-01-02 00:00:00"]
 
 
 def test_combined_counts_equal_separate(spark):

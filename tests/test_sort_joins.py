@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkmend.operators.joins import checked_broadcast, decide_broadcast, left_join
+from sparkmend.operators.joins import left_join
 from sparkmend.operators.sort import total_sort, with_position
 
 
@@ -20,12 +20,19 @@ def test_total_sort_orders_partitions(spark):
     assert flat == sorted(flat)
 
 
-def test_checked_broadcast_respects_bounds(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert decide_broadcast(small, max_rows=100).broadcast
-    assert not decide_broadcast(small, max_rows=5).broadcast
-    plan = checked_broadcast(small)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan.lower()
+def test_left_join_has_no_hint_and_no_job(spark):
+    wide = spark.createDataFrame([(1, "x" * 1_000_000), (2, "y" * 1_000_000)], "k long, d string")
+    fact = spark.range(10).withColumnRenamed("id", "k")
+    joined = left_join(fact, wide, ["k"])
+    assert "hint" not in joined._jdf.queryExecution().logical().toString().lower()
+    assert joined.where("d is not null").count() == 2
+
+
+def test_positions_need_one_shuffle(spark):
+    df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("k"))
+    out = with_position(df, ["k"], partitions=5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
+    assert [r.row_index for r in out.orderBy("k").collect()] == list(range(1, 3001))
 
 
 def test_left_join_keeps_fact_rows_and_fans_out(spark):
