@@ -3,49 +3,27 @@
 import json
 import os
 
+import yaml
+
 from fixtures import write_all
 from sparkmend import contracts as C
 from sparkmend.__main__ import main
 
-SCHEMA = """
-telemetry:
-  columns:
-    datetime: object
-    machineID: int64
-    volt: float64
-    rotate: float64
-    pressure: float64
-    vibration: float64
-machines:
-  columns:
-    machineID: int64
-    model: object
-    age: int64
-Master_Dataset:
-  columns:
-    datetime: datetime64[ns]
-    machineID: int64
-    failure: float64
-  target_column: failure
-"""
-
-
-SCHEMA_FULL = SCHEMA.replace("machines:", """errors:
-  columns:
-    datetime: object
-    machineID: int64
-    errorID: object
-failures:
-  columns:
-    datetime: object
-    machineID: int64
-    failure: object
-maintenance:
-  columns:
-    datetime: object
-    machineID: int64
-    comp: object
-machines:""")
+PANDAS_NAMES = {"timestamp_ntz": "object", "string": "object", "bigint": "int64", "double": "float64"}
+
+
+def _table(contract):
+    return {"columns": {f.name: PANDAS_NAMES[f.dataType.simpleString()] for f in contract.schema.fields}}
+
+
+def schema_text(names):
+    """A schema file for some tables and a small master, from the contracts."""
+    master = {"columns": {"datetime": "datetime64[ns]", "machineID": "int64", "failure": "float64"}, "target_column": "failure"}
+    return yaml.safe_dump({**{n: _table(C.RAW_CONTRACTS[n]) for n in names}, "Master_Dataset": master}, sort_keys=False)
+
+
+SCHEMA = schema_text(["telemetry", "machines"])
+SCHEMA_FULL = schema_text(C.RAW_TABLE_ORDER)
 
 
 def test_load_contracts(tmp_path):
@@ -71,22 +49,11 @@ def test_cli_failed_gate_exits_1(spark, write_csv, tmp_path, capsys):
     folder = write_all(write_csv, {"failures": TABLES["failures"] + "2015-01-01 07:00:00,1,comp1\n"})
     assert main(["validate", "--raw-dir", folder, "--out", str(tmp_path / "v")]) == 1
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert out["validation_status"] is False and "duplicate rows" in out["error"]
+    assert out["validation_status"] is False and "more than once" in out["error"]
 
 
-CONFIG = """
-artifacts_root: artifacts
-data_ingestion:
-  collections:
-    - telemetry
-    - errors
-    - failures
-    - machines
-    - maintenance
-  raw_data_dir: artifacts/data_ingestion/raw_data
-data_validation:
-  root_dir: artifacts/data_validation
-"""
+CONFIG = yaml.safe_dump({"data_ingestion": {"collections": C.RAW_TABLE_ORDER, "raw_data_dir": "in/csv"},
+                         "data_validation": {"root_dir": "out/checked"}})
 
 
 def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
@@ -101,8 +68,8 @@ def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
     work = tmp_path / "work"
     assert main(["run", "--collections", str(root), "--work", str(work),
                  "--config", str(tmp_path / "config.yaml"), "--schema", str(tmp_path / "schema.yaml")]) == 0
-    assert os.path.isdir(work / "artifacts/data_ingestion/raw_data/telemetry.csv")
-    assert os.path.isdir(work / "artifacts/data_validation/master")
+    assert os.path.isdir(work / "in/csv/telemetry.csv")
+    assert os.path.isdir(work / "out/checked/master")
 
 
 def test_cli_train_score_retrain(spark, tmp_path, capsys):
