@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmend.llm.common import small_batches
 from sparkmend.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
@@ -147,6 +148,7 @@ def _line_matrices(model: Model, seen: np.ndarray, opens: bool) -> list[np.ndarr
 
 def decode(rows: DataFrame, model: Model) -> DataFrame:
     """``conv, turn, same, line, content, state`` of every line, on the likeliest path of its transcript."""
+    small_batches(rows.sparkSession)
     at = ["conv", "grp", "chunk"]
     chunk = F.floor(F.col("turn") / CHUNK_TURNS).cast("long")
     first = rows.groupBy("conv").agg(F.min(chunk).alias("first"))

@@ -23,3 +23,31 @@ def word_array(text: Column) -> Column:
 def fold(key: Column, folds: int) -> Column:
     """``crc32(key as text) mod folds``; a NULL key falls into fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8_000_000
+
+
+def _as_bytes(value: str) -> int:
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(value[-1:].lower())
+    return int(value[:-1]) * unit if unit else int(value)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send rows to Python in batches of at most ``BATCH_BYTES`` in this session.
+
+    Whole texts and packed blocks are large rows: with the default a batch takes several times 64 MB in each of
+    a task's JVM and Python process. A smaller value that is set already stays.
+    """
+    if _as_bytes(str(spark.conf.get(BATCH_CONF, "67108864b"))) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """Rows of a small result in a sixteenth of the shuffle partitions, so that it is written as few files.
+
+    The work before it keeps its partitions; only the result moves once more.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, parts // 16))

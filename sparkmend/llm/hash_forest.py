@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmend.llm.common import small_batches
 from sparkmend.session import cut_lineage
 
 TREES, BITS = 32, 32
@@ -136,6 +137,7 @@ def _blocks(rows: DataFrame, many: Column, name: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20,
             shard_rows: int = SHARD_ROWS, target: float = TARGET, visits: float | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row that ``queries`` selects, among all rows."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"),
                           F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = cut_lineage(rows.withColumn("length", F.size("v")), "vectors")

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmend.llm.common import small_batches
 from sparkmend.llm.text_arrays import HashIndex, batches
 
 ORDER = 4
@@ -173,6 +174,7 @@ def gram_counts(texts: DataFrame, text: str, language: str) -> DataFrame:
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", language: str = "lang",
           allowed: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, max_nodes: int = MAX_NODES) -> Model:
     """Context trees of every language among the ``allowed`` rows with a text and a language."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(language).isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
@@ -196,6 +198,7 @@ def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", language:
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkmend.llm.common import small_batches
 from sparkmend.llm.text_arrays import Batch, batches, mixed
 
 SAMPLE_ROWS = 4096
@@ -148,6 +149,7 @@ def _as_bytes(column: pd.Series) -> list[bytes]:
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality",
           allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS, rank: int = RANK) -> Model:
     """Fit on the ``sample_rows`` labelled rows of smallest id hash (``allowed``: which labels may be learned)."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
@@ -179,6 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7,
           neighbours: int = NEIGHBOURS) -> DataFrame:
     """Add ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ``threshold`` on)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -217,16 +217,24 @@ def mix_documents(docs: DataFrame, text: str = "text", *, block_words: int = BLO
     sources = cut_lineage(source_targets(sized), "mix-sources")
     placed = cut_lineage(place(sized, sources, keys), "mix-places")
     slots = draw_slots(sources, block_words=block_words, slots_per_shard=slots_per_shard, seed=seed)
+    copies = placed.groupBy(*keys).agg(F.count("*").alias("__copies"))
     spans = (pieces(placed, block_words).join(slots.hint("merge"), ["source_no", "block"])
              .groupBy(*keys, "source_no", "start", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"),
                   F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"), F.first("size").alias("__size"))
-             .select(*keys, "__spans", "__taken", "__size"))
-    texts = tagged.dropDuplicates(keys)
+             .join(copies, keys).select(*keys, "start", "epoch", "__spans", "__taken", "__size", "__copies"))
+    spans = cut_lineage(spans, "mix-spans")
+
+    def with_text(s: DataFrame) -> DataFrame:
+        return tagged.join(s.hint("shuffle_hash"), keys)
+
+    # rows that occur once have their spans to themselves; equal rows share theirs, each one is used once
+    joined = with_text(spans.where("__copies = 1")).unionByName(
+        with_text(spans.where("__copies > 1")).dropDuplicates([*keys, "start", "epoch"]))
     words = F.transform(F.array(word_pieces(F.col(text))), lambda ws: F.concat_ws("", F.transform(
         F.col("__spans"), lambda s: F.concat_ws("", F.slice(
             ws, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int"))))))
-    out = texts.join(spans.hint("shuffle_hash"), keys).withColumn(
+    out = joined.withColumn(
         text, F.when(F.col("__taken") == F.col("__size"), F.col(text)).otherwise(F.element_at(words, 1)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

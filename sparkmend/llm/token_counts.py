@@ -36,7 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 4_000_000
+from sparkmend.llm.common import small_batches
+
+BATCH_CHARS = 2_000_000
 CHUNK = 256
 MAX_STATES = 250_000
 
@@ -399,6 +401,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", *, li
 
     The tokenizer file (a fixed size, known before the run) is read on the driver and broadcast.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
