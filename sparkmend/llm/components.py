@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmend.llm.common import compact
 from sparkmend.session import cut_lineage
 
 
@@ -53,18 +54,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+PART_EDGES = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` (the smallest node of the component) for every node of ``edges`` (``a``, ``b``: binary) but the roots."""
-    def local(e: DataFrame) -> DataFrame:
-        return e.where("a <> b").mapInPandas(_contracted, "a binary, b binary")
+    """``node, root`` (the smallest node of the component) for every node of ``edges`` (``a``, ``b``: binary) but the roots.
+
+    Edges are dealt to as many partitions as hold ``PART_EDGES`` each; with one partition the contraction is all.
+    """
+    def local(e: DataFrame, parts: int) -> DataFrame:
+        return e.where("a <> b").coalesce(parts).mapInPandas(_contracted, "a binary, b binary")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
-    now = cut_lineage(local(edges), "edges")
+    now = cut_lineage(compact(edges), "edges")
     before = mark(now)
     while before[0]:
-        now = cut_lineage(_small_star(_large_star(local(now))), "edges")
+        parts = -(-before[0] // PART_EDGES)
+        if parts == 1:
+            now = cut_lineage(local(now, 1), "edges")
+            break
+        now = cut_lineage(compact(_small_star(_large_star(local(now, parts)))), "edges")
         after = mark(now)
         if after == before:
             break

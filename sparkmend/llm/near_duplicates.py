@@ -7,10 +7,10 @@
    values are a region; a class's candidates are its ``NEAR`` next neighbours in the order, those with the
    longest common prefix: the depth adapts to how dense the region is, and the work stays linear.
 3. Candidates are compared by signature (cut off well below the threshold), then confirmed on the full sets: first
-   the best candidate of each class, then, in rounds, the best and at last all of those that would join two components.
+   the best candidate of each class, then all of those that would join two components.
 4. Regions larger than the neighbourhood whose classes are still in several components are finished exactly: the classes
-   outside the region's largest component are compared with all of the region by signature, in blocks of packed
-   signatures, and what passes is confirmed on full sets. So no cap on neighbours loses a link.
+   outside the region's largest component are compared with all of the region, in blocks of packed, longer
+   signatures, and what passes is confirmed on full sets in the same way. So no cap on neighbours loses a link.
 
 With ``depth`` d and ``trees`` t, two texts of similarity s share no region with probability (1 - s^d)^t: 3e-6 at 0.8 for
 the defaults. For far larger tables a deeper and wider forest (8 and 64: 8e-6) keeps chance regions small.
@@ -30,8 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sparkmend.llm.common import compact, small_batches
 from sparkmend.llm.components import components
 from sparkmend.llm.text_arrays import Batch, batches, mixed
 from sparkmend.session import cut_lineage
@@ -39,7 +39,8 @@ from sparkmend.session import cut_lineage
 DEPTH, TREES = 5, 32
 NEAR = 2
 MARGIN = 0.14  # 4.4 standard deviations of a 160-value estimate at 0.8
-BLOCK = 256
+LONG_VALUES, LONG_MARGIN = 1536, 0.045  # the same for regions that are finished pair by pair
+BLOCK = 64
 BATCH_BYTES = 1_000_000
 
 
@@ -107,6 +108,11 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, depth: int, t
         run, f"`__k` long, `{key}` {kind}, n_shingles long, node binary, sig binary")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A result that later steps read more than once, in few files."""
+    return cut_lineage(compact(df), name)
+
+
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     """A binary column of equal widths as a byte matrix."""
     n = len(column)
@@ -177,7 +183,7 @@ def forest(classes: DataFrame, depth: int, trees: int, near: int = NEAR) -> tupl
     spark = classes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = cut_lineage(order.mapInArrow(_neighbours(width, near), FOREST_OUT), "forest")
+    found = _kept(order.mapInArrow(_neighbours(width, near), FOREST_OUT), "forest")
     pairs = found.where("kind = 0").select("a", "b", "common")
     # regions that cross the border of two ranges: a few rows a range
     borders = found.where("kind = 1").select("tree", "band", F.col("a").alias("node")).distinct()
@@ -193,22 +199,21 @@ def forest(classes: DataFrame, depth: int, trees: int, near: int = NEAR) -> tupl
     return pairs, large
 
 
-@F.pandas_udf(T.DoubleType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal signature values."""
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(c), "uint16").reshape(len(c), -1) for c in (a, b))
-    return pd.Series((x == y).mean(axis=1))
-
-
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float, margin: float = MARGIN) -> DataFrame:
     """Pairs that may reach the threshold by size and by signature: ``a, b, est``."""
+    def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                x, y = (np.frombuffer(b"".join(c), "uint16").reshape(len(c), -1) for c in (p.sig_a, p.sig_b))
+                est = (x == y).mean(axis=1)
+                near = est >= threshold - margin
+                yield p.loc[near, ["a", "b"]].assign(est=est[near])
+
     side = classes.select("node", "sig", "n_shingles")
     both = (pairs.select("a", "b")
             .join(side.toDF("a", "sig_a", "n_a"), "a").join(side.toDF("b", "sig_b", "n_b"), "b")
             .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
-    return both.select("a", "b", _alike("sig_a", "sig_b").alias("est")).where(F.col("est") >= threshold - margin)
+    return both.select("a", "b", "sig_a", "sig_b").mapInPandas(alike, "a binary, b binary, est double")
 
 
 def _shared(percent: int):
@@ -244,69 +249,110 @@ def _best(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("a").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def _packed_blocks(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sketched(sets: DataFrame, values: int) -> DataFrame:
+    """A longer signature (8 bits a value) of each set."""
+    a, b = _permutations(values)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"node": p["node"], "long_sig": [
+                (signature(np.frombuffer(x, "uint64"), a, b) & 255).astype("uint8").tobytes() for x in p["items"]]})
+    return sets.mapInPandas(run, "node binary, long_sig binary")
+
+
+def _packed_blocks(members: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks of the classes outside each region's largest component, blocks of all its classes)."""
     at = ["tree", "band"]
     sizes = members.groupBy(*at, "comp").agg(F.count("*").alias("n"))
     top = sizes.groupBy(*at).agg(F.sum("n").alias("all"), F.count("*").alias("comps"),
                                  F.max(F.struct("n", "comp")).alias("m")).where("comps > 1")
-    rows = (members.join(top.select(*at, "all", F.col("m.comp").alias("main")), at)
-            .join(classes.select("node", "sig"), "node"))
+    rows = members.join(top.select(*at, "all", F.col("m.comp").alias("main")), at).join(side, "node")
+
     def packed(r: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK).cast("long"))
-        return r.groupBy(*at, salt.alias("salt")).agg(F.collect_list(F.struct("node", "comp", "sig")).alias("rows"))
+        return r.groupBy(*at, salt.alias("salt")).agg(F.collect_list(
+            F.struct("node", "comp", "n_shingles", "sig", "long_sig")).alias("rows"))
     return packed(rows.where("comp <> main")), packed(rows)
 
 
-def _block_pairs(cut: float):
-    """Pairs of two blocks in different components that may reach the threshold."""
-    def matrix(rows):
-        return np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), "uint16").reshape(len(rows), -1)
+def _block_pairs(threshold: float, margin: float, depth: int, best: bool):
+    """Pairs of two blocks in different components that may reach the threshold, each in the first tree that holds both.
+
+    ``best``: of these, for each class on the left, only the most alike one in each other component.
+    """
+    def matrix(column, kind):
+        return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for left, right in zip(p.left, p.right):
-                x, y = matrix(left), matrix(right)
-                a, b = [], []
-                for row, sig in zip(left, x):
-                    for j in np.flatnonzero((y == sig).mean(axis=1) >= cut):
-                        if right[j]["comp"] != row["comp"]:
-                            a.append(bytes(row["node"]))
-                            b.append(bytes(right[j]["node"]))
-                yield pd.DataFrame({"a": pd.Series(a, dtype="object"), "b": pd.Series(b, dtype="object")})
+            for r in p.itertuples(index=False):
+                tree = r.tree
+                x, y = (matrix(c, "uint16").reshape(len(c), -1, depth) for c in (r.sig, r.sig2))
+                lx, ly = matrix(r.long_sig, "uint8"), matrix(r.long_sig2, "uint8")
+                size, names = np.asarray(r.n_shingles2), [bytes(v) for v in r.node2]
+                number = {c: k for k, c in enumerate({bytes(v) for v in (*r.comp, *r.comp2)})}
+                own, comps = ([number[bytes(v)] for v in c] for c in (r.comp, r.comp2))
+                comps = np.array(comps)
+                a, b, est = [], [], []
+                for i, (node, n) in enumerate(zip(r.node, r.n_shingles)):
+                    j = np.flatnonzero((np.minimum(size, n) >= threshold * np.maximum(size, n)) & (comps != own[i]))
+                    if tree:
+                        j = j[~(y[j, :tree] == x[i, :tree]).all(axis=2).any(axis=1)]
+                    alike = (ly[j] == lx[i]).mean(axis=1)
+                    j, alike = j[alike >= threshold - margin], alike[alike >= threshold - margin]
+                    if best and len(j):
+                        up = np.argsort(alike, kind="stable")
+                        top = list({comps[j[k]]: k for k in up}.values())
+                        j, alike = j[top], alike[top]
+                    a += [bytes(node)] * len(j)
+                    b += [names[k] for k in j]
+                    est += list(alike)
+                yield pd.DataFrame({"a": pd.Series(a, dtype="object"), "b": pd.Series(b, dtype="object"),
+                                    "est": pd.Series(est, dtype="float64")})
     return run
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = 5, percent: int = 80,
                     depth: int = DEPTH, trees: int = TREES, near: int = NEAR) -> DataFrame:
     """``__k``, key, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` for every row."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     keyed = docs.select(F.xxhash64(key, text).alias("__k"), key, text)
     sigs = cut_lineage(signatures(keyed, key, text, shingle, depth, trees), "signatures")
-    classes = cut_lineage(sigs.where("node is not null").groupBy("node").agg(
+    classes = _kept(sigs.where("node is not null").groupBy("node").agg(
         F.min(key).alias("least"), F.min("__k").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig")), "classes")
     pairs, large = forest(classes, depth, trees, near)
-    pairs = cut_lineage(estimated(pairs, classes, threshold), "pairs")
-    large = cut_lineage(large, "regions")
+    pairs = _kept(estimated(pairs, classes, threshold), "pairs")
+    large = _kept(large, "regions")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     sets = _sets_of(keyed, classes.join(nodes, "node").select("node", F.col("rep").alias("__k")), text, shingle)
 
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    roots = links.toDF("node", "root")
-    for last in (False, False, True):
-        open_pairs = _across(pairs, roots)
-        new = cut_lineage(confirmed(open_pairs if last else _best(open_pairs), sets, percent), "links")
+    links, roots = _linked(pairs, links, links.toDF("node", "root"), sets, percent)
+    side = _kept(classes.select("node", "n_shingles", "sig").join(
+        _sketched(sets.join(large.select("node").distinct(), "node", "left_semi"), LONG_VALUES), "node"), "sketches")
+    for best in (True, False):
+        members = large.join(roots.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        outside, everyone = _packed_blocks(_kept(members, "members"), side)
+        fields = ("node", "comp", "n_shingles", "sig", "long_sig")
+        rest = (outside.select("tree", "band", *[F.col(f"rows.{f}").alias(f) for f in fields])
+                .join(everyone.select("tree", "band", *[F.col(f"rows.{f}").alias(f + "2") for f in fields]), ["tree", "band"])
+                .drop("band")
+                .mapInPandas(_block_pairs(threshold, LONG_MARGIN, depth, best), "a binary, b binary, est double"))
+        rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est"))
+        links, roots = _linked(_kept(rest, "rest"), links, roots, sets, percent, rounds=1 if best else 2)
+    return _labelled(sigs, classes, roots, key)
+
+
+def _linked(pairs: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
+            rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Confirm pairs (``a, b, est``): the best of each node, then all that are still in two components. Links and components."""
+    for pick in (_best, lambda p: p)[:rounds]:
+        new = _kept(confirmed(pick(_across(pairs, roots)), sets, percent), "links")
         links = links.union(new)
         roots = components(links)
-    members = (large.join(roots.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    outside, everyone = _packed_blocks(cut_lineage(members, "members"), classes)
-    rest = (outside.withColumnRenamed("rows", "left").drop("salt")
-            .join(everyone.withColumnRenamed("rows", "right").drop("salt"), ["tree", "band"])
-            .select("left", "right").mapInPandas(_block_pairs(threshold - MARGIN), "a binary, b binary"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(cut_lineage(confirmed(rest, sets, percent), "links"))
-    return _labelled(sigs, classes, components(links), key)
+    return links, roots
 
 
 def _sets_of(keyed: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -319,7 +365,7 @@ def _sets_of(keyed: DataFrame, wanted: DataFrame, text: str, shingle: int) -> Da
                                     "items": [s.tobytes() for s in shingle_sets(raw[lo:hi], shingle)]})
 
     rows = keyed.join(wanted.hint("shuffle_hash"), "__k").select("node", text)
-    return cut_lineage(rows.mapInPandas(run, "node binary, items binary").groupBy("node").agg(
+    return _kept(rows.mapInPandas(run, "node binary, items binary").groupBy("node").agg(
         F.first("items").alias("items")), "sets")
 
 
