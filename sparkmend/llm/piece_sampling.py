@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkmend.llm.common import small_batches
 from sparkmend.llm.text_arrays import HashIndex, batches, mixed
 
 META = "▁"
 ALPHA = 2.0
 SEED = 11
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 _UNIT = re.compile(r" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,20 +122,23 @@ class Lattice:
         source = first + unit[first]
         target = source + length
         place = target - (start + np.arange(len(units)))[unit[first]]
-        order = np.lexsort((target, place))
+        order = np.argsort(target, kind="stable")  # the same order of edges in every batch
         source, target, weight, piece, place = (x[order] for x in (source, target, weight, piece, place))
+        self.source, self.piece = source, piece
+        # the forward pass takes the edges by place (small numbers sort by radix), targets in order
+        small = place.astype("uint16") if len(place) and place.max() < 65536 else place
+        by_place = np.argsort(small, kind="stable")
+        source_at, target_at, weight_at = source[by_place], target[by_place], weight[by_place]
         self.forward = np.zeros(len(cps) + len(units))
-        cut = np.searchsorted(place, np.arange(1, int(place.max(initial=0)) + 2))
+        cut = np.searchsorted(small[by_place], np.arange(1, int(place.max(initial=0)) + 2))
         for lo, hi in zip(cut[:-1], cut[1:]):
-            to = target[lo:hi]
-            ways = self.forward[source[lo:hi]] + weight[lo:hi]
+            to = target_at[lo:hi]
+            ways = self.forward[source_at[lo:hi]] + weight_at[lo:hi]
             edge = np.flatnonzero(np.diff(to, prepend=-1))
             most = np.maximum.reduceat(ways, edge)
             add = np.add.reduceat(np.exp(ways - np.repeat(most, np.diff(np.append(edge, hi - lo)))), edge)
             self.forward[to[edge]] = most + np.log(add)
         share = np.exp(self.forward[source] + weight - self.forward[target])
-        order = np.argsort(target, kind="stable")
-        self.source, self.piece, target, share = source[order], piece[order], target[order], share[order]
         run = np.cumsum(share)
         edge = np.flatnonzero(np.diff(target, prepend=-1))
         many = np.diff(np.append(edge, len(target)))
@@ -221,6 +225,7 @@ def encode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str =
 
     The model file (a fixed size, known before the run) is read on the driver and broadcast.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     added = ("piece_ids", "n_pieces", "lossless")
