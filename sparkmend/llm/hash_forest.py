@@ -6,15 +6,17 @@ sorted array of these strings. A query descends in all trees to its longest matc
 array; while the ranges hold too few rows, all trees ascend by one bit at the same time. All rows of the ranges are then
 scored exactly on the original vectors.
 
-The index is split into shards of about ``shard_rows`` rows by id hash, each with its own forest, so a vector that
-occurs very often, or a dense region, is spread over all shards. Queries go to the shards in blocks, and only the ``k`` best of
+Equal rows (same id and vector) are counted before they move: a query row is answered once and its answer repeated for each
+copy, and of a candidate no more than ``k`` copies can be among the ``k`` best, so only so many are kept. The index is split into
+shards of about ``shard_rows`` rows by a hash of id and vector, each with its own forest, so a vector that occurs under many ids, an id
+with many vectors, or a dense region is spread over all shards. Queries go to the shards in blocks, and only the ``k`` best of
 a shard come back. How far to ascend (``visits``, ranges together over rows) is fitted on a bounded sample against brute
 force, for a recall of ``target``; neighbours in the whole table are nearer than in a sample, so they are found more easily.
 Vectors without any structure (independent in all directions) make it visit most rows; clustered ones few.
 
 Cases: NULL, empty and zero vectors and those with NULL or non-finite components take no part, neither do rows without id; vectors of
 different lengths are not compared; ties go to the smaller id; rows with the query's id are its own and no candidates; repeated
-rows of another id count each; an empty table, and one without queries, gives an empty result; other columns play no part.
+rows of another id count each; repeated rows of a query id are each answered in full, as rows of their own; an empty table, and one without queries, gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ TREES, BITS = 32, 32
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 128
+COPIES = 1000  # copies of an answer written by one task row
 TARGET = 0.95
 GRID = (0.03, 0.06, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, float(TREES))
 
@@ -127,11 +130,11 @@ def usable(vector: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, many: Column, name: str) -> DataFrame:
-    """Rows packed by length and hash: ``length``, ``name`` (block number), ids and flattened vectors."""
-    block = F.pmod(F.xxhash64("id", F.lit(name)), many).cast("int")
+    """Rows packed by length and row hash: ``length``, ``name`` (block number), ids, row keys and flattened vectors."""
+    block = F.pmod(F.xxhash64("row_key", F.lit(name)), many).cast("int")
     return (rows.groupBy("length", block.alias(name))
-            .agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r"))
-            .select("length", name, F.col("r.id").alias("ids"), F.flatten("r.v").alias("values")))
+            .agg(F.sort_array(F.collect_list(F.struct("id", "v", "row_key"))).alias("r"))
+            .select("length", name, F.col("r.id").alias("ids"), F.col("r.row_key").alias("keys"), F.flatten("r.v").alias("values")))
 
 
 def nearest(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20,
@@ -140,16 +143,18 @@ def nearest(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"),
                           F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = cut_lineage(rows.withColumn("length", F.size("v")), "vectors")
+    # equal rows as one, with the number of them and of those that ask
+    rows = rows.groupBy("id", "v").agg(F.count("*").alias("copies"), F.count_if("asked").alias("times"))
+    rows = cut_lineage(rows.withColumns({"length": F.size("v"), "row_key": F.xxhash64("id", "v")}), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     # one row a vector length
     facts = {r.length: r for r in rows.groupBy("length").agg(
-        F.count("*").alias("n"), F.count_if("asked").alias("n_asked"), F.max(norm).alias("largest")).collect()}
+        F.sum(F.least("copies", F.lit(k))).alias("n"), F.count_if(F.col("times") > 0).alias("n_asked"), F.max(norm).alias("largest")).collect()}
     planes, fitted = {}, {}
     for length, r in facts.items():
         planes[length] = Planes.drawn(length, float(r.largest))
-        # a bounded sample, by id hash
-        sample = rows.where(F.col("length") == length).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()
+        # a bounded sample, by row hash
+        sample = rows.where(F.col("length") == length).orderBy("row_key", "id").limit(SAMPLE_ROWS).select("v").toPandas()
         fitted[length] = visits if visits is not None else fitted_visits(
             np.array(sample.v.tolist(), "float64").reshape(-1, length), planes[length], k, target)
     spark = vectors.sparkSession
@@ -158,23 +163,32 @@ def nearest(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
         [(n, -(-r.n // shard_rows), max(1, -(-r.n_asked // QUERY_ROWS))) for n, r in facts.items()],
         "length int, shards int, parts int")
     rows = rows.join(F.broadcast(sizes), "length")
-    index = _blocks(rows, F.col("shards"), "shard")
-    asked = _blocks(rows.where("asked"), F.col("parts"), "part").join(F.broadcast(sizes), "length")
+    kept = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    index = _blocks(kept, F.col("shards"), "shard").drop("keys")
+    asked = _blocks(rows.where("times > 0"), F.col("parts"), "part").join(F.broadcast(sizes), "length")
     asked = asked.select("length", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
-                         F.col("ids").alias("query_ids"), F.col("values").alias("query_values"))
+                         F.col("ids").alias("query_ids"), F.col("keys").alias("query_keys"), F.col("values").alias("query_values"))
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes, fitted = shared.value
         for p in parts:
             for r in p.itertuples(index=False):
-                ids, q_ids = np.asarray(r.ids), np.asarray(r.query_ids)
+                ids, q_ids, keys = np.asarray(r.ids), np.asarray(r.query_ids), np.asarray(r.query_keys)
                 forest = Forest(ids, np.asarray(r.values, "float64").reshape(-1, r.length), planes[r.length])
                 q = np.asarray(r.query_values, "float64").reshape(-1, r.length)
                 who, row, score = forest.search(q_ids, q, k, fitted[r.length])
-                yield pd.DataFrame({"query_id": q_ids[who.astype("int64")], "vec_id": ids[row.astype("int64")], "score": score})
+                who = who.astype("int64")
+                yield pd.DataFrame({"query_id": q_ids[who], "row_key": keys[who], "vec_id": ids[row.astype("int64")], "score": score})
 
     found = asked.join(index.hint("merge"), ["length", "shard"]).select(
-        "length", "ids", "values", "query_ids", "query_values").mapInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+        "length", "ids", "values", "query_ids", "query_keys", "query_values").mapInPandas(
+            search, "query_id long, row_key long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "row_key").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # the answer once more for each further copy of a query row, many copies in parts
+    more = rows.where("times > 1").select(F.col("id").alias("query_id"), "row_key", F.explode(
+        F.sequence(F.lit(1), F.col("times") - 1, F.lit(COPIES))).alias("first"), "times")
+    more = found.join(more, ["query_id", "row_key"]).repartition("query_id", "row_key", "rank", "first").withColumn(
+        "copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, F.col("times")) - 1)))
+    columns = ["query_id", "rank", "vec_id", "score"]
+    return found.select(columns).union(more.select(columns))

@@ -76,3 +76,23 @@ def test_odd_vectors(spark):
     assert {i for i, _ in got[20]} == {0, 7, 9}
     assert H.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert H.nearest(df.where("vec_id = 7"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_query_rows_and_hot_id(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((60, 5))
+    ids = np.arange(1, 61)
+    hot = 1500 * [(1000, [1.0, 0.0, 0.0, 0.0, 0.0])]  # equal rows, and other vectors of the same id
+    other = [(1000, [float(a) for a in v]) for v in rng.standard_normal((300, 5))]
+    rows = [(int(i), [float(a) for a in v]) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows + hot + other, "vec_id long, embedding array<double>").repartition(4)
+    got = H.nearest(df, F.col("vec_id") == 1000, visits=float(H.TREES)).toPandas()
+    assert len(got) == (1500 + 300) * 20 and (got.vec_id != 1000).all()
+    q = np.array([v for _, v in [hot[0], *other]])
+    times = np.array([1500] + 300 * [1])
+    want = [(int(ids[j]), r + 1) for s, n in zip(q @ x.T, times) for _ in range(n) for r, j in enumerate(np.argsort(-s)[:20])]
+    assert sorted(zip(got.vec_id, got["rank"])) == sorted(want)
+    # as a candidate every copy counts
+    near = H.nearest(df, F.col("vec_id") == 1, visits=float(H.TREES)).toPandas()
+    s = np.sort(np.concatenate([x[1:] @ x[0], np.repeat(q @ x[0], times)]))[::-1][:20]
+    assert np.allclose(near.sort_values("rank").score, s)
