@@ -3,8 +3,9 @@
 A tree gives every vector a long hash string: the signs of its products with random hyperplanes, after the step that turns
 inner products into cosines (a last component fills all vectors up to the largest norm; queries get 0 there). A tree is the
 sorted array of these strings. A query descends in all trees to its longest matching prefix, a range of the sorted
-array; while the ranges hold too few rows, all trees ascend by one bit at the same time. All rows of the ranges are then
-scored exactly on the original vectors.
+array; while the ranges hold too few rows, or fewer than ``k`` different candidates, all trees ascend by one bit at the same
+time, up to the whole shard. All rows of the ranges are then scored exactly on the original vectors, so a query gets ``k`` rows
+wherever there are as many candidates.
 
 Equal rows (same id and vector) are counted before they move: a query row is answered once and its answer repeated for each
 copy, and of a candidate no more than ``k`` copies can be among the ``k`` best, so only so many are kept. The index is split into
@@ -69,34 +70,49 @@ class Forest:
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
 
-    def ranges(self, q: np.ndarray, visits: float) -> tuple[np.ndarray, np.ndarray]:
-        """Range of each query in each tree: the deepest common depth whose ranges hold ``visits`` x rows together."""
-        strings = self.planes.strings(q, query=True)
+    def spans(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each query in each tree at one depth."""
+        rest = np.uint64(BITS - depth)
+        low = (strings >> rest) << rest
+        return tuple(np.stack([np.searchsorted(s, v, "left") for s, v in zip(self.sorted, edge)])
+                     for edge in (low, low + (np.uint64(1) << rest)))
+
+    def ranges(self, strings: np.ndarray, visits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Range of each query in each tree, and its depth: the deepest common one whose ranges hold ``visits`` x rows together."""
         trees, n = strings.shape
         lo, hi = np.zeros((trees, n), "int64"), np.full((trees, n), len(self.ids))
+        deepest = np.zeros(n, "int64")
         todo = np.arange(n)
         for depth in range(1, BITS + 1):
-            rest = np.uint64(BITS - depth)
-            low = (strings[:, todo] >> rest) << rest
-            a = np.stack([np.searchsorted(s, v, "left") for s, v in zip(self.sorted, low)])
-            b = np.stack([np.searchsorted(s, v, "left") for s, v in zip(self.sorted, low + (np.uint64(1) << rest))])
+            a, b = self.spans(strings[:, todo], depth)
             stay = (b - a).sum(axis=0) >= visits * len(self.ids)
             lo[:, todo[stay]], hi[:, todo[stay]] = a[:, stay], b[:, stay]
             todo = todo[stay]
+            deepest[todo] = depth
             if not len(todo):
                 break
-        return lo, hi
+        return lo, hi, deepest
+
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, query_id: int) -> np.ndarray:
+        """Rows of the ranges of one query, each once, without those of its own id."""
+        mark = np.zeros(len(self.ids), bool)
+        for order, a, b in zip(self.order, lo, hi):
+            mark[order[a:b]] = True
+        return np.flatnonzero(mark & (self.ids != query_id))
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, visits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, row number, score) of the ``k`` best found of each query; ties to the smaller id."""
-        lo, hi = self.ranges(q, visits)
+        strings = self.planes.strings(q, query=True)
+        lo, hi, deepest = self.ranges(strings, visits)
         close = q @ self.x.T
         who, row, score = [], [], []
         for j in range(len(q)):
-            mark = np.zeros(len(self.ids), bool)
-            for order, a, b in zip(self.order, lo[:, j], hi[:, j]):
-                mark[order[a:b]] = True
-            found = np.flatnonzero(mark & (self.ids != query_ids[j]))
+            found = self.candidates(lo[:, j], hi[:, j], query_ids[j])
+            depth = deepest[j]
+            while len(found) < k and depth > 0:  # too few different ones: go on, up to the whole shard
+                depth -= 1
+                a, b = self.spans(strings[:, [j]], int(depth))
+                found = self.candidates(a[:, 0], b[:, 0], query_ids[j])
             if len(found) > k:
                 s = close[j, found]
                 edge = np.partition(s, len(s) - k)[len(s) - k]

@@ -96,3 +96,13 @@ def test_repeated_query_rows_and_hot_id(spark):
     near = H.nearest(df, F.col("vec_id") == 1, visits=float(H.TREES)).toPandas()
     s = np.sort(np.concatenate([x[1:] @ x[0], np.repeat(q @ x[0], times)]))[::-1][:20]
     assert np.allclose(near.sort_values("rank").score, s)
+
+
+def test_as_many_rows_as_there_are_candidates(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 8))
+    ids = np.arange(400)
+    got = collected(H.nearest(frame(spark, ids, x), F.col("vec_id") % 20 == 0, shard_rows=90, visits=0.01))
+    assert len(got) == 20 and all(len(found) == 20 for found in got.values())
+    few = collected(H.nearest(frame(spark, ids[:10], x[:10]), F.col("vec_id") < 10, visits=0.01))
+    assert all(len(few[i]) == 9 for i in range(10))
