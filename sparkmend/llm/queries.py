@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, near_duplicates, piece_sampling, quality_neighbours, quality_rules, source_mix, token_counts
+from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, near_duplicates, negative_mining, piece_sampling, quality_neighbours, quality_rules, source_mix, spelling_variants, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,4 +162,40 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its number of near words, its form and root."""
+    return spelling_variants.group_variants(spelling_variants.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+_OP13_SQL = """
+WITH ready AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.id AS anchor_id, b.id, a.lab = b.lab AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM ready a JOIN ready b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@register("op13_negative_mining", _OP13_SQL)
+def op13_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every hundredth vector; some labels are shifted first."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negative_mining.mine(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
