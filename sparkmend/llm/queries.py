@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, near_duplicates, negative_mining, piece_sampling, quality_neighbours, quality_rules, source_mix, spelling_variants, token_counts
+from sparkmend.llm import chat_transcripts, context_mixing, hash_forest, language_ppm, lexicon_bpe, near_duplicates, negative_mining, piece_sampling, quality_neighbours, quality_rules, source_mix, spelling_variants, token_counts
 from sparkmend.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@register("op11_lexicon_bpe")
+def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them; the lexicon holds the frequent words of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexicon_bpe.digests(docs, lexicon_bpe.learn(docs, _tokenizer("word_bpe_49k.json")))
+
+
 @register("op12_spelling_variants")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word of all documents with its number of near words, its form and root."""
