@@ -168,13 +168,14 @@ def advance_state(prev: DataFrame | None, summary: DataFrame, last_cols: list[st
                       .alias(f"_ps_{c}") for c in sum_cols])
 
 
-def _bucketed(base: DataFrame, bucket_hours: int, back_hours: int, ahead_hours: int) -> DataFrame:
-    """Rows tagged with their bucket, plus halo copies for the neighbouring buckets."""
+def _bucketed(base: DataFrame, bucket_hours: int, back_hours: int, ahead_hours: int, core: str | None = None) -> DataFrame:
+    """Rows tagged with their bucket, plus halo copies for the neighbouring buckets (rows that are not ``core`` are context everywhere)."""
     bh = bucket_hours * HOUR_US
     t = F.col(ORDER_COL)
     b = F.floor(t / F.lit(bh))
+    own = F.col(core) if core else F.lit(True)
     def target(shift: int, keep: Column) -> Column:
-        return F.struct((b + shift).alias("b"), F.lit(shift == 0).alias("core"), keep.alias("keep"))
+        return F.struct((b + shift).alias("b"), (F.lit(shift == 0) & own).alias("core"), keep.alias("keep"))
 
     # as many neighbouring buckets as the longest look-back and the label horizon reach
     targets = F.array(
@@ -201,6 +202,15 @@ def _bucket_prefix(base: DataFrame, bucket_hours: int, last_cols: list[str],
         *[F.coalesce(F.sum(f"_bs_{c}").over(wb), F.lit(0)).alias(f"_ps_{c}") for c in sum_cols])
 
 
+def _with_state(prefix: DataFrame, machine_state: DataFrame, last_cols: list[str], sum_cols: list[str]) -> DataFrame:
+    """Bucket prefixes continued from the state of each machine before its first core row."""
+    state = machine_state.select(KEY, *[F.col(f"_pl_{c}").alias(f"_ml_{c}") for c in last_cols],
+                                 *[F.col(f"_ps_{c}").alias(f"_ms_{c}") for c in sum_cols])
+    return left_join(prefix, state, [KEY]).select(
+        KEY, BUCKET_COL, *[F.greatest(f"_pl_{c}", f"_ml_{c}").alias(f"_pl_{c}") for c in last_cols],
+        *[(F.coalesce(f"_ps_{c}", F.lit(0)) + F.coalesce(f"_ms_{c}", F.lit(0))).alias(f"_ps_{c}") for c in sum_cols])
+
+
 def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(),
                      stats=DEFAULT_STATS, lags=(), history=(), cumulative=(),
                      label_target: str | None = None, horizon_hours: int = 24,
@@ -212,10 +222,10 @@ def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(
     ``extra_rolling`` adds ``(column, stat, hours)`` rolling aggregates named
     ``<column>_<hours>h``. Output: ``keep`` columns, then the features in order.
 
-    Per machine (``bucket_hours=None``) two more inputs serve incremental runs:
-    ``core`` names a boolean column; only those rows are returned and counted by
+    Two more inputs serve incremental runs: ``core`` names a boolean column; only those rows are returned and counted by
     running features (the others are context for bounded frames), and
-    ``machine_state`` (from ``advance_state``) is the state before the first core row.
+    ``machine_state`` (from ``advance_state`` or ``states.state_before``) is the state before the first core row. In buckets
+    it goes into the bucket prefixes, so no rows are joined by machine alone.
     """
     base = with_order_column(df)
     split = bucket_hours is not None
@@ -239,9 +249,11 @@ def compute_features(df: DataFrame, keep: list[str], sensors=(), windows_hours=(
         out = base.select(*[F.col(c) for c in keep], *([F.col(CORE_COL)] if core else []), *exprs)
         return out.where(F.col(CORE_COL)).drop(CORE_COL) if core else out
     back = max([1, *windows_hours, *[n + 1 for n in lags], *[h for _, _, h in extra_rolling]])
-    rows = _bucketed(base, bucket_hours, back, horizon_hours if label_target else 0)
+    rows = _bucketed(base, bucket_hours, back, horizon_hours if label_target else 0, core)
     if history or cumulative:
-        prefix = _bucket_prefix(base, bucket_hours, list(history), list(cumulative))
+        prefix = _bucket_prefix(base.where(F.col(core)) if core else base, bucket_hours, list(history), list(cumulative))
+        if machine_state is not None:
+            prefix = _with_state(prefix, machine_state, list(history), list(cumulative))
         # planned as a shuffled join on (machine, bucket), which the windows reuse; AQE
         # turns it into a broadcast when the measured prefix stage is small
         rows = left_join(rows, prefix, [KEY, BUCKET_COL])
@@ -273,8 +285,7 @@ def feature_table(master: DataFrame, sensors: list[str] | None = None,
                   machine_state: DataFrame | None = None, core: str | None = None) -> DataFrame:
     """Master columns + rolling + lag + history features + label, in one windowed pass.
 
-    ``machine_state`` and ``core`` (per machine only) serve incremental scoring;
-    see ``compute_features``.
+    ``machine_state`` and ``core`` serve incremental scoring; see ``compute_features``.
     """
     sensors = C.SENSOR_COLUMNS if sensors is None else sensors
     base = with_error_count(master)

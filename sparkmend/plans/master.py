@@ -14,12 +14,16 @@ Telemetry is never sorted for the joins; order is a sink concern.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkmend import contracts as C
 from sparkmend.functions.columns import zero_fill
 from sparkmend.functions.onehot import EventSpec, combined_event_counts, discover_categories
 from sparkmend.operators.joins import left_join
+from sparkmend.operators.sort import partitions_for
 
 
 def event_counts(failures: DataFrame, maintenance: DataFrame, errors: DataFrame,
@@ -56,6 +60,36 @@ def merge_master(telemetry: DataFrame, machines: DataFrame, failures: DataFrame,
     return merged.select(*front, *count_cols)
 
 
+def write_master(master: DataFrame, path: str, rows: int | None = None) -> None:
+    """Write the master as ``date=`` folders, each one's rows in key order.
+
+    Rows are range-partitioned by (date, machine, hour): a task writes a contiguous range, so the files follow the days and the data size
+    (about 256 MiB each when ``rows`` is known), and a hot day or machine spreads over many tasks.
+    """
+    dated = master.withColumn("date", F.to_date("datetime"))
+    keys = ["date", *C.KEY_COLUMNS]
+    ranged = dated.repartitionByRange(*keys) if rows is None else dated.repartitionByRange(partitions_for(rows, master), *keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("date").parquet(path)
+
+
+def read_master(spark: SparkSession, path: str, first: dt.datetime | None = None, last: dt.datetime | None = None) -> DataFrame:
+    """Master rows of ``first <= datetime < last`` (both optional); only the date folders of that span are read.
+
+    A master without date folders is read whole and filtered by time.
+    """
+    from sparkmend.functions.columns import ntz_literal
+    rows = spark.read.parquet(path)
+    if "date" in rows.columns:
+        if first is not None:
+            rows = rows.where(F.col("date") >= F.lit(first.date()))
+        if last is not None:
+            rows = rows.where(F.col("date") <= F.lit(last.date()))
+        rows = rows.drop("date")
+    if first is not None:
+        rows = rows.where(F.col("datetime") >= ntz_literal(first))
+    return rows if last is None else rows.where(F.col("datetime") < ntz_literal(last))
+
+
 def master_from_standins(spark, sf_dir: str, **kw) -> DataFrame:
     """Master table over the driver tables (stand-ins in ``sparkmend.sources.standins``)."""
     from sparkmend.sources import standins as S

@@ -67,7 +67,7 @@ def test_weekly_retrain_saves_by_date(spark, tmp_path):
     res = M.retrain(master, dt.datetime(2024, 1, 22), train_days=14, model_root=str(tmp_path / "m"),
                     max_iter=3)
     assert os.path.isdir(tmp_path / "m" / "as_of=2024-01-22")
-    assert res.metrics["train_test_rows"] > 0
+    assert res.metrics["held_out_test_rows"] > 0  # rows that the evaluated model has not seen
 
 
 def test_hourly_stream_emits_closed_hours(spark):
