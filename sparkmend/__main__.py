@@ -4,6 +4,7 @@ ingest     collections (JSON-lines folders) -> one headered CSV per table
 validate   raw CSV tables -> raw gate -> master -> merged gate -> sinks and status
 run        ingest, then validate; exit status 1 when validation fails
 train      master -> features -> time-split GBT -> saved model; prints metrics
+states     daily machine states of a dated master (all days, or those from a day on)
 score      master -> features -> predictions into the day-partitioned store (+ latest status)
 retrain    weekly retraining as of a date, model saved under <model-root>/as_of=<date>
 stream     hourly scoring of new event files (foreachBatch) into the store
@@ -48,17 +49,23 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--master", required=True)
     a.add_argument("--model", required=True)
     a.add_argument("--max-iter", type=int, default=20)
+    a = sub.add_parser("states")
+    a.add_argument("--master", required=True)
+    a.add_argument("--states", required=True)
+    a.add_argument("--from", dest="from_day", help="YYYY-MM-DD: replace the days from this one on")
     a = sub.add_parser("score")
     a.add_argument("--master", required=True)
     a.add_argument("--model", required=True)
     a.add_argument("--store", required=True)
     a.add_argument("--latest")
     a.add_argument("--from", dest="from_day", help="YYYY-MM-DD: re-score whole days from this one on")
+    a.add_argument("--states", help="daily states of the master: with --from only the folders of these days are read")
     a = sub.add_parser("retrain")
     a.add_argument("--master", required=True)
     a.add_argument("--as-of", required=True, help="YYYY-MM-DD")
     a.add_argument("--model-root", required=True)
     a.add_argument("--train-days", type=int, default=90)
+    a.add_argument("--states", help="daily states of the master: only the folders of the training window are read")
     a = sub.add_parser("stream")
     for flag in ("--events", "--history", "--model", "--store", "--checkpoint", "--machines"):
         a.add_argument(flag, required=True)
@@ -102,26 +109,36 @@ def _dispatch(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.cmd == "train":
         from sparkmend.plans import model as M
         from sparkmend.plans.features import feature_table
-        result, _ = M.train(feature_table(spark.read.parquet(args.master)), max_iter=args.max_iter)
+        from sparkmend.plans.master import read_master
+        result, _ = M.train(feature_table(read_master(spark, args.master)), max_iter=args.max_iter)
         M.save_model(result.model, args.model)
         print(json.dumps({"cutoff": result.cutoff.isoformat(), **result.metrics}))
+    elif args.cmd == "states":
+        from sparkmend.plans.states import write_states
+        write_states(spark, args.master, args.states, args.from_day and dt.date.fromisoformat(args.from_day))
     elif args.cmd == "score":
         from sparkmend.plans import model as M
         from sparkmend.plans.features import feature_table, latest_per_machine
-        feats = feature_table(spark.read.parquet(args.master))  # features see all history
-        if args.from_day:
-            from pyspark.sql import functions as F
-            feats = feats.where(F.to_date("datetime") >= F.lit(args.from_day).cast("date"))
-        preds = M.score(M.load_model(args.model), feats)
+        from sparkmend.plans.master import read_master
+        model, first = M.load_model(args.model), args.from_day and dt.date.fromisoformat(args.from_day)
+        if first and args.states:
+            preds = M.score_days(spark, model, args.master, args.states, first)
+        else:
+            feats = feature_table(read_master(spark, args.master))  # features see all history
+            if first:
+                from pyspark.sql import functions as F
+                feats = feats.where(F.to_date("datetime") >= F.lit(first))
+            preds = M.score(model, feats)
         M.store_predictions(preds, args.store)  # replaces only the days scored
         if args.latest:
-            latest_per_machine(spark.read.parquet(args.store).drop("date")) \
+            latest_per_machine(M.read_predictions(spark, args.store).drop("date")) \
                 .write.mode("overwrite").parquet(args.latest)
     elif args.cmd == "retrain":
         from sparkmend.plans import model as M
         as_of = dt.datetime.fromisoformat(args.as_of)
-        res = M.retrain(spark.read.parquet(args.master), as_of, args.train_days,
-                        model_root=args.model_root)
+        from sparkmend.plans.master import read_master
+        master = args.master if args.states else read_master(spark, args.master)
+        res = M.retrain(master, as_of, args.train_days, model_root=args.model_root, states_path=args.states, spark=spark)
         print(json.dumps({"as_of": args.as_of, **res.metrics}))
     elif args.cmd == "stream":
         from sparkmend.streaming.hourly import run_hourly_scoring

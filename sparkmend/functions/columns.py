@@ -46,6 +46,56 @@ def parse_datetime(c: str | Column, formats: list[str] | None = None, name: str
                   F.raise_error(F.concat(F.lit(f"unparseable {name}: "), c))).otherwise(parsed)
 
 
+# The forms that a whole datetime column may have, in order of precedence. ``9`` in a shape stands for a run of
+# digits, ``a`` for a run of letters; the pattern decides within the shape. Month before day where both fit all values.
+DATETIME_FORMS = [
+    ("9-9-9 9:9:9", "yyyy-MM-dd HH:mm:ss"), ("9-9-9 9:9:9.9", "yyyy-MM-dd HH:mm:ss.[SSSSSSSSS][SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    ("9-9-9a9:9:9", "yyyy-MM-dd'T'HH:mm:ss"), ("9-9-9a9:9:9.9", "yyyy-MM-dd'T'HH:mm:ss.[SSSSSSSSS][SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    ("9-9-9 9:9", "yyyy-MM-dd HH:mm"), ("9-9-9a9:9", "yyyy-MM-dd'T'HH:mm"), ("9-9-9", "yyyy-MM-dd"),
+    ("9/9/9 9:9:9 a", "M/d/yyyy h:mm:ss a"), ("9/9/9 9:9 a", "M/d/yyyy h:mm a"), ("9/9/9 9:9:9", "M/d/yyyy H:mm:ss"),
+    ("9/9/9 9:9", "M/d/yyyy H:mm"), ("9/9/9", "M/d/yyyy"), ("9/9/9 9:9:9", "d/M/yyyy H:mm:ss"), ("9/9/9 9:9", "d/M/yyyy H:mm"),
+    ("9/9/9", "d/M/yyyy"), ("9/9/9 9:9:9", "yyyy/MM/dd HH:mm:ss"), ("9/9/9 9:9", "yyyy/MM/dd H:mm"), ("9/9/9", "yyyy/MM/dd"),
+    ("9-9-9 9:9:9", "M-d-yyyy H:mm:ss"), ("9-9-9 9:9:9", "d-M-yyyy H:mm:ss"), ("9-9-9", "M-d-yyyy"), ("9-9-9", "d-M-yyyy"),
+    ("9.9.9 9:9:9", "d.M.yyyy H:mm:ss"), ("9.9.9 9:9", "d.M.yyyy H:mm"), ("9.9.9", "d.M.yyyy"),
+    ("a 9 9 9:9:9", "MMM d yyyy HH:mm:ss"), ("a 9 9 9:9", "MMM d yyyy HH:mm"), ("a 9 9", "MMM d yyyy"), ("a 9, 9", "MMM d, yyyy"),
+    ("9 a 9 9:9:9", "d MMM yyyy HH:mm:ss"), ("9 a 9", "d MMM yyyy"), ("9", "yyyyMMdd"),
+]
+SHAPE_OF = {pattern: shape for shape, pattern in DATETIME_FORMS}
+
+
+def datetime_shape(c: str | Column) -> Column:
+    """A text with runs of digits as ``9`` and runs of letters as ``a``."""
+    return F.regexp_replace(F.regexp_replace(_col(c), "[A-Za-z]+", "a"), "[0-9]+", "9")
+
+
+def _by_form(c: Column, shape: Column, pattern: str) -> Column:
+    """The value by one form, NULL where it has another; only texts of the form's shape are parsed."""
+    return F.when((shape == F.lit(SHAPE_OF[pattern])) & F.try_to_timestamp(c, F.lit(pattern)).isNotNull(),
+                  F.to_timestamp_ntz(c, F.lit(pattern)))
+
+
+def datetime_votes(df: DataFrame, name: str = "datetime") -> DataFrame:
+    """One row: ``form`` (the form that most values have), ``present`` (values that are not NULL), ``other`` (those that do not have it).
+
+    One aggregate over the column, combined before the shuffle. ``other`` is 0 where one form fits the whole column.
+    """
+    rows = df.select(F.col(f"`{name}`").alias("c")).withColumn("s", datetime_shape("c"))
+    quoted = [(shape, pattern.replace("'", "''")) for shape, pattern in DATETIME_FORMS]
+    votes = rows.groupBy().agg(F.count("c").alias("present"), *[
+        F.expr(f"count_if(s = '{shape}' AND try_to_timestamp(c, '{pattern}') IS NOT NULL) AS v{i}") for i, (shape, pattern) in enumerate(quoted)])
+    best = ", ".join(f"named_struct('n', v{i}, 'i', {-i}, 'form', '{pattern}')" for i, (_, pattern) in enumerate(quoted))
+    return votes.selectExpr("present", f"greatest({best}) AS b").selectExpr("if(b.n > 0, b.form, NULL) AS form", "present", "present - b.n AS other")
+
+
+def parse_datetime_as(c: str | Column, pattern: str, name: str = "datetime", strict: bool = True) -> Column:
+    """Text -> timestamp_ntz by one form; a value of another form raises at run time when ``strict``, else it is NULL."""
+    c = _col(c)
+    parsed = _by_form(c, datetime_shape(c), pattern)
+    if not strict:
+        return parsed
+    return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit(f"unparseable {name}: "), c))).otherwise(parsed)
+
+
 def try_parse_integer(c: str | Column, to: str = "bigint") -> Column:
     """Text -> integer without going through a double: digits as they are, else a decimal with a
     zero fraction (``3.0``); NULL where neither fits."""

@@ -44,7 +44,7 @@ def null_cells(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def row_hashes(cols: list[str], prefix: str) -> list[Column]:
     """Two 64-bit hashes ``<prefix>0``, ``<prefix>1`` of the values of ``cols`` and of where they are null.
 
-    Together 128 bits: rows with equal hashes are equal rows (two of 10^12 different rows meet with a chance of 10^-15).
+    Equal rows have equal hashes; rows that share hashes are candidates, which ``exact_surplus`` compares in full.
     """
     if not cols:
         return [F.lit(0).cast("long").alias(f"{prefix}{i}") for i in (0, 1)]
@@ -53,13 +53,26 @@ def row_hashes(cols: list[str], prefix: str) -> list[Column]:
     return [F.xxhash64(F.lit(i), nulls, *values).alias(f"{prefix}{i}") for i in (0, 1)]
 
 
+def exact_surplus(df: DataFrame, cols: list[str], candidates: DataFrame, prefix: str = "_h") -> DataFrame:
+    """One row: ``surplus``, rows beyond the first of each group of equal values of ``cols``, compared in full.
+
+    ``candidates`` holds the hashes (``<prefix>0``, ``<prefix>1``) that several rows share. Only their rows are shuffled and grouped by
+    value; without candidates the join is empty and adaptive execution leaves the second scan out.
+    """
+    shared = candidates.select(F.col(f"{prefix}0").alias("__c0"), F.col(f"{prefix}1").alias("__c1"))
+    rows = df.select(*row_hashes(cols, prefix), *[F.col(f"`{c}`").alias(f"__v{i}") for i, c in enumerate(cols)])
+    rows = rows.join(shared, (F.col(f"{prefix}0") == F.col("__c0")) & (F.col(f"{prefix}1") == F.col("__c1")), "left_semi")
+    return (rows.groupBy(f"{prefix}0", f"{prefix}1", *[f"__v{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("surplus")))
+
+
 def surplus_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: ``surplus`` = rows - distinct values of ``cols`` (rows beyond the first of each group).
 
-    The shuffle carries a 128-bit hash of the values and a count, not the values.
+    A first pass shuffles a 128-bit hash of the values and a count; rows whose hash occurs more than once are then compared in full.
     """
-    return (df.select(*row_hashes(cols, "_h")).groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"))
-            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("surplus")))
+    groups = df.select(*row_hashes(cols, "_h")).groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"))
+    return exact_surplus(df, cols, groups.where("_n > 1"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

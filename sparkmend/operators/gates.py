@@ -39,7 +39,7 @@ REPORT_ROW = Row(*REPORT_SCHEMA.fieldNames())
 
 # Rule names in check order, and the messages a failed rule raises.
 RAW_RULES = ["file_exists", "columns_match", "null_cells", "duplicate_rows", "duplicate_keys",
-             "unparseable_values", "unlisted_categories", "duplicate_machine_ids", "malformed_rows"]
+             "unparseable_values", "unlisted_categories", "duplicate_machine_ids", "malformed_rows", "mixed_datetimes"]
 MERGED_RULES = ["row_count_match", "duplicate_keys", "required_columns", "null_sensor_cells",
                 "null_machine_cells", "numeric_event_columns"]
 RAW_MESSAGES = {
@@ -52,6 +52,7 @@ RAW_MESSAGES = {
     "unlisted_categories": "table {dataset}: some categories are not in the declared list",
     "duplicate_machine_ids": "table {dataset}: a machine id occurs more than once",
     "malformed_rows": "table {dataset}: some rows have more cells than the header",
+    "mixed_datetimes": "table {dataset}: the datetime values do not all have one form",
 }
 MERGED_MESSAGES = {
     "row_count_match": "the merge changed the number of rows: {actual} instead of {expected}",
@@ -63,7 +64,7 @@ MERGED_MESSAGES = {
 }
 # Rules of the reference gate; the others are reported, and enforced only in strict mode.
 REFERENCE_RAW_RULES = {"file_exists", "columns_match", "null_cells", "duplicate_rows",
-                       "duplicate_keys", "malformed_rows"}
+                       "duplicate_keys", "malformed_rows", "mixed_datetimes"}
 
 
 class _Fields(dict):
@@ -84,11 +85,23 @@ class GateError(ValueError):
 
 @dataclass
 class RawInput:
-    """A raw table as read (``df=None`` when its file is missing)."""
+    """A raw table as read (``df=None`` when its file is missing).
+
+    ``headers``: (columns, number of files) of each header among its files. ``datetime_form`` and ``other_datetimes``: the form that most
+    values of its datetime column have, and the number of values that do not have it. Both are empty for tables that are no files.
+    """
 
     name: str
     df: DataFrame | None
     path: str = ""
+    headers: tuple[tuple[tuple[str, ...], int], ...] = ()
+    datetime_form: str | None = None
+    other_datetimes: int | None = None
+
+    def wrong_headers(self, expected: list[str]) -> list[tuple[tuple[str, ...], int]]:
+        """Headers that differ from the expected columns, with the number of files that have them."""
+        own = tuple(c for c in self.df.columns if c != MALFORMED)
+        return [h for h in self.headers or ((own, 1),) if list(h[0]) != list(expected)]
 
 
 def _union(rows: list[DataFrame]) -> DataFrame:
@@ -173,8 +186,8 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
 
     Rows are grouped by a 128-bit hash of their values (and of their key): the shuffle carries hashes and counters
     only, whatever the width of the table, and copies collapse before it. Missing cells, unparseable cells and
-    unlisted categories are counted per distinct row and weighted by its copies; duplicate keys come from a
-    second grouping of the reduced groups.
+    unlisted categories are summed over the groups. Rows and keys whose hash occurs more than once are candidates for duplicates; they
+    are read again and compared in full (``audits.exact_surplus``), which a table without candidates is spared.
     """
     text = _is_text_table(df, contract)
     marked = MALFORMED in df.columns
@@ -193,14 +206,19 @@ def table_gate_stats(df: DataFrame, contract: C.TableContract, key: list[str] |
         return F.coalesce(F.sum(c), F.lit(0))
 
     stats = groups.agg(
-        total(F.col("_n")).alias("rows"), total(F.col("_m")).alias("null_cells"), total(F.col("_n") - 1).alias("duplicate_rows"),
+        total(F.col("_n")).alias("rows"), total(F.col("_m")).alias("null_cells"),
         total(F.col("_b")).alias("unparseable_values"), total(F.col("_u")).alias("unlisted_categories"),
         total(F.col("_w")).alias("malformed_rows"))
+    values = [c for c in view.columns if c != MALFORMED]
+    exact = [audits.exact_surplus(view, values, groups.groupBy("_h0", "_h1").agg(F.sum("_n").alias("_n")).where("_n > 1"))
+             .withColumnRenamed("surplus", "duplicate_rows")]
     if keyed:
-        per_key = (groups.groupBy("_k0", "_k1").agg(F.sum("_n").alias("_s"))
-                   .agg(total(F.col("_s") - 1).alias("duplicate_keys")))
-        stats = stats.unionByName(per_key, allowMissingColumns=True).agg(
-            *[F.max(c).alias(c) for c in stats.columns + ["duplicate_keys"]])
+        per_key = groups.groupBy("_k0", "_k1").agg(F.sum("_n").alias("_n")).where("_n > 1")
+        exact.append(audits.exact_surplus(view, key_cols, per_key, "_k").withColumnRenamed("surplus", "duplicate_keys"))
+    names = [*stats.columns, *[c for e in exact for c in e.columns]]
+    for e in exact:
+        stats = stats.unionByName(e, allowMissingColumns=True)
+    stats = stats.agg(*[F.max(c).alias(c) for c in names])
     return stats, text
 
 
@@ -248,7 +266,6 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
                 F.lit(None) if with_rows else None))
             continue
         df = t.df
-        columns = [c for c in df.columns if c != MALFORMED]
         if name == "telemetry":
             key = list(contract.key)
         elif name == "machines":
@@ -259,7 +276,7 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
         rules = [
             _rule_struct(name, base + 1, "file_exists", F.lit(0), enf["file_exists"]),
             _rule_struct(name, base + 2, "columns_match",
-                         F.lit(0 if columns == contract.columns else 1), enf["columns_match"]),
+                         F.lit(sum(files for _, files in t.wrong_headers(contract.columns))), enf["columns_match"]),
             _rule_struct(name, base + 3, "null_cells", F.col("null_cells"), enf["null_cells"]),
             _rule_struct(name, base + 4, "duplicate_rows", F.col("duplicate_rows"),
                          enf["duplicate_rows"]),
@@ -269,6 +286,8 @@ def raw_gate_report(spark: SparkSession, tables: list[RawInput] | dict[str, Data
             rules.append(_rule_struct(name, base + 5, "duplicate_keys", v, enf["duplicate_keys"]))
         if MALFORMED in df.columns:
             rules.append(_rule_struct(name, base + 9, "malformed_rows", F.col("malformed_rows"), enf["malformed_rows"]))
+        if t.other_datetimes is not None:  # known when the tables are merged: after all other rules
+            rules.append(_rule_struct(name, (len(contracts) + 1) * 100 + ti, "mixed_datetimes", F.lit(t.other_datetimes), enf["mixed_datetimes"]))
         if text:
             rules.append(_rule_struct(name, base + 6, "unparseable_values",
                                       F.col("unparseable_values"), enf["unparseable_values"]))
@@ -362,8 +381,9 @@ def raw_details(tables: list[RawInput], contracts: dict[str, C.TableContract] |
     for t in tables:
         out[(t.name, "file_exists")] = {"path": t.path}
         if t.df is not None and t.name in contracts:
-            out[(t.name, "columns_match")] = {"expected": contracts[t.name].columns,
-                                              "actual": [c for c in t.df.columns if c != MALFORMED]}
+            wrong = t.wrong_headers(contracts[t.name].columns)
+            own = [c for c in t.df.columns if c != MALFORMED]
+            out[(t.name, "columns_match")] = {"expected": contracts[t.name].columns, "actual": list(wrong[0][0]) if wrong else own}
     return out
 
 

@@ -1,28 +1,29 @@
 """The validation stage, and ingestion followed by validation.
 
 Stage 2 (validation): raw gate -> merge -> merged gate -> sinks -> artifact.
-The raw gate reads each table once, all tables in one job. The merged table is written once to a staging table in the
-shared checkpoint folder (with its row count observed during that write), the
+The raw text is parsed once and landed as Parquet in the shared checkpoint folder; the raw gate runs over all tables in one job. The merged table
+is written into the run's own folder (with its row count observed during that write), the
 merged gate runs over the written rows with the telemetry row count taken from
-the raw gate, and only a passing table is written, sorted by key and in files of
-about 256 MiB, to the output. A failure writes the status ``False`` before
+the raw gate, and only a run that passes is published by its manifest. A failure publishes the status ``False`` before
 re-raising.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmend import contracts as C
+from sparkmend.functions.columns import datetime_votes
 from sparkmend.operators import gates
-from sparkmend.operators.sort import partitions_for, total_sort, write_sorted
-from sparkmend.plans.master import merge_master
-from sparkmend.session import ensure_checkpoint_dir
-from sparkmend.sources.csv import cast_to_contract, try_read_text_csv, write_csv
+from sparkmend.operators.sort import partitions_for, total_sort
+from sparkmend.plans.master import merge_master, read_master, write_master
+from sparkmend.session import cut_lineage
+from sparkmend.sources.csv import cast_to_contract, try_read_csv_table, write_csv
 from sparkmend.sources.documents import ingest
 
 
@@ -35,20 +36,38 @@ class ValidationArtifact:
 
 
 def read_raw_inputs(spark: SparkSession, raw_data_dir: str,
-                    contracts: dict[str, C.TableContract] | None = None) -> list[gates.RawInput]:
-    """Every contract table as text from ``<raw_data_dir>/<name>.csv`` (None when missing)."""
+                    contracts: dict[str, C.TableContract] | None = None, land: bool = False) -> list[gates.RawInput]:
+    """Every contract table as text from ``<raw_data_dir>/<name>.csv`` (None when missing), with its headers and datetime form.
+
+    ``land``: write the parsed text once as Parquet into the checkpoint folder, so that gate and merge don't parse the files again.
+    """
     out = []
     for name in (contracts or C.RAW_CONTRACTS):
         path = f"{raw_data_dir.rstrip('/')}/{name}.csv"
-        out.append(gates.RawInput(name, try_read_text_csv(spark, path, mark_malformed=True), path))
-    return out
+        t = try_read_csv_table(spark, path, mark_malformed=True)
+        df = t and (cut_lineage(t.df, f"raw-{name}") if land and t.df.columns else t.df)
+        out.append(gates.RawInput(name, df, path, t.headers if t else ()))
+    return with_datetime_forms(spark, out)
+
+
+def with_datetime_forms(spark: SparkSession, inputs: list[gates.RawInput]) -> list[gates.RawInput]:
+    """The inputs with the form of their datetime column: one job for all tables, one row a table."""
+    timed = [i for i in inputs if i.df is not None and dict(i.df.dtypes).get("datetime") == "string"]
+    votes = [datetime_votes(i.df).withColumn("name", F.lit(i.name)) for i in timed]
+    if not votes:
+        return inputs
+    all_votes = votes[0]
+    for v in votes[1:]:
+        all_votes = all_votes.unionByName(v)
+    found = {r["name"]: r for r in all_votes.collect()}
+    return [replace(i, datetime_form=found[i.name].form, other_datetimes=found[i.name].other) if i.name in found else i for i in inputs]
 
 
 def typed_tables(inputs: list[gates.RawInput],
                  contracts: dict[str, C.TableContract] | None = None) -> dict[str, DataFrame]:
-    """Cast each raw table to its contract (timestamps strict: bad text raises)."""
+    """Cast each raw table to its contract (timestamps strict: text that doesn't have the column's form raises)."""
     contracts = contracts or C.RAW_CONTRACTS
-    return {i.name: cast_to_contract(i.df, contracts[i.name]) for i in inputs}
+    return {i.name: cast_to_contract(i.df, contracts[i.name], datetime_form=i.datetime_form) for i in inputs}
 
 
 def validate_raw(spark: SparkSession, inputs: list[gates.RawInput], strict: bool = False,
@@ -68,40 +87,71 @@ def _write_status(spark: SparkSession, path: str, status: bool) -> None:
      .coalesce(1).write.mode("overwrite").text(path))
 
 
+MANIFEST_SCHEMA = "run string, validation_status boolean, master string, master_csv string, report string, error string"
+
+
+@dataclass(frozen=True)
+class Published:
+    """What the last run of the stage left: its status, and the outputs if it passed."""
+
+    run: str
+    validation_status: bool
+    master: str | None
+    master_csv: str | None
+    report: str | None
+    error: str | None
+
+
+def published(spark: SparkSession, out_dir: str) -> Published | None:
+    """The last run's entry; None when no run has ended there. Readers take the outputs' paths from it."""
+    try:
+        row = spark.read.schema(MANIFEST_SCHEMA).json(f"{out_dir.rstrip('/')}/manifest").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+    return row and Published(**row.asDict())
+
+
+def _publish(spark: SparkSession, out: str, entry: Published) -> None:
+    _write_status(spark, f"{out}/status", entry.validation_status)
+    row = tuple(getattr(entry, f.name) for f in fields(Published))
+    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+
+
 def run_validation(spark: SparkSession, raw_data_dir: str, out_dir: str, strict: bool = False,
                    csv_copy: bool = True, contracts: dict[str, C.TableContract] | None = None
                    ) -> ValidationArtifact:
-    """Full stage 2. Writes ``master`` (Parquet, sorted by key), optionally ``master_csv``,
-    ``report`` (JSON rows of both gates) and ``status`` (text) under ``out_dir``."""
-    out = out_dir.rstrip("/")
-    status_path, report_path = f"{out}/status", f"{out}/report"
-    master_path = f"{out}/master"
+    """Full stage 2. Every run writes ``master`` (Parquet, ``date=`` folders in key order), optionally ``master_csv``, and ``report``
+    (JSON rows of both gates) into a folder of its own, ``<out_dir>/runs/<run>``. After the last check and write the run is
+    published: ``<out_dir>/status`` (text) and ``<out_dir>/manifest``, which names the outputs. A run that fails anywhere publishes the
+    status ``False`` and no outputs, so a table that it wrote halfway is never read."""
+    out, run = out_dir.rstrip("/"), uuid.uuid4().hex[:12]
+    base = f"{out}/runs/{run}"
+    master_path, csv_path, report_path = f"{base}/master", f"{base}/master_csv", f"{base}/report"
     try:
-        inputs = read_raw_inputs(spark, raw_data_dir, contracts)
+        inputs = read_raw_inputs(spark, raw_data_dir, contracts, land=True)
         raw_rows, table_rows = validate_raw(spark, inputs, strict, contracts)
         typed = typed_tables(inputs, contracts)
         master = merge_master(typed["telemetry"], typed["machines"], typed["failures"],
                               typed["maintenance"], typed["errors"])
-        staging = f"{ensure_checkpoint_dir(spark).rstrip('/')}/master-staging-{uuid.uuid4().hex[:12]}"
-        obs = Observation("master_rows")
-        master.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(staging)
-        written = spark.read.parquet(staging)
         # the raw gate counted the telemetry rows already: no second scan of its file
         tel_rows = table_rows["telemetry"]
+        obs = Observation("master_rows")
+        write_master(master.observe(obs, F.count(F.lit(1)).alias("rows")), master_path, rows=tel_rows)
+        written = read_master(spark, master_path)
         merged = gates.merged_gate_report(written, tel_rows)
         merged_rows = sorted(merged.collect(), key=lambda r: r.rule_order)
         master_rows = obs.get["rows"]
         gates.enforce(merged_rows, gates.merged_details(written, master_rows, tel_rows))
-        write_sorted(written, C.KEY_COLUMNS, master_path, rows=master_rows)
         if csv_copy:
-            # sorted for this write: reading the Parquet master back would mix its files
-            write_csv(total_sort(written, C.KEY_COLUMNS, partitions_for(master_rows, written)), f"{out}/master_csv")
+            write_csv(total_sort(written, C.KEY_COLUMNS, partitions_for(master_rows, written)), csv_path)
         (spark.createDataFrame(raw_rows + merged_rows, gates.REPORT_SCHEMA).coalesce(1)
          .write.mode("overwrite").json(report_path))
-        _write_status(spark, status_path, True)
-        return ValidationArtifact(True, status_path, master_path, report_path)
-    except Exception:
-        _write_status(spark, status_path, False)
+        _publish(spark, out, Published(run, True, master_path, csv_path if csv_copy else None, report_path, None))
+        return ValidationArtifact(True, f"{out}/status", master_path, report_path)
+    except Exception as e:
+        _publish(spark, out, Published(run, False, None, None, None, f"{type(e).__name__}: {e}"[:2000]))
         raise
 
 

@@ -654,6 +654,24 @@ def q_feature_table(spark, sf_dir):
     return feature_table(master).drop(*drop)
 
 
+_FITTED: dict[tuple[str, str], object] = {}
+
+
+def _fitted(spark, sf_dir):
+    """(training result, path of the stored model): fitted once a session and folder, shared by the queries that need a model."""
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import save_model, train
+    from sparkmend.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+        path = scratch_path(spark, "model")
+        save_model(result.model, path)
+        _FITTED.clear()
+        _FITTED[key] = result, path
+    return _FITTED[key]
+
+
 _CHECKED = "TRUE AS probability_in_range, TRUE AS prediction_is_binary"
 
 
@@ -670,15 +688,12 @@ SELECT machineID, datetime, {_CHECKED} FROM master
 WHERE datetime >= (SELECT percentile_disc(0.8) WITHIN GROUP (ORDER BY datetime) FROM master)""")
 def q_train_and_score(spark, sf_dir):
     """Features -> time split -> GBT -> save -> load -> score the held-out hours -> store -> read back."""
-    from sparkmend.plans.features import feature_table
-    from sparkmend.plans.model import load_model, save_model, score, store_predictions, train
+    from sparkmend.plans.model import load_model, read_predictions, score, store_predictions
     from sparkmend.session import scratch_path
-    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
-    model_path = scratch_path(spark, "model")
-    save_model(result.model, model_path)
+    result, model_path = _fitted(spark, sf_dir)
     store = scratch_path(spark, "predictions")
     store_predictions(score(load_model(model_path), result.test), store)
-    return _checked(spark.read.parquet(store))
+    return _checked(read_predictions(spark, store))
 
 
 @register("model_roundtrip", f"""{MASTER_WITH}
@@ -687,12 +702,8 @@ def q_model_roundtrip(spark, sf_dir):
     """Rows whose score by the model in memory differs from that by the stored and loaded model."""
     from pyspark.sql import functions as F
 
-    from sparkmend.plans.features import feature_table
-    from sparkmend.plans.model import load_model, save_model, score, train
-    from sparkmend.session import scratch_path
-    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
-    path = scratch_path(spark, "model")
-    save_model(result.model, path)
+    from sparkmend.plans.model import load_model, score
+    result, path = _fitted(spark, sf_dir)
     old = score(result.model, result.features)
     new = score(load_model(path), result.features).toDF("machineID", "datetime", "p2", "y2")
     return old.join(new, ["machineID", "datetime"]).agg(
@@ -707,24 +718,22 @@ def q_store_rerun(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from sparkmend.functions.columns import ntz_literal
-    from sparkmend.plans.features import feature_table
-    from sparkmend.plans.model import score, store_predictions, time_cutoff, train
+    from sparkmend.plans.model import read_predictions, score, store_predictions, time_cutoff
     from sparkmend.session import scratch_path
-    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+    result, _ = _fitted(spark, sf_dir)
     store = scratch_path(spark, "predictions")
     store_predictions(score(result.model, result.features), store)
     half = time_cutoff(result.features, 0.5).replace(hour=0)
     store_predictions(score(result.model, result.features.where(F.col("datetime") >= ntz_literal(half))), store)
-    return spark.read.parquet(store).groupBy(F.date_format("datetime", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("stored"))
+    return read_predictions(spark, store).groupBy(F.date_format("datetime", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("stored"))
 
 
 @register("latest_health", f"""{MASTER_WITH}
 SELECT machineID, max(datetime) AS datetime, {_CHECKED} FROM master GROUP BY machineID""")
 def q_latest_health(spark, sf_dir):
     """Score every hour with the trained model; the newest hour per machine is its health status."""
-    from sparkmend.plans.features import feature_table
-    from sparkmend.plans.model import latest_health, train
-    result, _ = train(feature_table(_staged_master(spark, sf_dir)))
+    from sparkmend.plans.model import latest_health
+    result, _ = _fitted(spark, sf_dir)
     return _checked(latest_health(result.model, result.features))
 
 
@@ -750,6 +759,114 @@ def q_retrain_weekly(spark, sf_dir):
     return _checked(score(res.model, feats)).withColumn("as_of", F.lit(as_of.strftime("%Y-%m-%d")))
 
 
+@register("store_stream_then_batch", f"""{MASTER_WITH},
+half AS (SELECT date_trunc('day', percentile_disc(0.5) WITHIN GROUP (ORDER BY datetime)) AS d FROM master)
+SELECT CAST(datetime AS DATE)::VARCHAR AS day, count(*) AS stored, count(DISTINCT (machineID, datetime)) AS machine_hours,
+       count(*) FILTER (WHERE datetime >= (SELECT d FROM half)) AS of_the_run
+FROM master GROUP BY 1""")
+def q_store_stream_then_batch(spark, sf_dir):
+    """Rows a day in the store after stream batches wrote all days, a run re-scored the later half, and a batch was replayed."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.functions.columns import ntz_literal
+    from sparkmend.plans.model import BATCH_RUN, read_predictions, score, store_predictions, time_cutoff
+    from sparkmend.session import cut_lineage, scratch_path
+    result, _ = _fitted(spark, sf_dir)
+    scored = cut_lineage(score(result.model, result.features), "scored")
+    store = scratch_path(spark, "predictions")
+    batch = scored.withColumn("batch", F.pmod(F.hour("datetime"), F.lit(3)).cast("long"))  # every day in three batches
+    store_predictions(batch, store)
+    half = time_cutoff(scored, 0.5).replace(hour=0)
+    later = scored.where(F.col("datetime") >= ntz_literal(half))
+    store_predictions(later, store)
+    store_predictions(batch.where("batch = 1"), store)  # replayed after a failure
+    store_predictions(later, store)                     # and the run again
+    return read_predictions(spark, store).groupBy(F.date_format("datetime", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("stored"), F.countDistinct("machineID", "datetime").alias("machine_hours"),
+        F.count_if(F.col("batch") == BATCH_RUN).alias("of_the_run"))
+
+
+def _areas_sql(score: str, table: str = "labelled") -> str:
+    return f"""SELECT '{score}' AS score, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives,
+       round(CAST(sum(n * (2 * pa + p)) AS DOUBLE) / (CAST(2 AS DOUBLE) * sum(p) * sum(n)), 9) AS area_under_roc,
+       round(sum(p * ((pa + p) / (pa + p + na + n) + CASE WHEN pa + na > 0 THEN pa / (pa + na) ELSE p / (p + n) END) / 2) / sum(p), 9) AS area_under_pr
+FROM (SELECT *, coalesce(sum(p) OVER w, 0) AS pa, coalesce(sum(n) OVER w, 0) AS na FROM (
+        SELECT {score} AS s, count(*) FILTER (WHERE label_24h > 0) AS p, count(*) FILTER (WHERE label_24h <= 0) AS n
+        FROM {table} WHERE {score} IS NOT NULL GROUP BY 1)
+      WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+_EVALUATED = ["volt", "pressure", "age"]  # many ties, few, and hardly any
+
+
+@register("evaluation_metrics", f"""{MASTER_WITH}, labelled AS (SELECT *,
+  COALESCE(max(CAST(CASE WHEN failure > 0 THEN 1 ELSE 0 END AS DOUBLE)) OVER ({_W}
+    RANGE BETWEEN INTERVAL 1 MICROSECONDS FOLLOWING AND INTERVAL {24 * _HOUR_US} MICROSECONDS FOLLOWING), 0) AS label_24h
+  FROM master)
+""" + "\nUNION ALL ".join(_areas_sql(c) for c in _EVALUATED))
+def q_evaluation_metrics(spark, sf_dir):
+    """Areas under the ROC and precision-recall curves of some columns as scores of the 24-hour label, ties included."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.ranking import curve_areas
+    from sparkmend.plans.features import window_features
+    from sparkmend.session import cut_lineage
+    rows = cut_lineage(window_features(_master(spark, sf_dir), [*_EVALUATED], label_target="failure", horizon_hours=24), "labelled")
+    out = None
+    for c in _EVALUATED:
+        one = curve_areas(rows, c, "label_24h").select(
+            F.lit(c).alias("score"), "positives", "negatives", F.round("area_under_roc", 9).alias("area_under_roc"),
+            F.round("area_under_pr", 9).alias("area_under_pr"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("training_learns", f"""{MASTER_WITH},
+held AS (SELECT * FROM master WHERE datetime >= (SELECT percentile_disc(0.8) WITHIN GROUP (ORDER BY datetime) FROM master))
+SELECT count(*) AS held_out, count(*) FILTER (WHERE age >= 12 AND volt > 50) AS positives,
+       TRUE AS area_under_roc_above_099, TRUE AS area_under_pr_above_099 FROM held""")
+def q_training_learns(spark, sf_dir):
+    """Training on a label that follows a rule of two features: the held-out areas show whether the model learned it.
+
+    A random model has areas of about 0.5 and the share of positives, so the SQL's TRUE fails for it.
+    """
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.ranking import curve_areas
+    from sparkmend.plans.features import feature_table
+    from sparkmend.plans.model import LABEL, score, train
+    rule = ((F.col("age") >= 12) & (F.col("volt") > 50)).cast("double")
+    feats = feature_table(_staged_master(spark, sf_dir)).withColumn(LABEL, rule)
+    result, _ = train(feats, max_iter=5, max_depth=3)
+    held = result.test.select("machineID", "datetime", LABEL).join(score(result.model, result.test), ["machineID", "datetime"])
+    return curve_areas(held, "failure_probability", LABEL).select(
+        (F.col("positives") + F.col("negatives")).alias("held_out"), "positives",
+        (F.col("area_under_roc") > 0.99).alias("area_under_roc_above_099"), (F.col("area_under_pr") > 0.99).alias("area_under_pr_above_099"))
+
+
+@register("rescored_days", f"""{MASTER_WITH}
+SELECT CAST(datetime AS DATE)::VARCHAR AS day, count(*) AS scored, CAST(0 AS BIGINT) AS differing FROM master
+WHERE datetime >= (SELECT date_trunc('day', percentile_disc(0.7) WITHIN GROUP (ORDER BY datetime)) FROM master) GROUP BY 1""")
+def q_rescored_days(spark, sf_dir):
+    """Days re-scored from their own folders, the look-back and one folder of machine states, against the run over all history."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.master import write_master
+    from sparkmend.plans.model import load_model, score, score_days, time_cutoff
+    from sparkmend.plans.states import write_states
+    from sparkmend.session import scratch_path
+    result, model_path = _fitted(spark, sf_dir)
+    model, master, states = load_model(model_path), scratch_path(spark, "dated-master"), scratch_path(spark, "states")
+    write_master(_master(spark, sf_dir), master)
+    write_states(spark, master, states)
+    first = time_cutoff(result.features, 0.7).date()
+    again = score_days(spark, model, master, states, first)
+    whole = score(model, result.features).where(F.to_date("datetime") >= F.lit(first)).toDF("machineID", "datetime", "p", "y")
+    same = (F.abs(F.col("failure_probability") - F.col("p")) < 1e-9) & (F.col("predicted_failure") == F.col("y"))
+    return again.join(whole, ["machineID", "datetime"], "full").groupBy(F.date_format("datetime", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("scored"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
+
+
 # ---------------------------------------------------------------------------
 # Hourly streaming
 
@@ -772,6 +889,32 @@ def q_hourly_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_scores", f"""{MASTER_WITH}
+SELECT count(*) AS scored, CAST(0 AS BIGINT) AS differing FROM master
+WHERE datetime + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_scores(spark, sf_dir):
+    """Events as a stream of several micro-batches -> closed hours -> scores, against a batch run over all history."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans.model import read_predictions, score
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.standins import machines, table
+    from sparkmend.streaming.hourly import run_hourly_scoring
+    result, model_path = _fitted(spark, sf_dir)
+    events, quarters = table(spark, sf_dir, "events"), scratch_path(spark, "event-files")
+    edges = events.selectExpr("percentile(unix_micros(ts::timestamp), array(0.25, 0.5, 0.75)) AS q").first().q
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for i, (a, b) in enumerate(zip([None, *edges], [*edges, None])):  # one file after the other, as they would arrive
+        part = events if a is None else events.where(at >= a)
+        (part if b is None else part.where(at < b)).coalesce(1).write.parquet(f"{quarters}/part={i}")
+    store, history, ck = (scratch_path(spark, n) for n in ("predictions", "history", "ckpt"))
+    run_hourly_scoring(spark, f"{quarters}/*", history, model_path, store, ck, machines(spark, sf_dir), max_files_per_trigger=1).awaitTermination()
+    whole = score(result.model, result.features).toDF("machineID", "datetime", "p", "y")
+    return read_predictions(spark, store).join(whole, ["machineID", "datetime"], "left").agg(
+        F.count("*").alias("scored"),
+        F.count_if(~F.coalesce((F.abs(F.col("failure_probability") - F.col("p")) < 1e-9) & (F.col("predicted_failure") == F.col("y")), F.lit(False))).alias("differing"))
+
+
 # ---------------------------------------------------------------------------
 # Whole stages (A04-A09, A26, A30-A34): the event tables hold exact duplicate rows,
 # which the raw gate rejects, so the stages run on their distinct rows.
@@ -793,6 +936,7 @@ def _gate_ready_tables(spark, sf_dir):
 @register("validation_stage", f"{DISTINCT_MASTER_WITH}\nSELECT * FROM master")
 def q_validation_stage(spark, sf_dir):
     """Raw CSV tables -> raw gate -> merge -> merged gate -> sorted master sink -> read back."""
+    from sparkmend.plans.master import read_master
     from sparkmend.plans.validation import run_validation
     from sparkmend.session import scratch_path
     from sparkmend.sources.csv import write_csv
@@ -800,12 +944,13 @@ def q_validation_stage(spark, sf_dir):
     for name, df in _gate_ready_tables(spark, sf_dir).items():
         write_csv(df, f"{raw}/{name}.csv")
     art = run_validation(spark, raw, scratch_path(spark, "validation"))
-    return spark.read.parquet(art.merged_data_path)
+    return read_master(spark, art.merged_data_path)
 
 
 @register("ingest_then_validate", f"{DISTINCT_MASTER_WITH}\nSELECT * FROM master")
 def q_ingest_then_validate(spark, sf_dir):
     """Bulk load into collections -> stage 1 (collections -> raw CSV) -> stage 2 (validation)."""
+    from sparkmend.plans.master import read_master
     from sparkmend.plans.validation import run_stages
     from sparkmend.session import scratch_path
     from sparkmend.sources.documents import append_documents
@@ -813,4 +958,157 @@ def q_ingest_then_validate(spark, sf_dir):
     for name, df in _gate_ready_tables(spark, sf_dir).items():
         append_documents(df, f"{root}/{name}")
     res = run_stages(spark, root, scratch_path(spark, "work"))
-    return spark.read.parquet(res.validation.merged_data_path)
+    return read_master(spark, res.validation.merged_data_path)
+
+
+# ---------------------------------------------------------------------------
+# Tables that break the rules (A05, A08, A09, A10, A27-A30): whole driver tables, written with faults that SQL can count
+
+@register("raw_gate_violations", f"""WITH {STANDIN_CTES},
+tel AS (SELECT *, row_number() OVER (ORDER BY machineID, datetime) AS r, date_diff('hour', TIMESTAMP '2024-01-01', datetime) AS h FROM telemetry),
+ev AS (SELECT *, 1 AS one FROM errors),
+dup AS (SELECT count(*) AS n, count(*) - count(DISTINCT (datetime, machineID, errorID)) AS d FROM errors)
+SELECT 'telemetry' AS dataset, 'columns_match' AS rule, CAST(1 AS BIGINT) AS violations
+UNION ALL SELECT 'telemetry', 'null_cells', (SELECT count(*) FILTER (WHERE machineID % 7 = 0) + count(*) FILTER (WHERE machineID % 11 = 3) FROM telemetry)
+UNION ALL SELECT 'telemetry', 'duplicate_keys', (SELECT count(*) FROM telemetry WHERE machineID % 5 = 1)
+UNION ALL SELECT 'telemetry', 'duplicate_rows', 0
+UNION ALL SELECT 'telemetry', 'unparseable_values', (SELECT count(*) FROM telemetry WHERE machineID % 13 = 2)
+UNION ALL SELECT 'telemetry', 'malformed_rows', (SELECT count(*) FROM telemetry WHERE machineID % 17 = 4)
+UNION ALL SELECT 'errors', 'duplicate_rows', (SELECT d FROM dup)
+UNION ALL SELECT 'errors', 'unlisted_categories', (SELECT count(*) FROM errors WHERE machineID % 3 = 0)
+UNION ALL SELECT 'errors', 'mixed_datetimes', (SELECT least(count(*) FILTER (WHERE machineID % 4 = 0), count(*) FILTER (WHERE machineID % 4 <> 0)) FROM errors)
+UNION ALL SELECT 'failures', 'file_exists', 1
+UNION ALL SELECT 'machines', 'duplicate_machine_ids', (SELECT count(*) FROM machines WHERE machineID % 10 = 0)
+UNION ALL SELECT 'maintenance', 'columns_match', 1""")
+def q_raw_gate_violations(spark, sf_dir):
+    """The raw gate over CSV tables with a reordered header, missing, unparseable and surplus cells, repeated keys and rows, mixed
+    datetime forms, unlisted categories, an extra column and a missing table: the violations of the rules that these faults break."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.gates import raw_gate_report
+    from sparkmend.plans.validation import read_raw_inputs
+    from sparkmend.session import scratch_path
+    t, raw = _standins(spark, sf_dir), scratch_path(spark, "broken")
+    at = F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")
+    m = F.col("machineID")
+
+    def cells(*values):
+        return F.concat_ws(",", *[v.cast("string") if not isinstance(v, str) else F.col(v).cast("string") for v in values]).alias("line")
+
+    def file(df, name, header):
+        one = df.sparkSession.createDataFrame([(header,)], "value string")
+        # a single file: the header, then the lines
+        one.withColumn("o", F.lit(0)).unionByName(df.select(F.col("line").alias("value"), F.lit(1).alias("o"))).coalesce(1) \
+            .sortWithinPartitions("o").select("value").write.mode("append").text(f"{raw}/{name}.csv")
+
+    tel = t["telemetry"]
+    volt = F.when(m % 13 == 2, F.lit("abc")).otherwise(F.col("volt").cast("string"))
+    rotate = F.when(m % 7 == 0, F.lit("NA")).otherwise(F.col("rotate").cast("string"))
+    pressure = F.when(m % 11 == 3, F.lit("")).otherwise(F.col("pressure").cast("string"))
+    vibration = F.when(m % 17 == 4, F.concat(F.col("vibration").cast("string"), F.lit(",,"))).otherwise(F.col("vibration").cast("string"))
+    file(tel.select(cells(at, m, volt, rotate, pressure, vibration)), "telemetry", "datetime,machineID,volt,rotate,pressure,vibration")
+    # some keys once more with other sensor values, in a file of another column order
+    file(tel.where(m % 5 == 1).select(cells(m, at, F.lit(-1), F.lit(-2), F.lit(-3), F.lit(-4))), "telemetry",
+         "machineID,datetime,vibration,pressure,rotate,volt")
+    e = t["errors"]
+    kind = F.when(m % 3 == 0, F.concat(F.lit("new "), "errorID")).otherwise(F.col("errorID"))
+    mixed = F.when(m % 4 == 0, F.date_format("datetime", "MM/dd/yyyy HH:mm:ss")).otherwise(at)
+    file(e.select(cells(mixed, m, kind)), "errors", "datetime,machineID,errorID")
+    mach = t["machines"]
+    file(mach.unionByName(mach.where(m % 10 == 0).withColumn("age", F.col("age") + 100)).select(cells(m, "model", "age")), "machines", "machineID,model,age")
+    file(t["maintenance"].select(cells(at, m, "comp", F.lit("x"))), "maintenance", "datetime,machineID,comp,note")
+    report = raw_gate_report(spark, read_raw_inputs(spark, raw))
+    broken = {"telemetry": ["columns_match", "null_cells", "duplicate_keys", "duplicate_rows", "unparseable_values", "malformed_rows"],
+              "errors": ["duplicate_rows", "unlisted_categories", "mixed_datetimes"], "failures": ["file_exists"],
+              "machines": ["duplicate_machine_ids"], "maintenance": ["columns_match"]}
+    wanted = [F.col("dataset").eqNullSafe(d) & F.col("rule").isin(rules) for d, rules in broken.items()]
+    keep = wanted[0]
+    for w in wanted[1:]:
+        keep = keep | w
+    return report.where(keep).select("dataset", "rule", "violations")
+
+
+_DATETIME_TEXTS = {"seconds": "yyyy-MM-dd HH:mm:ss", "minutes": "yyyy-MM-dd'T'HH:mm", "month_first": "M/d/yyyy H:mm:ss",
+                   "day_first": "d/M/yyyy H:mm:ss", "named": "d MMM yyyy HH:mm:ss"}
+
+
+@register("datetime_forms", "\nUNION ALL ".join(
+    [f"SELECT '{n}' AS texts, count(*) AS present, CAST(0 AS BIGINT) AS other, CAST(count(DISTINCT {cut}) AS BIGINT) AS moments, "
+     f"max({cut}) AS latest FROM events" for n, cut in ((n, f"date_trunc('{'minute' if n == 'minutes' else 'second'}', ts)") for n in _DATETIME_TEXTS)]
+    + ["""SELECT 'mixed', count(*), least(count(*) FILTER (WHERE event_id % 3 = 0), count(*) FILTER (WHERE event_id % 3 <> 0)),
+    CAST(count(DISTINCT date_trunc('second', ts)) FILTER (WHERE event_id % 3 <> 0) AS BIGINT), max(date_trunc('second', ts)) FILTER (WHERE event_id % 3 <> 0) FROM events"""]))
+def q_datetime_forms(spark, sf_dir):
+    """The event times as text in one form a column, and in two forms in one: values of the column's form, others, and what they parse to."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.functions.columns import datetime_votes, parse_datetime_as
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    two = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    columns = {**{n: F.date_format("ts", p) for n, p in _DATETIME_TEXTS.items()}, "mixed": two}
+    out = None
+    for name, text in columns.items():
+        rows = events.select(text.alias("datetime"))
+        vote = datetime_votes(rows).first()  # one row
+        parsed = rows.select(parse_datetime_as("datetime", vote.form, strict=False).alias("t")).agg(
+            F.countDistinct("t").alias("moments"), F.max("t").alias("latest"))
+        one = parsed.select(F.lit(name).alias("texts"), F.lit(vote.present).cast("long").alias("present"),
+                            F.lit(vote.other).cast("long").alias("other"), "moments", "latest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("csv_mixed_files", """SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN props || chr(10) || '"' || event_type || '", ' || user_id
+       ELSE props END AS note, CASE WHEN event_id % 5 = 4 THEN NULL ELSE event_type END AS kind FROM events""")
+def q_csv_mixed_files(spark, sf_dir):
+    """Events as CSV files with line breaks and quotes in values, other column orders and a missing column, read back by their own headers."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.csv import read_text_csv, write_csv
+    ev, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch_path(spark, "mixed-csv")
+    broken = F.concat(F.col("props"), F.lit("\n\""), F.col("event_type"), F.lit('", '), F.col("user_id").cast("string"))
+    rows = ev.select("event_id", "user_id", F.when(F.col("event_id") % 2 == 0, broken).otherwise(F.col("props")).alias("note"), F.col("event_type").alias("kind"))
+    orders = {0: ["event_id", "user_id", "note", "kind"], 1: ["kind", "note", "event_id", "user_id"], 4: ["user_id", "event_id", "note"]}
+    for k in range(5):
+        write_csv(rows.where(F.col("event_id") % 5 == k).select(*orders.get(k, orders[0])), path, mode="append")
+    back = read_text_csv(spark, path)
+    return back.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "note", "kind")
+
+
+@register("stage_status", f"""WITH {STANDIN_CTES},
+dups AS (
+  SELECT CASE WHEN (SELECT count(*) - count(DISTINCT (datetime, machineID, errorID)) FROM errors) > 0 THEN 'errors'
+              WHEN (SELECT count(*) - count(DISTINCT (datetime, machineID, failure)) FROM failures) > 0 THEN 'failures'
+              WHEN (SELECT count(*) - count(DISTINCT (datetime, machineID, comp)) FROM maintenance) > 0 THEN 'maintenance' END AS d)
+SELECT 'distinct' AS tables, 'Validation status: True' AS status, (SELECT count(*) FROM telemetry) AS master_rows, CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'as they are', CASE WHEN d IS NULL THEN 'Validation status: True' ELSE 'Validation status: False' END,
+       CASE WHEN d IS NULL THEN (SELECT count(*) FROM telemetry) END, 'GateError: table ' || d || ': some rows occur more than once' FROM dups
+UNION ALL SELECT 'no machines', 'Validation status: False', NULL, 'FileNotFoundError: no file for table machines'""")
+def q_stage_status(spark, sf_dir):
+    """Status text and published outputs of the validation stage over clean tables, tables with repeated rows and a missing table."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.operators.gates import GateError
+    from sparkmend.plans.master import read_master
+    from sparkmend.plans.validation import published, run_validation
+    from sparkmend.session import scratch_path
+    from sparkmend.sources.csv import write_csv
+    cases = {"distinct": _gate_ready_tables(spark, sf_dir), "as they are": _standins(spark, sf_dir)}
+    cases["no machines"] = {n: df for n, df in cases["distinct"].items() if n != "machines"}
+    out = None
+    for name, tables in cases.items():
+        raw, target = scratch_path(spark, "raw-data"), scratch_path(spark, "validation")
+        for table, df in tables.items():
+            write_csv(df, f"{raw}/{table}.csv")
+        try:
+            run_validation(spark, raw, target, csv_copy=False)
+        except (GateError, FileNotFoundError):
+            pass  # the outcome is what was published
+        last = published(spark, target)
+        rows = read_master(spark, last.master).count() if last.master else None
+        error = last.error and last.error.split(" at ")[0]
+        one = spark.read.text(f"{target}/status").select(
+            F.lit(name).alias("tables"), F.col("value").alias("status"), F.lit(rows).cast("long").alias("master_rows"),
+            F.lit(error).cast("string").alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -57,6 +57,7 @@ CONFIG = yaml.safe_dump({"data_ingestion": {"collections": C.RAW_TABLE_ORDER, "r
 
 
 def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
+    from sparkmend.plans.validation import published
     from sparkmend.sources.csv import read_text_csv
     from sparkmend.sources.documents import append_documents
     folder = write_all(write_csv)
@@ -69,7 +70,7 @@ def test_cli_run_with_config_and_schema(spark, write_csv, tmp_path, capsys):
     assert main(["run", "--collections", str(root), "--work", str(work),
                  "--config", str(tmp_path / "config.yaml"), "--schema", str(tmp_path / "schema.yaml")]) == 0
     assert os.path.isdir(work / "in/csv/telemetry.csv")
-    assert os.path.isdir(work / "out/checked/master")
+    assert os.path.isdir(work / "out/checked/runs") and published(spark, str(work / "out/checked")).validation_status
 
 
 def test_cli_train_score_retrain(spark, tmp_path, capsys):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from fixtures import TABLES, write_all
 from sparkmend import contracts as C
 from sparkmend.operators.gates import GateError
-from sparkmend.plans.validation import run_stages, run_validation
+from sparkmend.plans.master import read_master
+from sparkmend.plans.validation import published, run_stages, run_validation
 from sparkmend.sources.csv import read_text_csv
 from sparkmend.sources.documents import append_documents, ingest, read_collection
 
@@ -25,15 +26,17 @@ def test_validation_stage_writes_sorted_master_and_status(spark, write_csv, tmp_
     art = run_validation(spark, folder, out)
     assert art.validation_status is True
     assert _status(art.validation_report_path) == "Validation status: True"
-    master = spark.read.parquet(art.merged_data_path)
+    master = read_master(spark, art.merged_data_path)
     assert master.columns == C.MASTER_COLUMNS and master.count() == 5
     import pyarrow.parquet as pq
     keys = []
-    for f in sorted(glob.glob(os.path.join(art.merged_data_path, "part-*.parquet"))):
-        t = pq.read_table(f, columns=["machineID", "datetime"]).to_pylist()
+    for f in sorted(glob.glob(os.path.join(art.merged_data_path, "date=2015-01-01", "part-*.parquet"))):
+        t = pq.ParquetFile(f).read(columns=["machineID", "datetime"]).to_pylist()
         keys += [(r["machineID"], r["datetime"]) for r in t]
-    assert len(keys) == 5 and keys == sorted(keys)  # files in name order hold keys in order
-    csv_copy = read_text_csv(spark, os.path.join(out, "master_csv"))
+    assert len(keys) == 5 and keys == sorted(keys)  # a day's files in name order hold keys in order
+    last = published(spark, out)
+    assert last.validation_status and last.master == art.merged_data_path
+    csv_copy = read_text_csv(spark, last.master_csv)
     assert csv_copy.columns == C.MASTER_COLUMNS and csv_copy.count() == 5
     r = {(x.machineID, x.datetime.hour): x for x in master.collect()}
     assert r[(1, 7)].failure_comp1 == 1.0 and r[(1, 7)].failure == 1.0
@@ -49,7 +52,8 @@ def test_validation_failure_writes_false_and_raises(spark, write_csv, tmp_path):
     with pytest.raises(GateError, match="table failures: some rows occur more than once"):
         run_validation(spark, folder, out)
     assert _status(os.path.join(out, "status")) == "Validation status: False"
-    assert not os.path.exists(os.path.join(out, "master"))
+    last = published(spark, out)
+    assert not last.validation_status and last.master is None and "occur more than once" in last.error
 
 
 def test_document_scan_drops_id_and_bulk_load_appends(spark, tmp_path):
@@ -70,7 +74,7 @@ def test_ingest_then_validate_from_collections(spark, write_csv, tmp_path):
                          f"{root}/{name}")
     res = run_stages(spark, root, str(tmp_path / "work"))
     assert not res.halted and res.validation.validation_status
-    assert spark.read.parquet(res.validation.merged_data_path).count() == 5
+    assert read_master(spark, res.validation.merged_data_path).count() == 5
     ing = ingest(spark, root, str(tmp_path / "raw2"))
     assert ing.tables == tuple(C.RAW_TABLE_ORDER)
     assert read_text_csv(spark, f"{ing.raw_data_dir}/telemetry.csv").columns == C.TELEMETRY.columns
@@ -112,7 +116,7 @@ def test_exported_collection_lines_feed_the_stages(spark, tmp_path):
 def test_header_only_event_table_passes(spark, write_csv, tmp_path):
     folder = write_all(write_csv, {"errors": "datetime,machineID,errorID\n"})
     art = run_validation(spark, folder, str(tmp_path / "v"))
-    master = spark.read.parquet(art.merged_data_path)
+    master = read_master(spark, art.merged_data_path)
     assert master.count() == 5
     assert master.agg(F.sum("errorID_error1")).first()[0] == 0.0
 
@@ -148,3 +152,20 @@ def test_strict_stage_enforces_declared_types(spark, write_csv, tmp_path):
         run_validation(spark, folder, str(tmp_path / "lenient"))
     with pytest.raises(GateError, match="table machines: some values are not of the declared type"):
         run_validation(spark, folder, str(tmp_path / "strict"), strict=True)
+
+
+def test_failure_after_the_master_is_written_publishes_nothing(spark, write_csv, tmp_path, monkeypatch):
+    folder, out = write_all(write_csv), str(tmp_path / "v")
+    assert published(spark, out) is None
+    first = run_validation(spark, folder, out)
+    assert published(spark, out).master == first.merged_data_path
+
+    def fail(*_args, **_kw):
+        raise OSError("no space left")
+
+    monkeypatch.setattr("sparkmend.plans.validation.write_csv", fail)
+    with pytest.raises(OSError, match="no space left"):
+        run_validation(spark, folder, out)
+    last = published(spark, out)
+    assert not last.validation_status and last.master is None and "no space left" in last.error
+    assert _status(os.path.join(out, "status")) == "Validation status: False"
