@@ -18,13 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def discover_categories(df: DataFrame, column: str) -> list[str]:
+MAX_COLUMNS = 10_000  # categories of the wide form: each becomes a column
+
+
+def discover_categories(df: DataFrame, column: str, most: int = MAX_COLUMNS) -> list[str]:
     """Distinct non-null values of ``column``, sorted: the columns of the wide form.
 
-    They become column names, so they are needed on the driver; for columns with very many
-    values use ``category_counts``, which keeps them as rows.
+    They become column names, so they are needed on the driver. A column with more than ``most`` values is refused with
+    their number, before any more of them are brought there; ``category_counts`` keeps them as rows.
     """
-    rows = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
+    values = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = values.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {column} has {values.count()} different values, too many for columns (at most {most}); use category_counts")
     return sorted(r.v for r in rows)
 
 
