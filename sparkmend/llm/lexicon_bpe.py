@@ -42,6 +42,7 @@ from sparkmend.session import cut_lineage
 
 LEXICON_WORDS = 1 << 17
 CHUNK_POINTS = 1 << 20   # code points whose words a task holds at a time
+COUNTED_POINTS = 1 << 22  # code points whose words are counted together: more of them are the same word
 MEMO_WORDS = 1 << 17     # merged words that a process remembers
 SHORT_WORD = 40          # up to here a scan for the best pair is faster than a heap
 BUCKETS = 16             # steps of the count histogram in a doubling
@@ -289,8 +290,9 @@ def chunks(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def _word_groups(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[list[str], list[int], list[int]]]:
-    """(words, row of each chunk, words of each chunk) for groups of chunks of about ``CHUNK_POINTS`` together."""
+def _word_groups(bpe: Bpe, texts: list[str | None], most: int | None = None) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """(words, row of each chunk, words of each chunk) for groups of chunks of about ``most`` code points together (``CHUNK_POINTS``)."""
+    most = CHUNK_POINTS if most is None else most
     words, rows, sizes, points = [], [], [], 0
     for row, text in enumerate(texts):
         for part in chunks(text or ""):
@@ -299,7 +301,7 @@ def _word_groups(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[list[str],
             rows.append(row)
             sizes.append(len(got))
             points += len(part)
-            if points >= CHUNK_POINTS:
+            if points >= most:
                 yield words, rows, sizes
                 words, rows, sizes, points = [], [], [], 0
     yield words, rows, sizes
@@ -314,7 +316,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(shared.value)
         for batch in batches:
-            for words, _, _ in _word_groups(bpe, batch.column(0).to_pylist()):
+            for words, _, _ in _word_groups(bpe, batch.column(0).to_pylist(), COUNTED_POINTS):
                 codes, distinct = pd.factorize(np.array(words, object))
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.tolist(), pa.string()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], ["word", "n"])
 
