@@ -82,9 +82,25 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``cut_lineage`` tables that no later step reads. Files outside the checkpoint folder stay.
+
+    A Spark Connect session has no file system access here: its files stay for the retention of that folder.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        if getattr(spark, "_jvm", None) is None:
+            continue
+        base = local_path(ensure_checkpoint_dir(spark)).rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            if base in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python can look at a local checkpoint path."""
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "release", "local_path"]
