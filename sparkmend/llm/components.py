@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmend.llm.common import compact
-from sparkmend.session import cut_lineage
+from sparkmend.session import cut_lineage, release
 
 
 def _contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,10 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         parts = -(-before[0] // PART_EDGES)
+        last = now
         if parts == 1:
             now = cut_lineage(local(now, 1), "edges")
+            release(last)
             break
         now = cut_lineage(compact(_small_star(_large_star(local(now, parts)))), "edges")
+        release(last)
         after = mark(now)
         if after == before:
             break

@@ -7,7 +7,9 @@
    values are a region; a class's candidates are its ``NEAR`` next neighbours in the order, those with the
    longest common prefix: the depth adapts to how dense the region is, and the work stays linear.
 3. Candidates are compared by signature (cut off well below the threshold), then confirmed on the full sets: first
-   the best candidate of each class, then all of those that would join two components.
+   the best candidate of each class. Then the forest of the classes that have candidates is sorted again with their
+   components: neighbours of one component are no candidates any more. In ``WAVES`` passes each class's longest common
+   prefix with another component is confirmed, in a last one all that are left.
 4. Regions larger than the neighbourhood whose classes are still in several components are finished exactly: the classes
    outside the region's largest component are compared with all of the region, in blocks of packed, longer
    signatures, and what passes is confirmed on full sets in the same way. So no cap on neighbours loses a link.
@@ -28,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmend.llm.common import compact, small_batches
 from sparkmend.llm.components import components
 from sparkmend.llm.text_arrays import Batch, batches, mixed
-from sparkmend.session import cut_lineage
+from sparkmend.session import cut_lineage, release
 
 DEPTH, TREES = 5, 32
 NEAR = 2
 MARGIN = 0.14  # 4.4 standard deviations of a 160-value estimate at 0.8
-LONG_VALUES, LONG_MARGIN = 1536, 0.045  # the same for regions that are finished pair by pair
+WAVES = 2
+LONG_VALUES, LONG_MARGIN = 2048, 0.059  # the same (one bit a value) for regions that are finished pair by pair
 BLOCK = 64
 BATCH_BYTES = 1_000_000
 
@@ -125,9 +128,12 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
 FOREST_OUT = "kind int, tree int, band binary, a binary, b binary, common int"
 
 
-def _neighbours(band_bytes: int, near: int):
+def _neighbours(band_bytes: int, near: int, comps: bool):
     """Over one range of a sorted forest: pairs of near neighbours (kind 0), the range's first and last
-    rows (kind 1), and the members of regions too large for the neighbourhood (kind 2)."""
+    rows (kind 1), and the members of regions too large for the neighbourhood (kind 2).
+
+    ``comps``: rows carry their component; only pairs of different components come out, and no members.
+    """
     def emit(kind, tree, key, a, b=None, common=None):
         n = len(tree)
         flat = lambda m: pa.array([bytes(r) for r in m], pa.binary())
@@ -137,26 +143,30 @@ def _neighbours(band_bytes: int, near: int):
             names=["kind", "tree", "band", "a", "b", "common"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, node, fresh = None, None, None, 0
+        tree, key, node, comp, fresh = None, None, None, None, 0
         head = []
         for p in parts:
             t, k, v = p.column(0).to_numpy(zero_copy_only=False), _fixed(p.column(1), 16), _fixed(p.column(2), 16)
+            c = _fixed(p.column(3), 16) if comps else v
             if not len(t):
                 continue
             if tree is None:
-                tree, key, node, fresh = t, k, v, 0
+                tree, key, node, comp, fresh = t, k, v, c, 0
             else:
                 tail = slice(max(0, len(tree) - near - 1), None)
                 fresh = len(tree[tail])
-                tree, key, node = (np.concatenate([x[tail], y]) for x, y in ((tree, t), (key, k), (node, v)))
+                tree, key, node, comp = (np.concatenate([x[tail], y]) for x, y in ((tree, t), (key, k), (node, v), (comp, c)))
+            rows = (tree, key, node, comp)
             if len(head) == 0 or len(head[0]) < near + 1:
-                first = [x[:near + 1] for x in (tree, key, node)]
-                head = first if fresh == 0 else [np.concatenate([h, x[fresh:]])[:near + 1] for h, x in zip(head, (tree, key, node))]
-            for step in range(1, near + 2):
+                first = [x[:near + 1] for x in rows]
+                head = first if fresh == 0 else [np.concatenate([h, x[fresh:]])[:near + 1] for h, x in zip(head, rows)]
+            for step in range(1, near + (1 if comps else 2)):
                 if len(tree) <= step:
                     break
                 same = (tree[step:] == tree[:-step]) & (key[step:, :band_bytes] == key[:-step, :band_bytes]).all(1)
                 same &= np.arange(step, len(tree)) >= fresh
+                if comps:
+                    same &= (comp[step:] != comp[:-step]).any(1)
                 i = np.flatnonzero(same)
                 if not len(i):
                     continue
@@ -169,34 +179,40 @@ def _neighbours(band_bytes: int, near: int):
                     yield emit(2, tree[j], key[j, :band_bytes], node[j])
         if tree is not None:
             tail = slice(max(0, len(tree) - near - 1), None)
-            for t, k, v in (head, (tree[tail], key[tail], node[tail])):
-                yield emit(1, t, k, v)
+            for t, k, v, c in (head, (tree[tail], key[tail], node[tail], comp[tail])):
+                yield emit(1, t, k, v, c)
     return run
 
 
-def forest(classes: DataFrame, depth: int, trees: int, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (``a, b, common``) and members of large regions (``tree, band, node``)."""
+def forest(classes: DataFrame, depth: int, trees: int, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (``a, b, common``), members of large regions (``tree, band, node``), and the table that both read.
+
+    With a column ``comp`` only pairs of different components are candidates, and there are no regions.
+    """
     width = 2 * depth
-    rows = classes.select("node", F.concat("sig", "sig").alias("s")).select(
-        "node", "s", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(s, tree * {width} + 1, 16)").alias("key"), "node")
+    comp = ["comp"] if "comp" in classes.columns else []
+    rows = classes.select("node", *comp, F.concat("sig", "sig").alias("s")).select(
+        "node", *comp, "s", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = rows.select("tree", F.expr(f"substring(s, tree * {width} + 1, 16)").alias("key"), "node", *comp)
     spark = classes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = _kept(order.mapInArrow(_neighbours(width, near), FOREST_OUT), "forest")
+    found = _kept(order.mapInArrow(_neighbours(width, near, bool(comp)), FOREST_OUT), "forest")
     pairs = found.where("kind = 0").select("a", "b", "common")
     # regions that cross the border of two ranges: a few rows a range
-    borders = found.where("kind = 1").select("tree", "band", F.col("a").alias("node")).distinct()
-    along = Window.orderBy("tree", "band", "node")
+    borders = found.where("kind = 1").select(
+        "tree", F.col("band").alias("key"), F.substring("band", 1, width).alias("band"), F.col("a").alias("node"),
+        F.col("b").alias("comp")).distinct()
+    along = Window.orderBy("tree", "key", "node")
     for step in range(1, near + 2):
-        nxt = borders.select("tree", "band", F.col("node").alias("a"), F.lead("node", step).over(along).alias("b"),
-                             F.lead("band", step).over(along).alias("band2"), F.lead("tree", step).over(along).alias("tree2"))
-        pairs = pairs.union(nxt.where("band = band2 and tree = tree2").select("a", "b", F.lit(depth).alias("common")))
-    edge = borders.withColumnRenamed("band", "key").select("tree", F.substring("key", 1, width).alias("band"), "node")
+        nxt = borders.select("tree", "band", F.col("node").alias("a"), "comp", *[
+            F.lead(c, step).over(along).alias(n) for c, n in (("node", "b"), ("band", "band2"), ("tree", "tree2"), ("comp", "comp2"))])
+        pairs = pairs.union(nxt.where("band = band2 and tree = tree2 and comp <> comp2").select("a", "b", F.lit(depth).alias("common")))
+    edge = borders.select("tree", "band", "node")
     large = found.where("kind = 2").select("tree", "band", F.col("a").alias("node")).union(edge).distinct()
     pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.max("common").alias("common"))
-    return pairs, large
+    return pairs, large, found
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float, margin: float = MARGIN) -> DataFrame:
@@ -242,21 +258,26 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb"))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The best remaining pair of each node."""
-    ends = pairs.select("a", F.struct("est", "a", "b").alias("p")).union(
-        pairs.select("b", F.struct("est", "a", "b").alias("p")))
+def _best(pairs: DataFrame, *by: Column | str) -> DataFrame:
+    """The best pair of each node by the given order."""
+    p = F.struct(*by, "a", "b").alias("p")
+    ends = pairs.select("a", p).union(pairs.select("b", p))
     return ends.groupBy("a").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
+def _with_components(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Add ``comp``, the component so far (a class that has no link is its own)."""
+    return classes.join(roots.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def _sketched(sets: DataFrame, values: int) -> DataFrame:
-    """A longer signature (8 bits a value) of each set."""
+    """A longer signature (one bit a value) of each set."""
     a, b = _permutations(values)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"node": p["node"], "long_sig": [
-                (signature(np.frombuffer(x, "uint64"), a, b) & 255).astype("uint8").tobytes() for x in p["items"]]})
+                np.packbits(signature(np.frombuffer(x, "uint64"), a, b) >> 15).tobytes() for x in p["items"]]})
     return sets.mapInPandas(run, "node binary, long_sig binary")
 
 
@@ -288,7 +309,7 @@ def _block_pairs(threshold: float, margin: float, depth: int, best: bool):
             for r in p.itertuples(index=False):
                 tree = r.tree
                 x, y = (matrix(c, "uint16").reshape(len(c), -1, depth) for c in (r.sig, r.sig2))
-                lx, ly = matrix(r.long_sig, "uint8"), matrix(r.long_sig2, "uint8")
+                lx, ly = matrix(r.long_sig, "uint64"), matrix(r.long_sig2, "uint64")
                 size, names = np.asarray(r.n_shingles2), [bytes(v) for v in r.node2]
                 number = {c: k for k, c in enumerate({bytes(v) for v in (*r.comp, *r.comp2)})}
                 own, comps = ([number[bytes(v)] for v in c] for c in (r.comp, r.comp2))
@@ -298,7 +319,8 @@ def _block_pairs(threshold: float, margin: float, depth: int, best: bool):
                     j = np.flatnonzero((np.minimum(size, n) >= threshold * np.maximum(size, n)) & (comps != own[i]))
                     if tree:
                         j = j[~(y[j, :tree] == x[i, :tree]).all(axis=2).any(axis=1)]
-                    alike = (ly[j] == lx[i]).mean(axis=1)
+                    # half of the values that differ have the same bit
+                    alike = 1 - np.bitwise_count(ly[j] ^ lx[i]).sum(axis=1) * (2 / LONG_VALUES)
                     j, alike = j[alike >= threshold - margin], alike[alike >= threshold - margin]
                     if best and len(j):
                         up = np.argsort(alike, kind="stable")
@@ -322,37 +344,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     classes = _kept(sigs.where("node is not null").groupBy("node").agg(
         F.min(key).alias("least"), F.min("__k").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig")), "classes")
-    pairs, large = forest(classes, depth, trees, near)
+    pairs, large, found = forest(classes, depth, trees, near)
     pairs = _kept(estimated(pairs, classes, threshold), "pairs")
     large = _kept(large, "regions")
+    release(found)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    sets = _sets_of(keyed, classes.join(nodes, "node").select("node", F.col("rep").alias("__k")), text, shingle)
-
-    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    links, roots = _linked(pairs, links, links.toDF("node", "root"), sets, percent)
-    side = _kept(classes.select("node", "n_shingles", "sig").join(
+    some = _kept(classes.join(nodes, "node"), "candidates")
+    sets = _sets_of(keyed, some.select("node", F.col("rep").alias("__k")), text, shingle)
+
+    roots = _linked(_best(pairs, "est"), None, sets, percent)
+    release(pairs)
+    for wave in range(WAVES + 1):
+        # pairs of different components only: their number falls with the components, it isn't that of all near pairs
+        pairs, _, found = forest(_with_components(some, roots), depth, trees, near)
+        if wave < WAVES:
+            pairs = _best(pairs, "common", F.xxhash64("a", "b", F.lit(wave)).alias("turn"))
+        roots = _linked(estimated(pairs, some, threshold), roots, sets, percent)
+        release(found)
+    side = _kept(some.select("node", "n_shingles", "sig").join(
         _sketched(sets.join(large.select("node").distinct(), "node", "left_semi"), LONG_VALUES), "node"), "sketches")
     for best in (True, False):
-        members = large.join(roots.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        outside, everyone = _packed_blocks(_kept(members, "members"), side)
+        members = _kept(_with_components(large, roots), "members")
+        outside, everyone = _packed_blocks(members, side)
         fields = ("node", "comp", "n_shingles", "sig", "long_sig")
         rest = (outside.select("tree", "band", *[F.col(f"rows.{f}").alias(f) for f in fields])
                 .join(everyone.select("tree", "band", *[F.col(f"rows.{f}").alias(f + "2") for f in fields]), ["tree", "band"])
                 .drop("band")
                 .mapInPandas(_block_pairs(threshold, LONG_MARGIN, depth, best), "a binary, b binary, est double"))
-        rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est"))
-        links, roots = _linked(_kept(rest, "rest"), links, roots, sets, percent, rounds=1 if best else 2)
+        rest = _kept(rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est")), "rest")
+        roots = _linked(_best(rest, "est"), roots, sets, percent)
+        if not best:
+            roots = _linked(_across(rest, roots), roots, sets, percent)
+        release(members, rest)
     return _labelled(sigs, classes, roots, key)
 
 
-def _linked(pairs: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
-            rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Confirm pairs (``a, b, est``): the best of each node, then all that are still in two components. Links and components."""
-    for pick in (_best, lambda p: p)[:rounds]:
-        new = _kept(confirmed(pick(_across(pairs, roots)), sets, percent), "links")
-        links = links.union(new)
-        roots = components(links)
-    return links, roots
+def _linked(pairs: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """The components (``node, root``) after the pairs that the full sets confirm; ``roots``: those before."""
+    links = confirmed(pairs, sets, percent)
+    return components(links if roots is None else roots.toDF("a", "b").union(links))
 
 
 def _sets_of(keyed: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
