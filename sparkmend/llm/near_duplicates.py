@@ -7,9 +7,9 @@
    values are a region; a class's candidates are its ``NEAR`` next neighbours in the order, those with the
    longest common prefix: the depth adapts to how dense the region is, and the work stays linear.
 3. Candidates are compared by signature (cut off well below the threshold), then confirmed on the full sets: first
-   the best candidate of each class. Then the forest of the classes that have candidates is sorted again with their
-   components: neighbours of one component are no candidates any more. In ``WAVES`` passes each class's longest common
-   prefix with another component is confirmed, in a last one all that are left.
+   the one of the longest common prefix of each class. Then the forest of the classes that have candidates is sorted
+   again with their components, ``WAVES`` times: neighbours of one component are no candidates any more. In the last
+   wave all candidates that are left are compared, in those before it the longest common prefix of each class.
 4. Regions larger than the neighbourhood whose classes are still in several components are finished exactly: the classes
    outside the region's largest component are compared with all of the region, in blocks of packed, longer
    signatures, and what passes is confirmed on full sets in the same way. So no cap on neighbours loses a link.
@@ -42,7 +42,7 @@ DEPTH, TREES = 5, 32
 NEAR = 2
 MARGIN = 0.14  # 4.4 standard deviations of a 160-value estimate at 0.8
 WAVES = 2
-LONG_VALUES, LONG_MARGIN = 2048, 0.059  # the same (one bit a value) for regions that are finished pair by pair
+LONG_VALUES, LONG_MARGIN = 8192, 0.03  # the same (one bit a value) for regions that are finished pair by pair
 BLOCK = 64
 BATCH_BYTES = 1_000_000
 
@@ -281,17 +281,20 @@ def _sketched(sets: DataFrame, values: int) -> DataFrame:
     return sets.mapInPandas(run, "node binary, long_sig binary")
 
 
-def _packed_blocks(members: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks of the classes outside each region's largest component, blocks of all its classes)."""
+def _open_regions(members: DataFrame) -> DataFrame:
+    """Members of the regions that hold several components, with the region's size ``all`` and its largest component ``main``."""
     at = ["tree", "band"]
     sizes = members.groupBy(*at, "comp").agg(F.count("*").alias("n"))
     top = sizes.groupBy(*at).agg(F.sum("n").alias("all"), F.count("*").alias("comps"),
                                  F.max(F.struct("n", "comp")).alias("m")).where("comps > 1")
-    rows = members.join(top.select(*at, "all", F.col("m.comp").alias("main")), at).join(side, "node")
+    return members.join(top.select(*at, "all", F.col("m.comp").alias("main")), at)
+
 
+def _packed_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks of the classes outside each region's largest component, blocks of all its classes)."""
     def packed(r: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK).cast("long"))
-        return r.groupBy(*at, salt.alias("salt")).agg(F.collect_list(
+        return r.groupBy("tree", "band", salt.alias("salt")).agg(F.collect_list(
             F.struct("node", "comp", "n_shingles", "sig", "long_sig")).alias("rows"))
     return packed(rows.where("comp <> main")), packed(rows)
 
@@ -345,27 +348,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         F.min(key).alias("least"), F.min("__k").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("sig").alias("sig")), "classes")
     pairs, large, found = forest(classes, depth, trees, near)
-    pairs = _kept(estimated(pairs, classes, threshold), "pairs")
-    large = _kept(large, "regions")
+    pairs, large = _kept(pairs, "pairs"), _kept(large, "regions")
     release(found)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     some = _kept(classes.join(nodes, "node"), "candidates")
     sets = _sets_of(keyed, some.select("node", F.col("rep").alias("__k")), text, shingle)
 
-    roots = _linked(_best(pairs, "est"), None, sets, percent)
+    def closest(p: DataFrame, wave: int) -> DataFrame:
+        return _best(p, "common", F.xxhash64("a", "b", F.lit(wave)).alias("turn"))
+
+    roots = _linked(estimated(closest(pairs, 0), some, threshold), None, sets, percent)
     release(pairs)
-    for wave in range(WAVES + 1):
+    for wave in range(1, WAVES + 1):
         # pairs of different components only: their number falls with the components, it isn't that of all near pairs
         pairs, _, found = forest(_with_components(some, roots), depth, trees, near)
-        if wave < WAVES:
-            pairs = _best(pairs, "common", F.xxhash64("a", "b", F.lit(wave)).alias("turn"))
-        roots = _linked(estimated(pairs, some, threshold), roots, sets, percent)
+        roots = _linked(estimated(pairs if wave == WAVES else closest(pairs, wave), some, threshold), roots, sets, percent)
         release(found)
-    side = _kept(some.select("node", "n_shingles", "sig").join(
-        _sketched(sets.join(large.select("node").distinct(), "node", "left_semi"), LONG_VALUES), "node"), "sketches")
+    side = None
     for best in (True, False):
-        members = _kept(_with_components(large, roots), "members")
-        outside, everyone = _packed_blocks(members, side)
+        members = _kept(_open_regions(_with_components(large, roots)), "members")
+        if side is None:  # the regions that are open later are among these
+            side = _kept(some.select("node", "n_shingles", "sig").join(
+                _sketched(sets.join(members.select("node").distinct(), "node", "left_semi"), LONG_VALUES), "node"), "sketches")
+        outside, everyone = _packed_blocks(members.join(side, "node"))
         fields = ("node", "comp", "n_shingles", "sig", "long_sig")
         rest = (outside.select("tree", "band", *[F.col(f"rows.{f}").alias(f) for f in fields])
                 .join(everyone.select("tree", "band", *[F.col(f"rows.{f}").alias(f + "2") for f in fields]), ["tree", "band"])
