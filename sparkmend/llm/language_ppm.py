@@ -8,10 +8,11 @@ shortest code. The trees are compiled into tables: for each known (context, byte
 in every language with all its escapes resolved, and for each known context its escapes; most bytes of a
 text need a single lookup.
 
-Counts are gathered by Spark from the learning rows: at most ``rows_per_language`` rows a
-language, those of smallest id hash (a documented bound). A (context, byte) pair is kept from two occurrences
-on, and from 1 / ``max_nodes`` of all occurrences of its order on, so that at most ``max_nodes`` pairs of an order
-can be kept whatever the input; that bounds the broadcast. Texts are judged where they are, without a shuffle.
+Counts are gathered by Spark from the learning rows: at most ``rows_per_language`` different texts a
+language, those of smallest hash (a documented bound); a text that many rows hold is learned once. A (context, byte) pair
+is kept from two occurrences on. Each language has an equal share of ``max_nodes`` pairs of an order: a pair must reach 1 / share of
+its own language's occurrences of the order, so at most ``max_nodes`` pairs of an order are kept whatever the input (that
+bounds the broadcast), and a rare language keeps its deep contexts beside a large one. Texts are judged where they are, without a shuffle.
 
 Cases: NULL texts and texts without a letter are ``und`` with score 0, as is every text when nothing can be
 learned; ties go to the first language in code-point order; NULL languages are not learned; repeated
@@ -30,12 +31,18 @@ from pyspark.sql import functions as F
 
 from sparkmend.llm.common import small_batches
 from sparkmend.llm.text_arrays import HashIndex, batches
+from sparkmend.session import cut_lineage, release
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 1500
 MAX_NODES = 1 << 19
 BATCH_BYTES = 2_000_000
 UNKNOWN = "und"
+# kinds of bytes: 0 white space, 1 letter, 2 sign that plain words don't hold, 3 any other
+_KINDS = np.full(256, 3, "uint8")
+_KINDS[[0x20, *range(0x09, 0x0E)]] = 0
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 1
+_KINDS[list(b"0123456789@/=_\\")] = 2
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -58,6 +65,23 @@ def _batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, start, depth
 
 
+def _plain_words(data: np.ndarray, start: np.ndarray, logs: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: code length in bits of the letters (a-z and all beyond ASCII) of its plain words, and their number of bytes.
+
+    Plain words have no digits or signs of addresses and keys. Each word costs what it costs in its best language,
+    so a text of several learned languages costs no more than others. The first ``skip`` bytes don't count.
+    """
+    kind = _KINDS[data]
+    begins = kind == 0
+    begins[start] = True
+    first = np.flatnonzero(begins)
+    counted = (kind == 1) & ~np.repeat(np.maximum.reduceat(kind == 2, first), np.diff(np.append(first, len(data))))
+    counted[:skip] = False
+    cost = np.add.reduceat(logs * counted[:, None], first, axis=0, dtype="float64").max(axis=1)
+    return (-np.add.reduceat(cost, np.searchsorted(first, start)) / np.log(2),
+            np.add.reduceat(counted, start, dtype="int64"))
+
+
 @dataclass
 class Model:
     """Languages and, by order, their compiled tables (rows: known pairs or contexts; columns: languages)."""
@@ -99,30 +123,38 @@ class Model:
         out[todo] += self.base[data[todo]]
         return out
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (posterior under equal priors) of each text."""
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: language, score (posterior under equal priors), and code length (bits) and letter bytes of its plain words."""
         found = [UNKNOWN] * len(texts)
-        score = np.zeros(len(texts))
+        score, bits, letters = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), "int64")
         use = [i for i, t in enumerate(texts) if t and any(ch.isalpha() for ch in t)] if self.languages else []
         if not use:
-            return found, score
+            return found, score, bits, letters
         raw = [texts[i].lower().encode() for i in use]
         sizes = np.array([len(r) for r in raw])
         for lo, hi in batches(sizes, BATCH_BYTES):
             if sizes[lo] > BATCH_BYTES:  # one very long text: in slices that overlap by a context
-                total = np.zeros((1, len(self.languages)))
+                total, plain, many = np.zeros((1, len(self.languages))), np.zeros(1), np.zeros(1, "int64")
                 for a in range(0, len(raw[lo]), BATCH_BYTES):
                     head = min(a, ORDER)
                     data, _, depth = _batch([raw[lo][a - head:a + BATCH_BYTES]])
-                    total += self.log_probabilities(data, depth)[head:].sum(0, dtype="float64")
+                    logs = self.log_probabilities(data, depth)
+                    total += logs[head:].sum(0, dtype="float64")
+                    cost, n = _plain_words(data, np.zeros(1, "int64"), logs, head)
+                    plain += cost
+                    many += n
             else:
                 data, start, depth = _batch(raw[lo:hi])
-                total = np.add.reduceat(self.log_probabilities(data, depth), start, axis=0, dtype="float64")
+                logs = self.log_probabilities(data, depth)
+                total = np.add.reduceat(logs, start, axis=0, dtype="float64")
+                plain, many = _plain_words(data, start, logs)
             best = total.argmax(1)
             for j, (b, row) in enumerate(zip(best, total)):
-                found[use[lo + j]] = self.languages[b]
-                score[use[lo + j]] = 1.0 / np.exp(np.maximum(row - row[b], -700)).sum()
-        return found, np.clip(score, 0.0, 1.0)
+                i = use[lo + j]
+                found[i] = self.languages[b]
+                score[i] = 1.0 / np.exp(np.maximum(row - row[b], -700)).sum()
+                bits[i], letters[i] = plain[j], many[j]
+        return found, np.clip(score, 0.0, 1.0), bits, letters
 
 
 def compile_model(languages: list[str], order: np.ndarray, code: np.ndarray, language: np.ndarray,
@@ -171,41 +203,85 @@ def gram_counts(texts: DataFrame, text: str, language: str) -> DataFrame:
     return counted.groupBy("language", "gram_order", "code").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", language: str = "lang",
+def sampled(rows: DataFrame, text: str, language: str, many: int) -> DataFrame:
+    """``text, language`` of the ``many`` different texts of smallest hash in each language, each once however often it occurs.
+
+    The hash is cut by its magnitude first: the number of different hashes up to each power of two (a sketch, at most 64
+    rows a language) tells which powers hold enough, so only about twice ``many`` hashes of a language are ranked.
+    """
+    h = F.col("__h")
+    hashed = rows.select(F.col(text).alias("__text"), F.col(language).alias("__language"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("__h"))
+    level = F.length(F.bin(h))
+    levels = hashed.groupBy("__language", level.alias("level")).agg(F.approx_count_distinct("__h").alias("n"))
+    upward = Window.partitionBy("__language").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    # the levels before the one that brings 1.25 x many (the sketch errs by 5%), and that one
+    top = (levels.withColumn("below", F.coalesce(F.sum("n").over(upward), F.lit(0))).where(F.col("below") < 1.25 * many)
+           .groupBy("__language").agg(F.max("level").alias("top")))
+    first = Window.partitionBy("__language").orderBy("__h")
+    chosen = (hashed.select("__language", "__h").join(top, "__language").where(level <= F.col("top")).select("__language", "__h").distinct()
+              .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= many).select("__language", "__h"))
+    # chosen: at most ``many`` rows a language
+    return (hashed.join(F.broadcast(chosen), ["__language", "__h"], "left_semi").groupBy("__language", "__h")
+            .agg(F.min("__text").alias(text)).select(text, F.col("__language").alias(language)))
+
+
+def learn(docs: DataFrame, *, text: str = "text", language: str = "lang",
           allowed: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, max_nodes: int = MAX_NODES) -> Model:
     """Context trees of every language among the ``allowed`` rows with a text and a language."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(language).isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
-    first = Window.partitionBy(language).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    # only ids are ranked; the rank filter keeps rows_per_language rows a language in each task already
-    chosen = (rows.select(key, language).withColumn("__rank", F.row_number().over(first))
-              .where(F.col("__rank") <= rows_per_language).select(key, language).distinct())
-    # chosen: at most rows_per_language rows a language
-    texts = rows.select(key, text, language).join(F.broadcast(chosen), [key, language], "left_semi")
-    counts = gram_counts(texts, text, language).where("n >= 2 or gram_order = 0")
-    totals = counts.groupBy("gram_order").agg(F.sum("n").alias("of_order"))
-    kept = counts.join(F.broadcast(totals), "gram_order").where(F.col("n") * max_nodes >= F.col("of_order"))
+    counts = cut_lineage(gram_counts(sampled(rows, text, language, rows_per_language), text, language).where(
+        "n >= 2 or gram_order = 0"), "grams")
+    totals = counts.groupBy("language", "gram_order").agg(F.sum("n").alias("of_order")).withColumn(
+        "languages", F.count("*").over(Window.partitionBy("gram_order")))
+    kept = counts.join(F.broadcast(totals), ["language", "gram_order"]).where(
+        F.col("n") * max_nodes >= F.col("of_order") * F.col("languages"))
     # at most max_nodes pairs an order: bounded for the driver
     got = kept.select("language", "gram_order", "code", "n").toPandas().sort_values(
         ["language", "gram_order", "code"], kind="stable")
+    release(counts)
     languages = sorted(got.language.unique())
     number = {x: i for i, x in enumerate(languages)}
     return compile_model(languages, got.gram_order.to_numpy(), got.code.to_numpy("uint64"),
                          got.language.map(number).to_numpy("int64"), got.n.to_numpy("float64"))
 
 
+def usual_bits(docs: DataFrame, model: Model, *, text: str = "text", language: str = "lang",
+               rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, float]:
+    """Median code length of each language, in bits a letter byte, over texts that the model names rightly; meant for rows that it
+    has not learned (a bounded sample by hash: ``rows_per_language``)."""
+    rows = docs.where(F.col(text).isNotNull() & F.col(language).isNotNull())
+    known = identify(sampled(rows, text, language, rows_per_language), model, text=text)
+    known = known.where((F.col("lang_pred") == F.col(language)) & (F.col("letter_bytes") > 0))
+    # one row a language
+    return {r.lang_pred: r.usual for r in known.groupBy("lang_pred").agg(
+        F.median(F.col("letter_bits") / F.col("letter_bytes")).alias("usual")).collect()}
+
+
+def foreign(usual: dict[str, float], *, times: float = 3.0, excess: float = 640.0) -> Column:
+    """Whether a text is of no learned language: its plain words cost more than ``times`` the usual code length of its
+    language, and at least ``excess`` bits more than usual in sum (short texts don't tell; without a usual length none is foreign)."""
+    expected = F.lit(None).cast("double")
+    for name, bits in usual.items():
+        expected = F.when(F.col("lang_pred") == name, F.col("letter_bytes") * bits).otherwise(expected)
+    return F.coalesce((F.col("letter_bits") > times * expected) & (F.col("letter_bits") - expected > excess), F.lit(False))
+
+
+RESULT = {"lang_pred": "string", "score": "double", "letter_bits": "double", "letter_bytes": "long"}
+
+
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) to every row."""
+    """Add ``lang_pred``, ``score`` (0 to 1), ``letter_bits`` and ``letter_bytes`` (code length of the plain words; 0 for ``und``) to every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf(", ".join(f"{c} {t}" for c, t in RESULT.items()))
     def judged(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in column:
-            found, score = shared.value.judge(list(texts))
-            yield pd.DataFrame({"lang_pred": pd.Series(found, dtype="object"), "score": score})
+            found, *numbers = shared.value.judge(list(texts))
+            yield pd.DataFrame(dict(zip(RESULT, (pd.Series(found, dtype="object"), *numbers))))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__lang", judged(F.col(text))).select(*kept, "__lang.lang_pred", "__lang.score")
+    kept = [c for c in docs.columns if c not in RESULT]
+    return docs.withColumn("__lang", judged(F.col(text))).select(*kept, *[f"__lang.{c}" for c in RESULT])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +74,51 @@ def test_held_out_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_a_text_is_learned_once_and_the_sample_is_bounded(spark):
+    rows = [(i, f"text number {i} of many", "en") for i in range(400)] + [(7, "always the same", "en")] * 500 + [(9, "la maison", "fr")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.lang, r.text) for r in L.sampled(df, "text", "lang", 50).collect())
+    assert set(got.values()) == {1}
+    assert Counter(lang for lang, _ in got) == {"en": 50, "fr": 1}
+    hashes = {r.text: r.h for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).distinct().collect()}
+    want = sorted((t for t in hashes if t != "la maison"), key=hashes.get)[:50]
+    assert {t for lang, t in got if lang == "en"} == set(want)
+    everything = L.sampled(df, "text", "lang", 1000).count()
+    assert everything == 402
+
+
+def test_rare_language_keeps_deep_contexts(spark):
+    """A language that is a hundredth of the rows keeps its share of the nodes beside a large one."""
+    rng = random.Random(8)
+    large = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(400)) for _ in range(300)]
+    rows = [(i, t, "xx") for i, t in enumerate(large)] + [(1000 + i, "la maison est grande " * 5, "fr") for i in range(3)]
+    df = spark.createDataFrame([(i, t + str(i), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = L.learn(df, max_nodes=400)
+    fr = model.languages.index("fr")
+    deep = int.from_bytes(b"maiso", "big")
+    keys, table = model.pairs[3]
+    assert deep in keys.tolist() and table[keys.tolist().index(deep), fr] > math.log(0.5)
+    for keys, _ in model.pairs:
+        assert len(keys) <= 400
+
+
+def test_code_length_of_plain_words(spark):
+    """Letter bytes and their code length, against one text at a time; long texts in slices count alike."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    model = L.learn(docs)
+    texts = [r.text for r in docs.select("text").limit(40).collect()] + ["Key = a1b2c3 mail@x.org la casa", "123 e"]
+    _, _, bits, letters = model.judge(texts)
+    for t, b, n in zip(texts, bits, letters):
+        words = re.split(r"[ \t\n\x0b\x0c\r]", t.lower())
+        plain = [w for w in words if not re.search(r"[0-9@/=_\\]", w)]
+        assert n == sum(len(re.sub(rb"[\x00-\x60\x7b-\x7f]", b"", w.encode())) for w in plain)
+        one = model.judge([t])
+        assert abs(one[2][0] - b) < 1e-2 * max(1, b) and one[3][0] == n
+    long = "la casa es grande y bonita " * 100_000
+    found, _, bits, letters = model.judge([long])
+    assert letters[0] == 21 * 100_000 and bits[0] > 0
+
+
 def test_odd_rows(spark):
     rows = [(1, "la maison est la", "fr"), (2, "la maison est la", "fr"), (3, "the house is the", "en"), (4, None, "en"),
             (5, "", "fr"), (6, "12 !!", None), (7, "the house", None), (7, "the house", None), (8, "la " * 900_000, None)]
