@@ -6,7 +6,8 @@ Start, transition and feature probabilities are counted from labelled conversati
 numbers). Viterbi finds the likeliest states, so a turn without a marker, or a marker word inside a text, is put right by
 what stands around it. Each line is then rendered in a canonical form (``<|role|>`` before a turn, ``<|end|>`` after it).
 
-A transcript may be of any length, one may hold a third of all lines. Its lines are cut into chunks of ``CHUNK_TURNS`` turns; the
+A transcript may be of any length, one may hold a third of all lines, and so may one turn. All lines are numbered in order and cut into
+chunks of at most ``CHUNK_LINES`` lines of one transcript, whatever the turns are; the
 best scores from each state before a chunk to each state at its end are a max-plus matrix, and such matrices compose. They
 are composed over chunks, then over groups of ``GROUP_CHUNKS`` chunks; then the boundary states of the best path
 go down the same two levels, and every chunk is decoded on its own between its two boundary states.
@@ -27,11 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmend.llm.common import small_batches
+from sparkmend.operators.sort import with_position
 from sparkmend.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role begins a turn of the role, 2 * role + 1 goes on in it
-CHUNK_TURNS, GROUP_CHUNKS = 64, 1024
+CHUNK_LINES, GROUP_CHUNKS = 256, 1024
+LINES_A_TASK = 16_384
 
 # The names that speaker markers use, by role.
 MARKER_NAMES = {
@@ -150,13 +153,17 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
     """``conv, turn, same, line, content, state`` of every line, on the likeliest path of its transcript."""
     small_batches(rows.sparkSession)
     at = ["conv", "grp", "chunk"]
-    chunk = F.floor(F.col("turn") / CHUNK_TURNS).cast("long")
-    first = rows.groupBy("conv").agg(F.min(chunk).alias("first"))
+    rows = rows.select("conv", "turn", "same", "line", "content", F.monotonically_increasing_id().alias("tie"))
+    # lines are short rows that take long in Python: the number of tasks follows the lines, not the bytes
+    tasks = max(1, -(-rows.count() // LINES_A_TASK))
+    rows = with_position(rows, ["conv", "turn", "same", "line", "tie"], "number", tasks)
+    rows = rows.withColumn("chunk", F.floor(F.col("number") / CHUNK_LINES).cast("long"))
+    first = rows.groupBy("conv").agg(F.min("chunk").alias("first"))
     seen = F.array(*[c.cast("int") for c in features(F.col("content")).values()])
-    packed = (rows.withColumn("chunk", chunk).withColumn("grp", F.floor(F.col("chunk") / GROUP_CHUNKS).cast("long"))
+    packed = (rows.withColumn("grp", F.floor(F.col("chunk") / GROUP_CHUNKS).cast("long"))
               .groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("turn", "same", "line", "content", seen.alias("seen")))).alias("rows"))
               .join(first, "conv").withColumn("opens", F.col("chunk") == F.col("first")))
-    packed = cut_lineage(packed.drop("first"), "chunks")
+    packed = cut_lineage(packed.drop("first").repartition(tasks, *at), "chunks")
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -195,7 +202,7 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
         "conv", F.col("c.grp").alias("grp"), F.col("c.m").alias("m"))
     ends = whole.mapInPandas(top, "conv string, grp long, before int, after int")
     ends = in_group.join(ends, ["conv", "grp"]).mapInPandas(down, "conv string, grp long, chunk long, before int, after int")
-    states = packed.select(*at, F.col("rows.seen").alias("seen"), "opens").join(ends, at).mapInPandas(
+    states = packed.select(*at, F.col("rows.seen").alias("seen"), "opens").join(ends, at).repartition(tasks, *at).mapInPandas(
         paths, "conv string, grp long, chunk long, states array<int>")
     return packed.join(states, at).select("conv", "chunk", F.posexplode(F.arrays_zip("rows", "states")).alias("place", "r")).select(
         "conv", "chunk", "place", "r.rows.turn", "r.rows.same", "r.rows.line", "r.rows.content", F.col("r.states").alias("state"))

@@ -41,7 +41,8 @@ def test_viterbi_is_the_best_path():
 
 
 def test_chunks_decode_like_one_piece(spark, monkeypatch):
-    monkeypatch.setattr(C, "CHUNK_TURNS", 3)
+    monkeypatch.setattr(C, "CHUNK_LINES", 6)
+    monkeypatch.setattr(C, "LINES_A_TASK", 50)
     monkeypatch.setattr(C, "GROUP_CHUNKS", 4)
     rng = np.random.default_rng(3)
     words = ["User: hi", "Assistant: yes", "why?", "", "a longer line of text with words", "System: be kind", "Q: x", "[AI] ok"]
@@ -65,6 +66,26 @@ def test_chunks_decode_like_one_piece(spark, monkeypatch):
         assert text.endswith("<|end|>") and text.count("<|end|>") >= len(set(numbers))
 
 
+def test_null_and_long_turns_are_cut_by_lines(spark, monkeypatch):
+    """A transcript whose turns are all NULL, one turn of many lines and one row that occurs very often: chunks of few lines, the same path."""
+    monkeypatch.setattr(C, "CHUNK_LINES", 50)
+    monkeypatch.setattr(C, "LINES_A_TASK", 200)
+    rows = ([("nulls", None, f"User: line {i}") for i in range(300)] + [("one", 1, "\n".join(f"line {i}?" for i in range(400)))]
+            + [("again", 0, "Q: the same")] * 350)
+    raw = C.lines(spark.createDataFrame(rows, "conv_id string, turn long, text string"))
+    model = random_model(6)
+    got = C.decode(raw, model).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.conv, r.chunk] = sizes.get((r.conv, r.chunk), 0) + 1
+    assert max(sizes.values()) <= 50 and len(got) == raw.count() == 1050
+    shown = raw.select("conv", "turn", "same", "line", *[c.alias(f) for f, c in C.features(F.col("content")).items()]).collect()
+    for conv in ("nulls", "one", "again"):
+        seen = sorted(tuple(r)[1:] for r in shown if r.conv == conv)
+        states = [r.state for r in sorted((r for r in got if r.conv == conv), key=lambda r: (r.chunk, r.place))]
+        assert states == viterbi(model, [s[3:] for s in seen])
+
+
 def test_held_out_roles(spark):
     turns = spark.read.parquet(f"{SF_MID}/conversations.parquet")
     rows = C.lines(C.raw_transcripts(turns))
