@@ -3,8 +3,8 @@
 The words of a source form one stream (documents in a hashed order), cut into blocks of
 ``block_words`` words. A source's target in words becomes a number of slots, one block each.
 Slots are dealt to output shards: for each source a multinomial draw over the shards, made by
-recursive binomial splitting, so that every shard finds its own counts and slot numbers
-without a pass over the others. Slot ``j`` of a source holds block ``perm_e(j mod n)`` with
+recursive binomial splitting, so that every run of shards finds its own counts and slot numbers
+without a pass over the others; a source has rows for the shards that it has slots in, not for all. Slot ``j`` of a source holds block ``perm_e(j mod n)`` with
 ``e = j div n``, where ``perm_e`` is a pseudorandom permutation (a keyed Feistel network) of the
 source's ``n`` block numbers: every block is used once before any is used again, and a target of
 at most twice the size uses no block more than twice. Blocks then meet their slots in an
@@ -34,6 +34,7 @@ from sparkmend.session import cut_lineage
 
 BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 16_384
+SLOTS_A_ROW, SLOTS_A_TASK = 4096, 1 << 17
 BUCKETS = 4096
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,20 +74,24 @@ def _draw(seed: int, source: int, node: tuple[int, int], n: int, p: float) -> in
     return int(np.random.Generator(np.random.Philox(key=int.from_bytes(key, "big"))).binomial(n, p))
 
 
-def shard_slots(seed: int, source: int, slots: int, shards: int, shard: int, drawn: dict) -> tuple[int, int]:
-    """(first slot, number of slots) of a source in a shard: descend the binary splits of its slots."""
-    lo, hi, first, n = 0, shards, 0, slots
-    while hi - lo > 1 and n:
-        mid = (lo + hi) // 2
-        key = (source, lo, hi)
-        if key not in drawn:
-            drawn[key] = _draw(seed, source, (lo, hi), n, (mid - lo) / (hi - lo))
-        left = drawn[key]
-        if shard < mid:
-            hi, n = mid, left
-        else:
-            lo, first, n = mid, first + left, n - left
-    return first, n
+def drawn_shards(seed: int, source: int, slots: int, shards: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(shard, first slot, number of slots) of the shards in ``lo..hi - 1`` that get slots of a source.
+
+    The slots are split over halves of the shards by binomial draws, down to single shards; halves without slots, and those
+    outside ``lo..hi - 1``, are not entered.
+    """
+    out, todo = [], [(0, shards, 0, slots)]
+    while todo:
+        a, b, first, n = todo.pop()
+        if not n or b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            out.append((a, first, n))
+            continue
+        mid = (a + b) // 2
+        left = _draw(seed, source, (a, b), n, (mid - a) / (b - a))
+        todo += [(mid, b, first + left, n - left), (a, mid, first, left)]
+    return out
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -109,12 +114,11 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _slot_ranges(seed: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drawn: dict = {}
         for p in parts:
-            got = [shard_slots(seed, int(s), int(t), int(k), int(i), drawn)
-                   for s, t, k, i in zip(p.source_no, p.slots, p.shards, p.shard)]
-            yield p.assign(first=np.array([g[0] for g in got], "int64"), n=np.array([g[1] for g in got], "int64"))[
-                ["source_no", "n_blocks", "shard", "first", "n"]]
+            for s, blocks, slots, shards, lo, many in zip(p.source_no, p.n_blocks, p.slots, p.shards, p.from_shard, p.many):
+                got = drawn_shards(seed, int(s), int(slots), int(shards), int(lo), int(lo) + int(many))
+                shard, first, n = (np.array(v, "int64") for v in zip(*got)) if got else (np.zeros(0, "int64"),) * 3
+                yield pd.DataFrame({"source_no": np.int32(s), "n_blocks": np.int64(blocks), "shard": shard, "first": first, "n": n})
     return run
 
 
@@ -138,11 +142,16 @@ def draw_slots(sources: DataFrame, *, block_words: int = BLOCK_WORDS, slots_per_
              .withColumn("slots", F.floor(F.col("n_blocks") * F.col("target") / F.col("source_size") + 0.5).cast("long"))
              .withColumn("shards", F.greatest(F.lit(1), F.ceil(
                  F.sum("slots").over(Window.partitionBy()) / slots_per_shard)).cast("long")))
-    each = sized.select("source_no", "n_blocks", "slots", "shards",
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    ranges = each.repartition("source_no", "shard").mapInPandas(
+    # a row for about SLOTS_A_ROW slots: a run of ``many`` shards; only shards that get slots of the source come out of it
+    runs = F.least("shards", F.ceil(F.col("slots") / SLOTS_A_ROW))
+    each = sized.where("slots > 0").withColumn("many", F.ceil(F.col("shards") / runs).cast("long"))
+    each = each.select("source_no", "n_blocks", "slots", "shards", "many", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("shards") - 1, F.col("many"))).alias("from_shard"))
+    # few rows that become many: the number of tasks follows the slots
+    tasks = max(1, -(-int(sized.agg(F.sum("slots")).first()[0] or 0) // SLOTS_A_TASK))
+    ranges = each.repartition(tasks, "source_no", "from_shard").mapInPandas(
         _slot_ranges(seed), "source_no int, n_blocks long, shard long, first long, n long")
-    slots = ranges.where("n > 0").select(
+    slots = ranges.select(
         "source_no", "n_blocks", "shard",
         F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     return slots.mapInPandas(_blocks(seed), "source_no int, shard long, slot long, epoch long, block long")

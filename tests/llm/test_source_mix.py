@@ -51,10 +51,34 @@ def test_targets_and_taken(spark):
 
 
 def test_shards_partition_the_slots():
-    for slots, shards in ((0, 3), (1, 5), (1000, 7), (12345, 64)):
-        got = [M.shard_slots(1, 2, slots, shards, i, {}) for i in range(shards)]
-        assert sum(n for _, n in got) == slots
-        assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:]) if n and _)
+    for slots, shards in ((0, 3), (1, 5), (1000, 7), (12345, 64), (3, 10**6)):
+        got = M.drawn_shards(1, 2, slots, shards, 0, shards)
+        assert sum(n for _, _, n in got) == slots and all(n > 0 for _, _, n in got)
+        assert all(i < j and a + n == b for (i, a, n), (j, b, _) in zip(got, got[1:]))
+        for step in (1, 3, 100) if shards < 100 else (250_000,):  # runs of shards find the same
+            assert [g for lo in range(0, shards, step) for g in M.drawn_shards(1, 2, slots, shards, lo, lo + step)] == got
+
+
+def test_many_sources_and_shards(spark, monkeypatch):
+    """Each slot once, dealt by many tasks and in small rows; sources of few slots make few rows."""
+    df = frame(spark)
+    sources = M.source_targets(df.select("source", F.size(M.word_array(F.col("text"))).cast("long").alias("size")))
+    want = sorted(map(tuple, M.draw_slots(sources, slots_per_shard=10).collect()))
+    monkeypatch.setattr(M, "SLOTS_A_ROW", 7)
+    monkeypatch.setattr(M, "SLOTS_A_TASK", 100)
+    got = M.draw_slots(sources, slots_per_shard=10)
+    assert sorted(map(tuple, got.collect())) == want
+    assert len({(r.source_no, r.slot) for r in got.collect()}) == len(want) and got.rdd.getNumPartitions() > 4
+
+
+def test_very_long_text(spark):
+    """A text of 200,000 words beside short ones: its pieces reach the target, none twice more than allowed."""
+    rows = [(1, "w " * 200_000, "a"), (2, "x y z", "b"), (3, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in M.mix_counts(df).collect()}
+    want = brute_targets({"a": 200_000, "b": 3})
+    assert got[1].size == 200_000 and abs(got[1].taken - want["a"]) <= M.BLOCK_WORDS and got[1].taken <= 400_000
+    assert got[3].taken == 0 and got[2].taken <= 6
 
 
 def test_permutation_is_one():
