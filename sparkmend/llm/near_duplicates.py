@@ -396,8 +396,9 @@ def _sets_of(keyed: DataFrame, wanted: DataFrame, text: str, shingle: int) -> Da
         for p in parts:
             raw = _texts(p, text)
             for lo, hi in batches(np.array([len(t) for t in raw]), BATCH_BYTES):
-                yield pd.DataFrame({"node": p["node"].iloc[lo:hi].to_numpy(),
-                                    "items": [s.tobytes() for s in shingle_sets(raw[lo:hi], shingle)]})
+                # a row of another class may share the representative's 64-bit name: the digest tells them apart
+                found = [(n, s.tobytes()) for n, s in zip(p["node"].iloc[lo:hi], shingle_sets(raw[lo:hi], shingle)) if digest(s) == n]
+                yield pd.DataFrame(found, columns=["node", "items"])
 
     rows = keyed.join(wanted.hint("shuffle_hash"), "__k").select("node", text)
     return _kept(rows.mapInPandas(run, "node binary, items binary").groupBy("node").agg(
@@ -416,7 +417,14 @@ def _labelled(sigs: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = 5,
                          percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component left (the smallest id; of equal rows one)."""
-    verdict = near_duplicates(docs, key, text, shingle=shingle, percent=percent).where("kept").select("__k").distinct()
-    tagged = docs.withColumn("__k", F.xxhash64(key, text))
-    return tagged.join(verdict.hint("shuffle_hash"), "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")
+    """``docs`` with one row of each component left (the smallest id; of equal rows one).
+
+    Rows are found again by id and the hash of id and text, so two rows of one hash but other ids are not confused.
+    """
+    verdict = near_duplicates(docs, key, text, shingle=shingle, percent=percent).where("kept")
+    # never NULL, so that the join and the last step are dealt alike and the texts move once
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    verdict = verdict.select("__k", named.alias("__id")).distinct()
+    tagged = docs.withColumns({"__k": F.xxhash64(key, text), "__id": named})
+    at = ["__k", "__id"]
+    return tagged.join(verdict.hint("shuffle_hash"), at, "left_semi").dropDuplicates(at).drop(*at)
