@@ -218,7 +218,8 @@ def sampled(rows: DataFrame, text: str, language: str, many: int) -> DataFrame:
     top = (levels.withColumn("below", F.coalesce(F.sum("n").over(upward), F.lit(0))).where(F.col("below") < 1.25 * many)
            .groupBy("__language").agg(F.max("level").alias("top")))
     first = Window.partitionBy("__language").orderBy("__h")
-    chosen = (hashed.select("__language", "__h").join(top, "__language").where(level <= F.col("top")).select("__language", "__h").distinct()
+    # top: a row a language; broadcast, as a shuffle by language would bring a language's hashes into one task
+    chosen = (hashed.select("__language", "__h").join(F.broadcast(top), "__language").where(level <= F.col("top")).select("__language", "__h").distinct()
               .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= many).select("__language", "__h"))
     # chosen: at most ``many`` rows a language
     return (hashed.join(F.broadcast(chosen), ["__language", "__h"], "left_semi").groupBy("__language", "__h")
