@@ -148,3 +148,28 @@ def test_streamed_scores_equal_batch_scores(spark, trained, tmp_path):
     assert streamed.count() == expected.count() > 0
     diff = streamed.exceptAll(expected).count() + expected.exceptAll(streamed).count()
     assert diff == 0
+
+
+def test_training_tasks_follow_the_feature_values(spark, monkeypatch):
+    """Rows that lie in one file part are dealt to tasks by their number of feature values, none with much more than its share."""
+    from pyspark.sql import functions as F
+
+    from sparkmend.plans import model as M
+
+    seen = []
+
+    class Estimator:
+        def fit(self, rows):
+            seen.extend(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+
+    monkeypatch.setattr(M, "VALUES_PER_TASK", 2_000, raising=False)
+    monkeypatch.setattr(M, "estimator_for", lambda *a, **k: Estimator())
+    monkeypatch.setattr(M, "evaluate", lambda scored: {})
+    rows = spark.range(4_000).coalesce(1).select(
+        F.lit(7).cast("long").alias("machineID"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("datetime"),
+        F.lit("m").alias("model"), F.rand(1).alias("volt"), (F.col("id") % 5 == 0).cast("double").alias(M.LABEL))
+    data = rows.where("volt is not null")
+    import pytest
+    with pytest.raises(AttributeError):  # the stand-in gives no model
+        M.train(data)
+    assert sum(seen) > 3_000 and max(seen) <= 1_500 and len(seen) >= 3
