@@ -130,3 +130,24 @@ def test_odd_rows(spark):
     nothing = L.learn(df.where("lang = 'xx'"))
     assert {r.lang_pred for r in L.identify(df, nothing).collect()} == {"und"}
     assert L.identify(df.limit(0), model).count() == 0
+
+
+def test_all_texts_are_learned_on_request(spark):
+    """Without a bound every different text counts, each once."""
+    rows = [(i, f"text number {i}", "en") for i in range(L.ROWS_PER_LANGUAGE + 200)] + [(9, "the same", "en")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.text for r in L.sampled(df, "text", "lang", None).collect())
+    assert set(got.values()) == {1} and len(got) == L.ROWS_PER_LANGUAGE + 201
+    n = {(r.gram_order, r.code): r.n for r in L.gram_counts(L.sampled(df, "text", "lang", None), "text", "lang").where("gram_order = 0").collect()}
+    assert n[0, ord("x")] == L.ROWS_PER_LANGUAGE + 200
+    assert L.learn(df, rows_per_language=None).languages == ["en"]
+
+
+def test_the_pipeline_learns_from_all_texts(spark, monkeypatch):
+    import corpus_pipeline
+    seen = []
+    real = L.sampled
+    monkeypatch.setattr(L, "sampled", lambda rows, text, language, many: seen.append(many) or real(rows, text, language, many))
+    docs = spark.createDataFrame([(i, f"the house number {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    corpus_pipeline.language(spark, docs, "").count()
+    assert seen == [None, None]
