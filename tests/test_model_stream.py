@@ -173,3 +173,28 @@ def test_training_tasks_follow_the_feature_values(spark, monkeypatch):
     with pytest.raises(AttributeError):  # the stand-in gives no model
         M.train(data)
     assert sum(seen) > 3_000 and max(seen) <= 1_500 and len(seen) >= 3
+
+
+def test_store_computes_the_predictions_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = spark.range(1000).withColumnRenamed("id", "machineID").mapInPandas(look, "machineID long").select(
+        "machineID", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, machineID % 48)").alias("datetime"),
+        F.lit(0.5).alias("failure_probability"), F.lit(0.0).alias("predicted_failure"))
+    M.store_predictions(rows, str(tmp_path / "store"))
+    assert seen.value == 1000
+    assert M.read_predictions(spark, str(tmp_path / "store")).count() == 1000
+
+
+def test_event_quarters_hold_every_event_once(spark):
+    events = S.table(spark, SF_SMALL, "events")
+    at, n = F.unix_micros(F.col("ts").cast("timestamp")), events.count()
+    spans = H.event_quarters(events)
+    assert len(spans) == 4
+    held = [events.where((F.lit(True) if a is None else at >= a) & (F.lit(True) if b is None else at < b)).count() for a, b in spans]
+    assert sum(held) == n and all(abs(h - n / 4) <= 2 for h in held)
