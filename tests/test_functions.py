@@ -113,3 +113,16 @@ def test_property_cells_sum_to_events(spark, rows):
     assert len(out) == len({(r[0], r[1]) for r in rows})
     for r in out:
         assert r.any == (1.0 if r.x_a + r.x_b + r.x_c > 0 else 0.0)
+
+
+def test_iso_texts_are_cast_as_their_form_reads_them(spark):
+    texts = ["2024-01-31 06:00:00.123456", "2024-01-31 06:00:00.5", "2024-02-30 00:00:00.000000", "2024-01-01 24:00:00.0", "2024-01-01 23:59:60.0",
+             "0000-01-01 00:00:00.0", "0999-12-31 00:00:00.25", "2024-01-31 06:00:00.123456789", "2024-1-31 06:00:00.1", "2024-01-31 06:00:00.1\n",
+             "2024-01-31 06:00:00", "2024-01-31T06:00:00", "2024-01-31T06:00:00.75", "2024-03-10 02:30:00", "2023-02-29T00:00:00", "12024-01-01 00:00:00", "x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    for shape, pattern in fc.DATETIME_FORMS[:4]:
+        plain = F.when((fc.datetime_shape("c") == shape) & F.try_to_timestamp("c", F.lit(pattern)).isNotNull(), F.to_timestamp_ntz("c", F.lit(pattern)))
+        got = rows.select("c", fc.parse_datetime_as("c", pattern, strict=False).cast("string").alias("v"), plain.cast("string").alias("w")).collect()
+        assert [r.v for r in got] == [r.w for r in got] and any(r.v for r in got)
+        cast = rows.select(fc.parse_datetime_as("c", pattern, strict=False))._jdf.queryExecution().analyzed().toString()
+        assert "RLIKE" in cast  # full ISO texts don't go through the pattern
