@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,3 +152,28 @@ def test_the_pipeline_learns_from_all_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"the house number {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
     corpus_pipeline.language(spark, docs, "").count()
     assert seen == [None, None]
+
+
+def test_judging_takes_bounded_memory():
+    rng = random.Random(6)
+    rows = []
+    for lang in range(4):
+        data, _, depth = L._batch([bytes(rng.choices(b"abcdefgh ", k=4000))])
+        rows += [(k, c, lang, 2.0) for k in range(L.ORDER + 1) for c in np.unique(L._grams(data, k)[depth >= k])]
+    o, c, l, n = map(np.array, zip(*rows))
+    model = L.compile_model(["a", "b", "c", "d"], o, c.astype("uint64"), l, n)
+    texts = ["".join(rng.choices("abcdefgh ", k=4000)) for _ in range(600)]
+    whole = [model.judge([t]) for t in texts[:5]]
+    tracemalloc.start()
+    found, score, *_ = model.judge(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6
+    assert [w[0][0] for w in whole] == found[:5] and np.allclose([w[1][0] for w in whole], score[:5])
+
+
+def test_filters_do_not_judge_texts_twice(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text", "lang")
+    known = L.identify(docs, L.learn(docs.limit(200))).where((F.col("lang_pred") == F.col("lang")) & (F.col("letter_bytes") > 0))
+    usual = known.groupBy("lang_pred").agg(F.median(F.col("letter_bits") / F.col("letter_bytes")).alias("usual"))
+    assert usual._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,17 @@ def test_round_trips(pieces):
     assert all((a == b).all() for a, b in zip(np.split(ids, np.cumsum(n)[:-1]), np.split(again, np.cumsum(m)[:-1])[::-1]))
 
 
+def test_a_batch_takes_bounded_memory(pieces):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdeio") for _ in range(rng.randint(2, 9))) for _ in range(300)) for _ in range(1200)]
+    hi = next(hi for _, hi in S.batches(np.array([len(t) for t in texts]), S.BATCH_CHARS))
+    tracemalloc.start()
+    S.encode_batch(texts[:hi], np.arange(hi).astype("uint64"), pieces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250e6
+
+
 def test_rows(spark):
     rows = [(1, "some words here", 3), (2, None, 3), (3, "", 3), (1, "some words here", 3), (None, "no key", 3), (4, "w " * 300_000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int")

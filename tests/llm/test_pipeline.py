@@ -111,3 +111,9 @@ def test_run_is_the_stages(spark, steps):
     got = P.run(spark, SF)
     a, b = (Counter((r.doc_id, r.n_pieces) for r in d.select("doc_id", "n_pieces").collect()) for d in (got, steps["pieces"][1]))
     assert a == b
+
+
+def test_pieces_hold_one_python_process_a_task(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(20)
+    plan = P.pieces(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
