@@ -86,3 +86,9 @@ def test_rows(spark):
     back = S.decode_rows(out.drop("text"), PATH).collect()
     assert [r.text for r in back] == [t for _, t, _ in rows]
     assert S.encode(df.limit(0), PATH).count() == 0
+
+
+def test_smaller_batches_give_the_same_pieces(spark):
+    df = spark.createDataFrame([(i, f"row {i} has words, é and 日本 " * (i % 40)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    few = S.encode(df, PATH, batch_chars=2_000).collect()
+    assert few == S.encode(df, PATH).collect()

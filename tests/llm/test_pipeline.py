@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from sparkmend.llm import language_ppm, quality_neighbours, source_mix
-from sparkmend.llm.common import fold, table
+from sparkmend.llm.common import BATCH_CONF, fold, table
 from sparkmend.session import cut_lineage
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -117,3 +117,21 @@ def test_pieces_hold_one_python_process_a_task(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents").limit(20)
     plan = P.pieces(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+
+
+def test_stages_send_small_batches_to_python(spark):
+    docs, was = table(spark, "/root/testdata/sf0.001", "documents"), spark.conf.get(BATCH_CONF)
+    try:
+        for name, stage in P.STAGES[3:]:
+            spark.conf.set(BATCH_CONF, "64m")
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(BATCH_CONF).rstrip("b")) <= 2_000_000, name
+        spark.conf.set(BATCH_CONF, "64m")
+        most = []
+        encode = P.piece_sampling.encode
+        P.piece_sampling.encode = lambda *a, **k: most.append(k["batch_chars"]) or encode(*a, **k)
+        P.pieces(spark, docs, SF)
+        assert most[0] <= 150_000
+    finally:
+        P.piece_sampling.encode = encode
+        spark.conf.set(BATCH_CONF, was)
