@@ -198,3 +198,65 @@ def test_event_quarters_hold_every_event_once(spark):
     assert len(spans) == 4
     held = [events.where((F.lit(True) if a is None else at >= a) & (F.lit(True) if b is None else at < b)).count() for a, b in spans]
     assert sum(held) == n and all(abs(h - n / 4) <= 2 for h in held)
+
+
+def _odd_rows(spark):
+    rows = [(i % 9 if i % 13 else None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i % 600), ["a", "b", None, "zz"][i % 4], float(i % 50 > 20 and i % 4 == 1),
+             None if i % 17 == 0 else float("nan") if i % 19 == 0 else float(i % 50), i % 23) for i in range(900)]
+    return spark.createDataFrame(rows, "machineID long, datetime timestamp_ntz, model string, label_24h double, volt double, age long")
+
+
+def test_scores_equal_the_transform_without_row_functions(spark):
+    """NULL, NaN, unseen and NULL machine models, NULL keys: the trees walked in batches give what ``transform`` gives."""
+    from pyspark.ml.functions import vector_to_array
+    df = _odd_rows(spark)
+    seen = M.prepare(df.where("model != 'zz' or model is null"))
+    model = M.fitted(seen, ["volt", "age"], max_iter=6)
+    new = M.score(model, df)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "UDF(" not in plan  # four functions of single rows before
+    old = model.transform(M.prepare(df)).select(*M.KEYS, vector_to_array("probability")[1].alias("p"), "prediction")
+    a, b = ([tuple(r) for r in d.orderBy(F.col("machineID").asc_nulls_first(), "datetime", d.columns[2]).collect()] for d in (new, old))
+    assert len(a) == len(b) == 900 and len({r[2] for r in a}) > 3
+    for x, y in zip(a, b):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-12 and x[3] == y[3]
+    assert M.evaluate(M.with_score(model, seen, [M.LABEL])) == pytest.approx(M.evaluate(model.transform(seen)))
+
+
+def test_training_computes_its_rows_five_times(spark):
+    """Number of machine models, their index, class weights, number of rows, one shuffle: ``fit`` shuffled the rows twice."""
+    looked = spark.sparkContext.accumulator(0)
+
+    def look(parts):
+        for p in parts:
+            looked.add(len(p))
+            yield p
+
+    df = M.prepare(_odd_rows(spark))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    M.fitted(df.mapInPandas(look, df.schema), ["volt", "age"], max_iter=2)
+    assert looked.value <= 5 * 900
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+
+
+def test_features_since_equal_the_whole_table(spark):
+    """NULL machines, rows of one key twice, a machine without late rows, a first hour inside a bucket."""
+    from sparkmend.contracts import MASTER_COLUMNS
+    from sparkmend.plans.states import features_since
+    rows = []
+    for i in range(1500):
+        m = None if i % 11 == 0 else i % 7
+        t = dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 37) % 700 if m != 3 else (i * 37) % 300)
+        event = [float(i % k == 0) for k in range(3, 17)]
+        rows.append((t, m, float(i % 31), float(i % 13), 1.0 + i % 3, float(i % 5), f"m{i % 3}", i % 40, *event))
+    rows += rows[:40]
+    types = ["timestamp_ntz", "long", *["double"] * 4, "string", "long", *["double"] * 14]
+    master = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(MASTER_COLUMNS, types)))
+    first = dt.datetime(2024, 1, 24, 5)
+    whole = feature_table(master).where(F.col("datetime") >= F.lit(first.isoformat()).cast("timestamp_ntz"))
+    part = features_since(master, first)
+    assert whole.columns == part.columns
+    # of rows with one key the running features depend on their order: the largest of each column stands for them
+    agg = [F.max(F.coalesce(F.round(F.col(c).cast("double"), 9), F.lit(-1e9))).alias(c) for c in whole.columns if c not in ("machineID", "datetime", "model")]
+    a, b = (sorted(map(str, d.groupBy("machineID", "datetime").agg(F.count("*"), *agg).collect())) for d in (whole, part))
+    assert len(a) > 100 and a == b
